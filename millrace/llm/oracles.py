@@ -39,3 +39,28 @@ SELECT doc_id, CAST(COALESCE(n_assign, 0) AS BIGINT) AS n_assign, CAST(COALESCE(
   CAST(COALESCE(n_shared, 0) AS BIGINT) AS n_shared, CAST(COALESCE(max_owners, 0) AS BIGINT) AS max_owners
 FROM docs LEFT JOIN texts USING (rid) LEFT JOIN per_row USING (rid)
 """
+
+
+QUALITY = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t,
+   regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS MATERIALIZED (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM docs),
+win AS (SELECT rid, i, x, (x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p, lead(x, 4) OVER p) AS g, lead(x, 4) OVER p IS NOT NULL AS whole
+   FROM word WINDOW p AS (PARTITION BY rid ORDER BY i)),
+many AS (SELECT rid, g FROM win WHERE whole GROUP BY rid, g HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM win JOIN many USING (rid, g) WHERE whole),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM hit, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
+line AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM docs),
+lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+words AS (SELECT rid, sum(length(x)) AS chars, count(*) FILTER (WHERE regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND strlen(x) > 1) AS up FROM word GROUP BY rid),
+stut AS (SELECT rid, count(*) FILTER (WHERE x = before) AS n FROM (SELECT rid, x, lag(x) OVER (PARTITION BY rid ORDER BY i) AS before FROM word) GROUP BY rid),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(chars, 0) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(COALESCE(lines.dup, 0) AS BIGINT) AS n_dup_lines,
+   CAST(COALESCE(rep.n, 0) AS BIGINT) AS n_repeat_words, COALESCE(lines.n, 0) AS n_lines, COALESCE(up, 0) AS up, COALESCE(stut.n, 0) AS stutter
+   FROM docs LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN words USING (rid) LEFT JOIN stut USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (2 * n_dup_lines > n_lines) AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+  AND NOT (n_words > 1 AND 10 * stutter > 3 * n_words) AND NOT (2 * up > n_words) AS kept
+FROM judged
+"""

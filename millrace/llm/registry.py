@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import oracles
+from millrace.llm.matroska import store_documents
 from millrace.llm.mixing import mix
+from millrace.llm.packing import pack_documents
+from millrace.llm.quality import score_documents
 from millrace.llm.secret_scan import scan_secrets
 
 
@@ -19,12 +23,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_documents(_documents(spark, sf_dir))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_cascade": op2_quality_cascade,
+    "op3_matroska": op3_matroska,
+    "op6_pack": op6_pack,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {"op9_secret_scan": oracles.SECRET_SCAN}
+ORACLES: dict[str, str] = {"op2_quality_cascade": oracles.QUALITY, "op9_secret_scan": oracles.SECRET_SCAN}
