@@ -64,3 +64,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT (n_words > 1 AND 10 * stutter > 3 * n_words) AND NOT (2 * up > n_words) AS kept
 FROM judged
 """
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT rid, doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h
+   FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+low AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM win JOIN low USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE first < doc_id),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM docs),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS s FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(s, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -13,6 +13,7 @@ from millrace.llm.mixing import mix
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import score_documents
 from millrace.llm.secret_scan import scan_secrets
+from millrace.llm.substring_dedup import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(_documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +48,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_cascade": op2_quality_cascade,
     "op3_matroska": op3_matroska,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pack": op6_pack,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {"op2_quality_cascade": oracles.QUALITY, "op9_secret_scan": oracles.SECRET_SCAN}
+ORACLES: dict[str, str] = {
+    "op2_quality_cascade": oracles.QUALITY,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_secret_scan": oracles.SECRET_SCAN,
+}
