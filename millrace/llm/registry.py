@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import oracles
 from millrace.llm.matroska import store_documents
 from millrace.llm.mixing import mix
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import score_documents
 from millrace.llm.secret_scan import scan_secrets
@@ -44,6 +45,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_cascade": op2_quality_cascade,
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pack": op6_pack,
     "op9_secret_scan": op9_secret_scan,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_cascade": oracles.QUALITY,
