@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import oracles
+from millrace.llm.html_text import main_text
 from millrace.llm.matroska import store_documents
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
@@ -15,12 +16,18 @@ from millrace.llm.packing import pack_documents
 from millrace.llm.quality import score_documents
 from millrace.llm.secret_scan import scan_secrets
 from millrace.llm.substring_dedup import remove_repeats
+from millrace.llm.token_counts import section_tokens
+from millrace.llm.warc import derive, responses
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
@@ -33,6 +40,10 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(_documents(spark, sf_dir))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_pages(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir))
 
@@ -41,20 +52,31 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(responses(_pages(spark, sf_dir)), with_record=False)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir))
+    return near_duplicates(_documents(spark, sf_dir), shingle=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_cascade": op2_quality_cascade,
     "op3_matroska": op3_matroska,
+    "op4_html_main_text": op4_html_main_text,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pack": op6_pack,
+    "op7_section_tokens": op7_section_tokens,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_dedup": op10_near_dedup,
 }
