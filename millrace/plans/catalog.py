@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import history, relational, scalars
+from millrace.plans import history, relational, runs, scalars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "e3_history"
 
-for _module in (history, scalars, relational):
+for _module in (history, scalars, relational, runs):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
