@@ -14,7 +14,7 @@ documents are placed by windows over shards of about ``shard_docs`` rows, so a h
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
@@ -174,25 +174,22 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return plan_mix(docs, **how).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _cut(held: dict[str, list]) -> dict[str, list]:
-    import re
+_PLAN = ("size", "base", "from1", "to1", "from2", "to2")
 
-    word = re.compile(WORD)
-    texts = []
-    for text, size, base, *runs in zip(*(held[c] for c in ("text", "size", "base", "from1", "to1", "from2", "to2"))):
-        parts = [text] * base
-        spans = None
-        for a, b in (runs[:2], runs[2:]):
-            if a >= b:
-                continue
-            if b - a == size:
-                parts.append(text)
-                continue
-            spans = spans or [m.span() for m in word.finditer(text)]
-            parts.append(text[spans[a][0] : spans[b - 1][1]])
-        texts.append("\n".join(parts))
-    out = {c: held[c] for c in held if c not in ("size", "base", "from1", "to1", "from2", "to2")}
-    return out | {"text": texts}
+
+def _taken_text(text: str, size: int, base: int, *runs: int) -> str:
+    """A text's taken words: the whole text ``base`` times, then the two runs of words, on lines of their own."""
+    parts = [text] * base
+    spans = None
+    for a, b in (runs[:2], runs[2:]):
+        if a >= b:
+            continue
+        if b - a == size:
+            parts.append(text)
+            continue
+        spans = spans or [m.span() for m in re.finditer(WORD, text)]
+        parts.append(text[spans[a][0] : spans[b - 1][1]])
+    return "\n".join(parts)
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -202,13 +199,17 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     plan = plan_mix(docs, key=key, text=text, **how).where(F.col("taken") > 0)
     numbered = Window.partitionBy("doc_id", "doc_hash").orderBy("base", "from1", "to1", "to2")
-    plan = plan.withColumn("__n", F.row_number().over(numbered)).withColumnRenamed("doc_id", "__id").select(
-        "__id", "doc_hash", "__n", "size", "base", "from1", "to1", "from2", "to2"
-    )
-    mine = docs.withColumn("doc_hash", F.xxhash64(text))
-    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy(key, "doc_hash").orderBy(F.lit(0))))
-    joined = mine.join(plan, mine[key].eqNullSafe(plan["__id"]) & (mine["doc_hash"] == plan["doc_hash"]) & (mine["__n"] == plan["__n"]))
-    columns = [*docs.columns, "size", "base", "from1", "to1", "from2", "to2"]
-    ready = joined.select(*[mine[c] for c in docs.columns], *columns[len(docs.columns) :])
+    plan = plan.withColumn("n", F.row_number().over(numbered))
+    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "doc_hash", "n", *_PLAN)])
+    mine = docs.withColumn("__hash", F.xxhash64(text))
+    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0))))
+    same = mine[key].eqNullSafe(plan["__mix_doc_id"]) & (mine["__hash"] == plan["__mix_doc_hash"]) & (mine["__n"] == plan["__mix_n"])
+    ready = mine.join(plan, same).select(*[mine[c] for c in docs.columns], *[f"__mix_{c}" for c in _PLAN])
+
+    def cut(held: dict[str, list]) -> dict[str, list]:
+        made = [_taken_text(*row) for row in zip(held[text], *(held[f"__mix_{c}"] for c in _PLAN))]
+        return {c: held[c] for c in docs_columns} | {text: made}
+
+    docs_columns = list(docs.columns)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_chunks(ready, columns, text, _cut, ddl).select(*docs.columns)
+    return map_chunks(ready, ready.columns, text, cut, ddl)
