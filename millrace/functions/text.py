@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that JavaScript takes for white space, as the inside of a character class.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
