@@ -91,7 +91,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     """Per document with windows that a lesser document holds: doc, tag, ``spans`` of first word and number of windows."""
     pieces = materialize(path_pieces(docs, window, key, text), "paths")
     # minimizers of one document alone cannot repeat: everything after goes over the rest
-    widely = pieces.groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mini")
+    # (what joins a hot key is written first: a join of two plain exchanges can be split, one with an aggregate cannot)
+    widely = materialize(pieces.groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mini"), "wide-minimizers")
     pieces = materialize(pieces.join(widely, "mini"), "shared-paths")
     owners = materialize(pieces.groupBy("mini", "content").agg(F.min("doc").alias("owner")), "path-owners")
     judged = pieces.join(owners, ["mini", "content"])
@@ -99,10 +100,12 @@ def repeated_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     copies = judged.where("copy").select("doc", "tag", "start", "edges")
 
     branching = owners.groupBy("mini").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("mini")
+    branching = materialize(branching, "branching-minimizers")
     open_pieces = judged.where("not copy").join(branching, "mini", "left_semi").select("doc", "tag", F.struct("mini", "start", "edges").alias("piece")).distinct()
     held = open_pieces.groupBy("doc", "tag").agg(F.collect_list("piece").alias("pieces"))
     edges = materialize(_edges(_rows(docs, key, text).dropDuplicates(["doc", "tag"]).join(held, ["doc", "tag"]), window), "edges")
     shared = edges.groupBy("mini", "edge").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    shared = materialize(shared, "shared-edges")
     single = edges.join(shared, ["mini", "edge"]).where(F.col("low") < F.col("doc")).select("doc", "tag", "start", F.lit(1).alias("edges"))
     every = copies.unionByName(single)
     return materialize(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "edges")).alias("spans")), "spans")
