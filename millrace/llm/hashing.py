@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SEGMENT = 1_000_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -47,9 +48,16 @@ class Runs:
         data = np.frombuffer(joined, dtype=np.uint8)
         ends = np.flatnonzero(data == 32)
         starts = np.concatenate([[0], ends[:-1] + 1]) if n else ends
-        up, down = _powers(_BYTE, len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-        self.words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _WORD)
+        self.words = np.empty(n, dtype=np.uint64)
+        # segments of whole words bound the memory of the byte sums, however long a text is
+        cuts = np.unique(np.searchsorted(ends, np.arange(_SEGMENT, len(data) + _SEGMENT, _SEGMENT)).clip(max=n)) if n else []
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            if b > a:
+                low = starts[a]
+                part, first, last = data[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low
+                up, down = _powers(_BYTE, len(part))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+                self.words[a:b] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _WORD)
         self.up, self.down = _powers(_WORD, n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * self.up[:n], dtype=np.uint64)])
 
