@@ -36,14 +36,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()  # the driver drops shuffle files of plans that are done with only once their objects are gone
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once what was made of them is itself written."""
+    for df in tables:
+        _delete(df.sparkSession, df._table_path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder; call when its results have been read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def in_chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:

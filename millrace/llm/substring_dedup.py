@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _arrow_schema, in_chunks, materialize
+from millrace.llm.common import _arrow_schema, discard, in_chunks, materialize
 from millrace.llm.hashing import Runs, sliding_min
 
 MINIMIZER = 12
@@ -89,14 +89,16 @@ def _edges(texts_and_pieces: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with windows that a lesser document holds: doc, tag, ``spans`` of first word and number of windows."""
-    pieces = materialize(path_pieces(docs, window, key, text), "paths")
+    every_piece = materialize(path_pieces(docs, window, key, text), "paths")
     # minimizers of one document alone cannot repeat: everything after goes over the rest
     # (what joins a hot key is written first: a join of two plain exchanges can be split, one with an aggregate cannot)
-    widely = materialize(pieces.groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mini"), "wide-minimizers")
-    pieces = materialize(pieces.join(widely, "mini"), "shared-paths")
+    widely = materialize(every_piece.groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mini"), "wide-minimizers")
+    pieces = materialize(every_piece.join(widely, "mini"), "shared-paths")
+    discard(every_piece, widely)
     owners = materialize(pieces.groupBy("mini", "content").agg(F.min("doc").alias("owner")), "path-owners")
     judged = pieces.join(owners, ["mini", "content"])
     judged = materialize(judged.select("mini", "doc", "tag", "start", "edges", (F.col("owner") < F.col("doc")).alias("copy")), "judged-paths")
+    discard(pieces)
     copies = judged.where("copy").select("doc", "tag", "start", "edges")
 
     branching = owners.groupBy("mini").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("mini")
@@ -108,7 +110,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     shared = materialize(shared, "shared-edges")
     single = edges.join(shared, ["mini", "edge"]).where(F.col("low") < F.col("doc")).select("doc", "tag", "start", F.lit(1).alias("edges"))
     every = copies.unionByName(single)
-    return materialize(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "edges")).alias("spans")), "spans")
+    spans = materialize(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "edges")).alias("spans")), "spans")
+    discard(owners, judged, branching, edges, shared)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
