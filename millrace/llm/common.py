@@ -77,7 +77,7 @@ def map_chunks(
 
     ``fn`` gets the columns of a chunk as lists and returns those of the result; their number of rows may differ.
     """
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,7 @@ def map_chunks(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import _arrow_schema, in_chunks
+from millrace.llm.common import arrow_schema, in_chunks
 from millrace.llm.tokens import encoder
 
 CLASSES = 64
@@ -168,7 +168,7 @@ def pack_documents(
     if window & (window - 1) or window < CLASSES:
         raise ValueError("window must be a power of two of at least 64")
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    arrow = _arrow_schema(docs.sparkSession, schema)
+    arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _arrow_schema, discard, in_chunks, materialize
+from millrace.llm.common import arrow_schema, discard, in_chunks, materialize
 from millrace.llm.hashing import Runs, sliding_min
 
 MINIMIZER = 12
@@ -40,7 +40,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def path_pieces(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per path piece of a text: minimizer, content, doc, tag, first word, number of edges."""
     schema = "mini long, content long, doc long, tag int, start int, edges int"
-    arrow, width = _arrow_schema(docs.sparkSession, schema), window - MINIMIZER + 1
+    arrow, width = arrow_schema(docs.sparkSession, schema), window - MINIMIZER + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +67,7 @@ def path_pieces(docs: DataFrame, window: int = 50, key: str = "doc_id", text: st
 def _edges(texts_and_pieces: DataFrame, window: int) -> DataFrame:
     """Single edges of given pieces: minimizer, edge hash, doc, tag, first word."""
     schema = "mini long, edge long, doc long, tag int, start int"
-    arrow = _arrow_schema(texts_and_pieces.sparkSession, schema)
+    arrow = arrow_schema(texts_and_pieces.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     """
     spans = repeated_spans(docs, window, key, text)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    arrow = _arrow_schema(docs.sparkSession, schema)
+    arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

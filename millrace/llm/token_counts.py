@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _arrow_schema, in_chunks
+from millrace.llm.common import arrow_schema, in_chunks
 
 RULES = ("majority", "start", "split")
 #: Fixed pattern: how the public byte-level vocabulary cuts text.
@@ -99,7 +99,7 @@ def section_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     schema = "doc_id long, section int, start long, end long, n_tokens double, n_crossing long, doc_tokens long"
-    arrow = _arrow_schema(docs.sparkSession, schema)
+    arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, lengths = byte_encoder(vocabulary)

@@ -1,6 +1,5 @@
 import hashlib
 import random
-import re
 import struct
 import zlib
 from collections import Counter, defaultdict
