@@ -10,7 +10,7 @@ from millrace.operators import anchored as A
 from millrace.operators import ingredients as G
 from millrace.operators import lookup as L
 from millrace.operators import tables as B
-from millrace.operators.history import cap_newest, from_row, merge_history, prepend_cap, to_row, top_per_user
+from millrace.operators.history import cap_newest, from_row, prepend_cap, to_row, top_per_user
 from millrace.session import table
 
 NOW = "2024-01-20 00:00:00"
