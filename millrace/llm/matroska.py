@@ -54,6 +54,7 @@ def _signed(n: int) -> bytes:
 
 
 def _block(track: int, offset: int, frames: list[bytes], lacing: int) -> bytes:
+    lacing = lacing if len(frames) > 1 else 0  # readers differ on a lace of one frame
     head = vint(track) + struct.pack(">hB", offset, 0x80 | lacing << 1)
     if not lacing:
         return head + frames[0]
@@ -259,11 +260,14 @@ def _store(held: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")}
     for key, text in zip(held["doc_id"], held["text"]):
         raw = (text or "").encode()
-        media = mux(pad(raw))
+        payload = pad(raw)
+        media = mux(payload)
         found = parse(media)
         if found.error:
             raise ValueError(found.error)
         back = b"".join(media[a : a + n] for *_, a, n, _ in found.packets)
+        if back != payload:
+            raise ValueError("the frames read back are not the payload")
         laced = [0, 0, 0, 0]
         for p in found.packets:
             laced[p[3]] += 1

@@ -209,3 +209,12 @@ def test_laces_of_uneven_frames(lacing):
     found = matroska.parse(data)
     assert found.error is None and [p[6] for p in found.packets] == [len(f) for f in frames]
     assert {p[1] for p in found.packets} == {12_000_000}
+
+
+def test_every_frame_count_reads_back_as_it_was_stored():
+    for n in range(1, 131):
+        payload = b"".join(struct.pack("<I", k) for k in range(144 * n))
+        media = matroska.mux(payload)
+        found = matroska.parse(media)
+        assert found.error is None and {p[6] for p in found.packets} == {matroska.FRAME}
+        assert b"".join(media[p[5] : p[5] + p[6]] for p in found.packets) == payload
