@@ -5,12 +5,13 @@ classes recursively: at a node, a seeded draw (the same for all its members) cho
 probability ``1 / (threshold * places)`` each, and members part by the token they have there; similar sets stay
 together on some path with a chance that one tree keeps low and independent trees raise to the target recall.
 Nodes of up to ``small`` classes are compared exhaustively by signature; larger ones branch on, several levels at
-once, since only the last level is compared.
+once, since only the last level is compared, but no deeper than the level that the number of trees counts on.
 
 A node gives a maximum spanning forest of its likely pairs, so the pairs are linear in its members. They are
 confirmed on the full shingle sets and joined into components; then the nodes are read again, and every likely
 pair that still lies across components is compared within its node on shingle hashes, none left out, and what is
-similar there is confirmed too. Level tables are written to the shared
+similar there is confirmed too. A node that is still large at the last level gives its forest by seeded parts, but is
+compared across components as a whole, block against block in nodes of about ``small``. Level tables are written to the shared
 folder; keys of hot nodes are only counted and joined, and a node is gathered only once it is small.
 """
 
@@ -143,40 +144,60 @@ def _branch(nodes: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
     return nodes.select(*([] if trees else ["path", "levels"]), "doc", "signature").mapInArrow(run, schema)
 
 
-def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, small: int = 1000, depth: int = 4, rounds: int = 3) -> DataFrame:
-    """A written table (path, doc) of all nodes of 2 to ``small`` classes, over all trees.
+def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, small: int = 1000, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables (path, doc) over all trees: nodes of 2 to ``small`` classes, larger nodes of the last level, their parts.
 
     After the roots' children, a larger node goes down in one step as many levels as should make it small at the
-    similarity of typical near copies, ``depth - 1`` at most. Nodes still larger after ``rounds`` steps are near copies of
-    one another throughout; they are dealt into seeded parts of about half that size, each with the node's least-hash
-    class as a common member.
+    similarity of typical near copies, to level ``depth`` at most. Nodes still larger then are dealt into seeded parts
+    of about half that size, each with the node's least-hash class as a common member: enough to join most near copies
+    at little cost, while the pairs between the parts are left to ``crossing_blocks``.
     """
-    out, written = None, []
     level = materialize(_branch(classes, threshold, trees), "paths-1")
-    for k in range(1, rounds + 1):
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"))
-        sized = level.join(counts.where("n > 1"), "path")
-        sized = materialize(sized.select("path", "doc", "n", F.col("pivot.doc").alias("pivot")), f"nodes-{k}")
-        discard(level)
-        written.append(sized)
-        found = sized.where(F.col("n") <= small).select("path", "doc")
-        large = sized.where(F.col("n") > small)
-        if k == rounds:
-            parts = F.ceil(2 * F.col("n") / small)
-            salt = F.pmod(F.xxhash64("path", "doc"), parts)
-            rest = large.select(F.xxhash64("path", salt).alias("path"), "doc", "pivot")
-            rest = rest.select("path", F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
-            found = found.unionByName(rest)
-        out = found if out is None else out.unionByName(found)
-        if k == rounds or large.isEmpty():
-            break
-        down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
-        large = large.withColumn("levels", F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int"))
-        large = large.join(classes.select("doc", "signature"), "doc").select("path", "levels", "doc", "signature")
-        level = materialize(_branch(large, threshold), f"paths-{k + 1}")
-    nodes = materialize(out, "nodes")
-    discard(*written)
-    return nodes
+    first = _sized(level, "nodes-1")
+    discard(level)
+    large = first.where(F.col("n") > small)
+    down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
+    large = large.withColumn("levels", F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int"))
+    large = large.join(classes.select("doc", "signature"), "doc").select("path", "levels", "doc", "signature")
+    level = materialize(_branch(large, threshold), "paths-2")
+    last = _sized(level, "nodes-2")
+    discard(level)
+    found = first.unionByName(last).where(F.col("n") <= small).select("path", "doc")
+    large = last.where(F.col("n") > small)
+    salt = F.pmod(F.xxhash64("path", "doc"), F.ceil(2 * F.col("n") / small))
+    parts = large.select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
+    out = materialize(found, "nodes"), materialize(large.select("path", "doc"), "large-nodes"), materialize(parts, "node-parts")
+    discard(first, last)
+    return out
+
+
+def _sized(level: DataFrame, name: str) -> DataFrame:
+    """A written table of a level's nodes of 2 classes or more: path, doc, n, pivot."""
+    counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"))
+    sized = level.join(counts.where("n > 1"), "path")
+    return materialize(sized.select("path", "doc", "n", F.col("pivot.doc").alias("pivot")), name)
+
+
+def crossing_blocks(large: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+    """(path, doc) of nodes of about ``small`` in which every pair of a large node that lies across components meets.
+
+    A node's largest component and its other members are dealt into seeded blocks of about half that size; every block
+    of the others meets every other block. Nodes of one component give nothing.
+    """
+    held = large.join(labels, "doc", "left").select("path", "doc", F.coalesce("label", "doc").alias("label"))
+    counts = held.groupBy("path", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"))
+    main = main.where("n > main.m").select("path", "n", F.col("main.m").alias("m"), F.col("main.label").alias("main"))
+    blocks = lambda n: F.ceil(2 * n / small).cast("int")
+    held = held.join(main, "path").select("path", "doc", (F.col("label") == F.col("main")).alias("inner"), blocks(F.col("n") - F.col("m")).alias("others"), blocks(F.col("m")).alias("inners"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("doc", "path"), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("others"))).cast("int"))
+    meets = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, a, b: F.xxhash64("path", F.lit(kind), a, b)
+    with_inner = F.transform(meets(F.col("inners")), lambda k: pair("inner", F.col("own"), k))
+    with_others = F.transform(meets(F.col("others")), lambda k: pair("others", F.least("own", k), F.greatest("own", k)))
+    of_inner = F.transform(meets(F.col("others")), lambda k: pair("inner", k, F.col("own")))
+    paths = F.when(F.col("inner"), of_inner).otherwise(F.concat(with_inner, with_others))
+    return held.select(F.explode(paths).alias("path"), "doc")
 
 
 def _similar(brief: np.ndarray, i: int) -> np.ndarray:
@@ -419,20 +440,21 @@ def near_duplicates(
     held = signed.where("n_shingles > 0")
     classes = held.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc", "signature", "brief")).alias("x"))
     classes = materialize(classes.select("h1", "h2", "n_shingles", "x.*"), "classes")
-    nodes = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
-    wanted = nodes.select("doc").distinct()
+    nodes, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
+    wanted = nodes.unionByName(large).select("doc").distinct()
     texts = _rows(docs, key, text).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
     texts = materialize(texts, "texts")
 
     least, sure = threshold - margin, threshold + margin
-    pairs = materialize(_forest_pairs(nodes, classes, least, sure), "pairs")
+    pairs = materialize(_forest_pairs(nodes.unionByName(parts), classes, least, sure), "pairs")
     links = materialize(_confirmed(pairs, texts, percent, shingle), "confirmed")
     labels = components(links)
-    across = _links_across(nodes, classes, texts, labels, least, percent, shingle)
+    crossing = materialize(crossing_blocks(large, labels, small), "crossing-blocks")
+    across = _links_across(nodes.unionByName(crossing), classes, texts, labels, least, percent, shingle)
     more = materialize(_confirmed(across, texts, percent, shingle), "confirmed-across")
     if not more.isEmpty():
         labels = materialize(_joined(labels, more), "labels")
-    discard(nodes, texts, pairs, links, across, more)
+    discard(nodes, large, parts, crossing, texts, pairs, links, across, more)
 
     reps = classes.select("h1", "h2", "n_shingles", F.col("doc").alias("rep"))
     owned = signed.select("doc", "n_shingles", "h1", "h2").join(reps, ["h1", "h2", "n_shingles"], "left")

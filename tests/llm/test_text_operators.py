@@ -119,6 +119,34 @@ def test_large_groups_branch_and_stay_whole(spark):
     assert {r.component_id for r in got} == {0, 1000}
 
 
+def test_pairs_hidden_among_documents_of_one_template(spark):
+    """Mutual similarity of 0.6 to 0.75 everywhere, so nodes stay large, and a few pairs above 0.8 among them."""
+    rng = random.Random(12)
+    base, rows = sentence(rng, 200).split(), []
+    for i in range(240):
+        w = base + [f"own{i}x{k}" for k in range(rng.randint(35, 55))]
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:
+            rows.append((1000 + i, " ".join(w + [f"more{i}x{k}" for k in range(6)])))
+    rng.shuffle(rows)
+    want, _ = brute_components(rows, 5)
+    assert len(set(want.values())) == 240
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=10, depth=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_blocks_of_large_nodes_hold_every_pair_across_components(spark):
+    label = {d: 0 if d < 30 else d // 4 for d in range(70)}
+    large = spark.createDataFrame([(p, d) for p in (1, 2) for d in range(70) if p == 1 or d < 30], "path long, doc long")
+    labels = spark.createDataFrame(list(label.items()), "doc long, label long")
+    held = {}
+    for r in near_dedup.crossing_blocks(large, labels, 16).collect():
+        held.setdefault(r.path, []).append(r.doc)
+    met = {(a, b) for docs in held.values() for a in docs for b in docs}
+    assert all((a, b) in met for a in label for b in label if label[a] != label[b])
+    assert max(map(len, held.values())) <= 32 and all(len(d) == len(set(d)) for d in held.values())
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101), (200, 200)]
     got = {r.doc: r.label for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
