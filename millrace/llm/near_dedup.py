@@ -423,10 +423,10 @@ def near_duplicates(
     percent: int = 80,
     key: str = "doc_id",
     text: str = "text",
-    recall: float = 0.96,
+    recall: float = 0.97,
     small: int = 1000,
-    depth: int = 4,
-    margin: float = 0.08,
+    depth: int = 6,
+    margin: float = 0.1,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
 
