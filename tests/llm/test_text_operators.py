@@ -220,6 +220,23 @@ def test_main_text_of_marked_pages():
     assert html_text.blocks("plain &lt;b&gt; text <div hidden>h</div>more") == (["plain <b> text", "more"], False)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div style="overflow:hidden"><p>a</p></div><div data-hidden="false">b</div><div title="x" hidden>c</div>', (["a", "b"], False)),
+        ('<div class="layout with-sidebar"><p>x</p><article>a</article></div><p>y</p>', (["a"], True)),
+        ('<div id="no-comments"><main class="has-nav"><p>a</p></main></div>', (["a"], True)),
+        ('<form><div role="main" class="with-nav">a</div></form>', (["a"], True)),
+        ('<article>a</article><section class="comments"><article class="comment">no</article></section>', (["a"], True)),
+        ('<aside class="sidebar"><article>no</article></aside><article>a</article>', (["a"], True)),
+        ('<form class="has-menu"><p>a</p><nav>no</nav><p hidden>no</p></form>', (["a"], False)),
+        ('<main></main><p>a</p><div class="ad">no</div>', (["a"], False)),
+    ],
+)
+def test_wrappers_do_not_swallow_articles(page, want):
+    assert html_text.blocks(page) == want
+
+
 def test_host_boilerplate_goes_where_no_article_is_marked(spark):
     rng = random.Random(8)
     notice = " ".join(f"policy{i}" for i in range(20))
