@@ -1,6 +1,6 @@
 """Near-duplicate groups by chosen-path set similarity join over word shingles.
 
-Texts with equal shingle sets are one class. Each class has a signature of minwise tokens. A tree branches the
+Texts with equal shingle sets are one class, whatever their keys. Each class has a number and a signature of minwise tokens. A tree branches the
 classes recursively: at a node, a seeded draw (the same for all its members) chooses signature places with
 probability ``1 / (threshold * places)`` each, and members part by the token they have there; similar sets stay
 together on some path with a chance that one tree keeps low and independent trees raise to the target recall.
@@ -13,6 +13,9 @@ pair that still lies across components is compared within its node on shingle ha
 similar there is confirmed too. A node that is still large at the last level gives its forest by seeded parts, but is
 compared across components as a whole, block against block in nodes of about ``small``. Level tables are written to the shared
 folder; keys of hot nodes are only counted and joined, and a node is gathered only once it is small.
+
+Up to the last step all work is on classes (``doc`` is a class's number); rows are named by key and text hash, so
+null and repeated keys stay apart, and only texts of classes in a likely pair are shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_schema, discard, in_chunks, materialize
@@ -40,8 +43,9 @@ def _multipliers() -> np.ndarray:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rank = F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY))
-    return docs.select(rank.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """``key`` with nulls after all others, ``tag`` that tells the texts of a key apart, ``text`` with null as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"))
 
 
 def _shingles(runs: Runs, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +63,14 @@ def _shingles(runs: Runs, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc, n_shingles, two hashes of the shingle set, signature (32 bits and 8 bits a place)."""
-    schema = "doc long, n_shingles long, h1 long, h2 long, signature binary, brief binary"
+    """Per row of ``docs``: key, tag, n_shingles, two hashes of the shingle set, signature (32 bits and 8 bits a place)."""
+    schema = "key long, tag long, n_shingles long, h1 long, h2 long, signature binary, brief binary"
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers()
         for batch in batches:
-            doc, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in in_chunks(texts, _CHARS):
                 hashes, first = _shingles(Runs([t.encode().lower().split() for t in texts[a:b]]), shingle)
                 size = np.diff(first)
@@ -88,14 +92,15 @@ def signatures(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str
                         least[held, p] = (np.minimum.reduceat(hashes * by[p], at) >> np.uint64(32)).astype(np.uint32)
                 raw, small = least.tobytes(), mix(least.astype(np.uint64)).astype(np.uint8).tobytes()
                 columns = {
-                    "doc": doc.slice(a, b - a),
+                    "key": batch.column(0).slice(a, b - a),
+                    "tag": batch.column(1).slice(a, b - a),
                     "n_shingles": n,
                     "h1": h1.view(np.int64),
                     "h2": h2.view(np.int64),
                     "signature": [raw[i * PLACES * 4 : (i + 1) * PLACES * 4] for i in range(b - a)],
                     "brief": [small[i * PLACES : (i + 1) * PLACES] for i in range(b - a)],
                 }
-                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name == "doc" else pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in ("key", "tag") else pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return _rows(docs, key, text).mapInArrow(run, schema)
 
@@ -174,8 +179,11 @@ def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, sma
 def _sized(level: DataFrame, name: str) -> DataFrame:
     """A written table of a level's nodes of 2 classes or more: path, doc, n, pivot."""
     counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"))
-    sized = level.join(counts.where("n > 1"), "path")
-    return materialize(sized.select("path", "doc", "n", F.col("pivot.doc").alias("pivot")), name)
+    # written first: a join of two plain exchanges can be split where a path is hot, one with an aggregate cannot
+    counts = materialize(counts.where("n > 1").select("path", "n", F.col("pivot.doc").alias("pivot")), f"{name}-sizes")
+    sized = materialize(level.join(counts, "path").select("path", "doc", "n", "pivot"), name)
+    discard(counts)
+    return sized
 
 
 def crossing_blocks(large: DataFrame, labels: DataFrame, small: int) -> DataFrame:
@@ -206,6 +214,12 @@ def _similar(brief: np.ndarray, i: int) -> np.ndarray:
     return (share - 1 / 256) / (1 - 1 / 256)
 
 
+def _oriented(x: np.int64, y: np.int64) -> tuple[np.int64, np.int64]:
+    """The pair with the class of higher priority, which is likely a hub, last: texts travel by the first."""
+    by = mix(np.array([x, y]).view(np.uint64))
+    return (x, y) if by[0] <= by[1] else (y, x)
+
+
 def _forest(docs: np.ndarray, brief: np.ndarray, least: float, sure: float) -> list[tuple[int, int]]:
     """A maximum spanning forest of a node's likely pairs.
 
@@ -226,7 +240,7 @@ def _forest(docs: np.ndarray, brief: np.ndarray, least: float, sure: float) -> l
         s = np.where(s >= sure, 1 + rank[i], s)
         better = todo & (s > best)
         best[better], link[better] = s[better], i
-    return [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in out if docs[i] != docs[j]]
+    return [_oriented(docs[i], docs[j]) for i, j in out if docs[i] != docs[j]]
 
 
 def _across(brief: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -283,12 +297,8 @@ def _forest_pairs(nodes: DataFrame, classes: DataFrame, least: float, sure: floa
     return _by_node(nodes.join(classes.select("doc", "brief"), "doc"), each, "a long, b long").distinct()
 
 
-def _links_across(nodes: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
-    """Distinct pairs of a node that lie across components and whose shingle hashes are similar enough.
-
-    First every member with a likely partner across is marked, one row a member; only these carry their shingle
-    hashes to the nodes, where their likely pairs are compared, so what comes out is links and not candidates.
-    """
+def _open_ends(nodes: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """A written table of the members of nodes with a likely partner of another component: path, doc, label."""
     labelled = nodes.join(classes.select("doc", "brief"), "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
     def mark(path: int, held: dict) -> tuple:
@@ -299,7 +309,15 @@ def _links_across(nodes: DataFrame, classes: DataFrame, texts: DataFrame, labels
         at = np.array(sorted(found), dtype=np.int64)
         return np.full(len(at), path), held["doc"][at], held["label"][at]
 
-    open_ends = materialize(_by_node(labelled, mark, "path long, doc long, label long"), "open-ends")
+    return materialize(_by_node(labelled, mark, "path long, doc long, label long"), "open-ends")
+
+
+def _links_across(open_ends: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
+    """Distinct pairs of a node's open ends that lie across components and whose shingle hashes are similar enough.
+
+    Only open ends carry their shingle hashes to the nodes, where their likely pairs are compared, so what comes out
+    is links and not candidates.
+    """
     sets = materialize(_hash_sets(texts.join(open_ends.select("doc").distinct(), "doc", "left_semi"), shingle), "open-sets")
 
     def compare(path: int, held: dict) -> tuple:
@@ -309,16 +327,24 @@ def _links_across(nodes: DataFrame, classes: DataFrame, texts: DataFrame, labels
             for j in other.tolist():
                 both = len(np.intersect1d(hashes[i], hashes[j], assume_unique=True))
                 if 100 * both >= percent * (len(hashes[i]) + len(hashes[j]) - both):
-                    a, b = held["doc"][i], held["doc"][j]
-                    out.add((min(a, b), max(a, b)))
+                    out.add(_oriented(held["doc"][i], held["doc"][j]))
         return tuple(zip(*sorted(out))) or ((), ())
 
     carried = open_ends.join(classes.select("doc", "brief"), "doc").join(sets, "doc")
     links = materialize(_by_node(carried, compare, "a long, b long").distinct(), "links-across")
-    discard(open_ends, sets)
+    discard(sets)
     return links
 
 
+def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A written table (doc, text) of wanted classes, each by the text of the row that names it."""
+    named = materialize(classes.select("doc", "key", "tag").join(wanted, "doc", "left_semi"), "wanted")
+    # copies of a row fall together on the map side
+    texts = materialize(rows.join(named, ["key", "tag"]).groupBy("doc").agg(F.first("text").alias("text")), "texts")
+    discard(named)
+    return texts
+
+
 def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(doc, sorted distinct shingle hashes) of given texts."""
     schema = "doc long, hashes binary"
@@ -417,6 +443,46 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return known.unionByName(over.join(known.select("doc"), "doc", "left_anti"))
 
 
+def _named_rows(
+    docs: DataFrame, shingle: int, percent: int, key: str, text: str, recall: float, small: int, depth: int, margin: float
+) -> DataFrame:
+    """Per row of ``docs``: key, tag, n_shingles, and least_key and least_tag, those of the least row that links reach."""
+    threshold = percent / 100
+    signed = materialize(signatures(docs, shingle, key, text), "signatures")
+    held = signed.where("n_shingles > 0")
+    classes = held.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("key", "tag", "signature", "brief")).alias("x"))
+    # numbered when written: reading the table again gives the same numbers
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("doc"), "h1", "h2", "n_shingles", "x.*"), "classes")
+    slim = materialize(signed.select("key", "tag", "n_shingles", "h1", "h2"), "rows")
+    discard(signed)
+    nodes, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
+
+    least, sure = threshold - margin, threshold + margin
+    rows = _rows(docs, key, text)
+    pairs = materialize(_forest_pairs(nodes.unionByName(parts), classes, least, sure), "pairs")
+    texts = _texts(rows, classes, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    links = materialize(_confirmed(pairs, texts, percent, shingle), "confirmed")
+    labels = components(links)
+    crossing = materialize(crossing_blocks(large, labels, small), "crossing-blocks")
+    ends = _open_ends(nodes.unionByName(crossing), classes, labels, least)
+    if not ends.isEmpty():
+        # a member of a large node may have a partner in a part that is not its own, and so stand in no pair yet
+        further = materialize(ends.select("doc").distinct().join(texts.select("doc"), "doc", "left_anti"), "further-ends")
+        every = texts if further.isEmpty() else texts.unionByName(_texts(rows, classes, further))
+        across = _links_across(ends, classes, every, least, percent, shingle)
+        more = materialize(_confirmed(across, every, percent, shingle), "confirmed-across")
+        if not more.isEmpty():
+            labels = materialize(_joined(labels, more), "labels")
+    discard(nodes, large, parts, crossing, pairs, links, texts, ends)
+
+    owned = classes.select("doc", "key", "tag", "h1", "h2", "n_shingles").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    roots = materialize(owned.groupBy("label").agg(F.min(F.struct("key", "tag")).alias("least")), "roots")
+    named = materialize(owned.join(roots, "label").select("h1", "h2", "n_shingles", F.col("least.key").alias("least_key"), F.col("least.tag").alias("least_tag")), "named-classes")
+    discard(classes)
+    out = slim.join(named, ["h1", "h2", "n_shingles"], "left")
+    return out.select("key", "tag", "n_shingles", F.coalesce("least_key", "key").alias("least_key"), F.coalesce("least_tag", "tag").alias("least_tag"))
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -432,41 +498,40 @@ def near_duplicates(
 
     Links join texts whose shingle sets have ``100 * intersection >= percent * union``, confirmed on the full sets.
     A text with fewer words than a shingle is one shingle of them all; a null or empty text has none and no links.
-    Rows of one doc_id are one document; a null doc_id counts as larger than all others and reads null as a component.
-    ``margin`` is how far below the threshold a pair's estimate may lie and still be confirmed.
+    Every row stands for itself, so rows that share a doc_id, null too, are linked by their texts alone. A null
+    doc_id is larger than all others: it reads null as a component only where no linked row has an id.
+    ``kept`` is whether doc_id and component_id are equal, nulls too. ``margin`` is how far below the threshold a
+    pair's estimate may lie and still be confirmed.
     """
-    threshold = percent / 100
-    signed = materialize(signatures(docs, shingle, key, text), "signatures")
-    held = signed.where("n_shingles > 0")
-    classes = held.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc", "signature", "brief")).alias("x"))
-    classes = materialize(classes.select("h1", "h2", "n_shingles", "x.*"), "classes")
-    nodes, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
-    wanted = nodes.unionByName(large).select("doc").distinct()
-    texts = _rows(docs, key, text).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    texts = materialize(texts, "texts")
-
-    least, sure = threshold - margin, threshold + margin
-    pairs = materialize(_forest_pairs(nodes.unionByName(parts), classes, least, sure), "pairs")
-    links = materialize(_confirmed(pairs, texts, percent, shingle), "confirmed")
-    labels = components(links)
-    crossing = materialize(crossing_blocks(large, labels, small), "crossing-blocks")
-    across = _links_across(nodes.unionByName(crossing), classes, texts, labels, least, percent, shingle)
-    more = materialize(_confirmed(across, texts, percent, shingle), "confirmed-across")
-    if not more.isEmpty():
-        labels = materialize(_joined(labels, more), "labels")
-    discard(nodes, large, parts, crossing, texts, pairs, links, across, more)
-
-    reps = classes.select("h1", "h2", "n_shingles", F.col("doc").alias("rep"))
-    owned = signed.select("doc", "n_shingles", "h1", "h2").join(reps, ["h1", "h2", "n_shingles"], "left")
-    owned = owned.withColumn("rep", F.coalesce("rep", "doc")).join(labels.select(F.col("doc").alias("rep"), "label"), "rep", "left")
-    clean = lambda c: F.when(c != _NULL_KEY, c)
-    least_doc = F.coalesce("label", "rep")
-    return owned.select(
-        clean(F.col("doc")).alias("doc_id"), "n_shingles", clean(least_doc).alias("component_id"), (F.col("doc") == least_doc).alias("kept")
+    rows = _named_rows(docs, shingle, percent, key, text, recall, small, depth, margin)
+    clean = lambda c: F.when(F.col(c) != _NULL_KEY, F.col(c))
+    return rows.select(
+        clean("key").alias("doc_id"), "n_shingles", clean("least_key").alias("component_id"), (F.col("key") == F.col("least_key")).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that link to one with a lesser key; of repeated rows of a key one stays."""
-    gone = near_duplicates(docs, key=key, text=text, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").select(*docs.columns)
+def keep_one(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    recall: float = 0.97,
+    small: int = 1000,
+    depth: int = 6,
+    margin: float = 0.1,
+) -> DataFrame:
+    """One row of each group of ``docs``: of the rows that links join, the one with the least key, then text hash.
+
+    A null key is larger than all others. Of rows with equal key and text one stays, empty texts too, chosen by the
+    other columns; rows without words are linked with nothing else.
+    """
+    rows = _named_rows(docs, shingle, percent, key, text, recall, small, depth, margin)
+    gone = rows.where("key <> least_key or tag <> least_tag").select("key", "tag").distinct()
+    gone = materialize(gone.select(F.col("key").alias("__key"), F.col("tag").alias("__tag")), "gone")
+    body, rank = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY))
+    # the limit of one row a (key, tag) acts before the shuffle, so copies of a row do not travel
+    first = Window.partitionBy("__row_key", "__row_tag").orderBy(F.xxhash64(*docs.columns))
+    one = docs.withColumns({"__row_key": rank, "__row_tag": F.xxhash64(body)}).withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    same = (F.col("__row_key") == F.col("__key")) & (F.col("__row_tag") == F.col("__tag"))
+    return one.join(gone, same, "left_anti").select(*docs.columns)

@@ -105,6 +105,61 @@ def test_near_duplicates_of_hard_and_empty_tables(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_rows(rows, k, percent=80):
+    """Least key that each row reaches, rows that share a key standing for themselves."""
+    sets = []
+    for _, t in rows:
+        w = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if m == old else m for m in label]
+    least = {}
+    for (i, _), m in zip(rows, label):
+        least[m] = min(least.get(m, NEVER), NEVER if i is None else i)
+    return [None if least[m] == NEVER else least[m] for m in label], sets, label
+
+
+def repeated_key_rows():
+    rng = random.Random(21)
+    one, two, three, four = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, one), (None, one + " x"), (None, two), (None, three), (None, three), (5, one + " y"), (5, four), (9, two + " z"), (9, two + " z")]
+    return rows + [(7, ""), (7, None), (None, ""), (None, None), (8, "short"), (8, "SHORT"), (3, four[:-9] + " q"), (3, sentence(rng, 3000))]
+
+
+def test_rows_of_null_and_repeated_keys_stand_for_themselves(spark):
+    rows = repeated_key_rows()
+    least, sets, label = brute_rows(rows, 5)
+    docs = spark.createDataFrame([(*r, n, "s") for n, r in enumerate(rows)], "doc_id long, text string, key int, tag string")
+    got = near_dedup.near_duplicates(docs).collect()
+    want = Counter((i, len(s), c, i == c) for (i, _), c, s in zip(rows, least, sets))
+    assert Counter(tuple(r) for r in got) == want
+    kept = near_dedup.keep_one(docs).collect()
+    assert len({label[r.key] for r in kept if sets[r.key]}) == sum(1 for r in kept if sets[r.key]) == len({m for m, s in zip(label, sets) if s})
+    for r in kept:
+        if sets[r.key]:
+            assert r.doc_id == least[r.key]
+    assert sorted((str(r.doc_id), r.text or "") for r in kept if not sets[r.key]) == [("7", ""), ("None", "")]
+
+
+def test_many_equal_rows_and_a_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base, hot = sentence(rng, 150).split(), sentence(rng, 60)
+    rows = [(4, hot)] * 2000 + [(None, hot)] * 1000 + [(5 + i, hot) for i in range(500)]
+    for i in range(1300):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"w{i}"
+        rows.append((10_000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {4, 10_000}
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [4, 10_000]
+
+
+
 def test_large_groups_branch_and_stay_whole(spark):
     """Far more near copies than a small node holds: all levels, the parts of the last one, and components."""
     rng = random.Random(2)
