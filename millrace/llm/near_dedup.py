@@ -149,8 +149,11 @@ def _branch(nodes: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
     return nodes.select(*([] if trees else ["path", "levels"]), "doc", "signature").mapInArrow(run, schema)
 
 
-def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, small: int = 1000, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables (path, doc) over all trees: nodes of 2 to ``small`` classes, larger nodes of the last level, their parts.
+def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, small: int = 1000, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written tables (path, doc) over all trees: nodes of 2 to ``small`` classes of the roots' children and of the last
+    level, larger nodes of the last level, their parts.
+
+    Of nodes with the same members, as near copies have in most trees, one stays.
 
     After the roots' children, a larger node goes down in one step as many levels as should make it small at the
     similarity of typical near copies, to level ``depth`` at most. Nodes still larger then are dealt into seeded parts
@@ -158,32 +161,41 @@ def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, sma
     at little cost, while the pairs between the parts are left to ``crossing_blocks``.
     """
     level = materialize(_branch(classes, threshold, trees), "paths-1")
-    first = _sized(level, "nodes-1")
-    discard(level)
-    large = first.where(F.col("n") > small)
+    sizes = _sizes(level, "sizes-1")
+    first = materialize(_distinct_nodes(level, sizes.where(F.col("n") <= small)), "nodes-1")
+    large = level.join(sizes.where(F.col("n") > small).select("path", "n"), "path")
     down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
     large = large.withColumn("levels", F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int"))
     large = large.join(classes.select("doc", "signature"), "doc").select("path", "levels", "doc", "signature")
-    level = materialize(_branch(large, threshold), "paths-2")
-    last = _sized(level, "nodes-2")
-    discard(level)
-    found = first.unionByName(last).where(F.col("n") <= small).select("path", "doc")
-    large = last.where(F.col("n") > small)
+    below = materialize(_branch(large, threshold), "paths-2")
+    discard(level, sizes)
+    sizes = _sizes(below, "sizes-2")
+    last = materialize(_distinct_nodes(below, sizes.where(F.col("n") <= small)), "nodes-2")
+    large = materialize(_distinct_nodes(below, sizes.where(F.col("n") > small)), "large-nodes")
+    discard(below, sizes)
+    pivots = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = materialize(pivots.select("path", F.col("pivot.doc").alias("pivot"), "n"), "pivots")
     salt = F.pmod(F.xxhash64("path", "doc"), F.ceil(2 * F.col("n") / small))
-    parts = large.select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
-    out = materialize(found, "nodes"), materialize(large.select("path", "doc"), "large-nodes"), materialize(parts, "node-parts")
-    discard(first, last)
-    return out
+    parts = large.join(pivots, "path").select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
+    parts = materialize(parts, "node-parts")
+    discard(pivots)
+    return first, last, large, parts
+
 
+def _sizes(level: DataFrame, name: str) -> DataFrame:
+    """A written table of a level's nodes of 2 classes or more: path, n, and two hashes of the set of members.
+
+    Written before it is joined: a join of two plain exchanges can be split where a path is hot, one with an aggregate
+    cannot.
+    """
+    held = [F.bit_xor(F.xxhash64(F.lit(i), "doc")).alias(f"set{i}") for i in (1, 2)]
+    return materialize(level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *held).where("n > 1"), name)
 
-def _sized(level: DataFrame, name: str) -> DataFrame:
-    """A written table of a level's nodes of 2 classes or more: path, doc, n, pivot."""
-    counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"))
-    # written first: a join of two plain exchanges can be split where a path is hot, one with an aggregate cannot
-    counts = materialize(counts.where("n > 1").select("path", "n", F.col("pivot.doc").alias("pivot")), f"{name}-sizes")
-    sized = materialize(level.join(counts, "path").select("path", "doc", "n", "pivot"), name)
-    discard(counts)
-    return sized
+
+def _distinct_nodes(level: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(path, doc) of the nodes in ``sizes``, one path for each set of members: the same set gives the same pairs."""
+    one = sizes.groupBy("n", "set1", "set2").agg(F.min("path").alias("path")).select("path")
+    return level.join(materialize(one, "distinct-nodes"), "path").select(*level.columns)
 
 
 def crossing_blocks(large: DataFrame, labels: DataFrame, small: int) -> DataFrame:
@@ -298,7 +310,10 @@ def _forest_pairs(nodes: DataFrame, classes: DataFrame, least: float, sure: floa
 
 
 def _open_ends(nodes: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """A written table of the members of nodes with a likely partner of another component: path, doc, label."""
+    """A written table of the members of nodes with a likely partner of another component: path, doc, label.
+
+    Of nodes with the same such members one stays.
+    """
     labelled = nodes.join(classes.select("doc", "brief"), "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
     def mark(path: int, held: dict) -> tuple:
@@ -309,7 +324,11 @@ def _open_ends(nodes: DataFrame, classes: DataFrame, labels: DataFrame, least: f
         at = np.array(sorted(found), dtype=np.int64)
         return np.full(len(at), path), held["doc"][at], held["label"][at]
 
-    return materialize(_by_node(labelled, mark, "path long, doc long, label long"), "open-ends")
+    every = materialize(_by_node(labelled, mark, "path long, doc long, label long"), "every-open-end")
+    sizes = _sizes(every, "open-sizes")
+    ends = materialize(_distinct_nodes(every, sizes), "open-ends")
+    discard(every, sizes)
+    return ends
 
 
 def _links_across(open_ends: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
@@ -455,7 +474,8 @@ def _named_rows(
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("doc"), "h1", "h2", "n_shingles", "x.*"), "classes")
     slim = materialize(signed.select("key", "tag", "n_shingles", "h1", "h2"), "rows")
     discard(signed)
-    nodes, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
+    first, last, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
+    nodes = first.unionByName(last)
 
     least, sure = threshold - margin, threshold + margin
     rows = _rows(docs, key, text)
@@ -473,7 +493,7 @@ def _named_rows(
         more = materialize(_confirmed(across, every, percent, shingle), "confirmed-across")
         if not more.isEmpty():
             labels = materialize(_joined(labels, more), "labels")
-    discard(nodes, large, parts, crossing, pairs, links, texts, ends)
+    discard(first, last, large, parts, crossing, pairs, links, texts, ends)
 
     owned = classes.select("doc", "key", "tag", "h1", "h2", "n_shingles").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     roots = materialize(owned.groupBy("label").agg(F.min(F.struct("key", "tag")).alias("least")), "roots")
