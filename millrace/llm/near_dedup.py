@@ -8,11 +8,13 @@ Nodes of up to ``small`` classes are compared exhaustively by signature; larger
 once, since only the last level is compared, but no deeper than the level that the number of trees counts on.
 
 A node gives a maximum spanning forest of its likely pairs, so the pairs are linear in its members. They are
-confirmed on the full shingle sets and joined into components; then the nodes are read again, and every likely
-pair that still lies across components is compared within its node on shingle hashes, none left out, and what is
-similar there is confirmed too. A node that is still large at the last level gives its forest by seeded parts, but is
-compared across components as a whole, block against block in nodes of about ``small``. Level tables are written to the shared
-folder; keys of hot nodes are only counted and joined, and a node is gathered only once it is small.
+confirmed on the full shingle sets and joined into components. Large nodes first give the forests of seeded parts: one
+that these links settle, with few members outside one component, goes no deeper, and the settled nodes of a component are
+merged. At the end the nodes are read again, and every likely pair that still lies across components is compared within
+its node on shingle hashes, none left out, and what is similar there is confirmed too; a node that is settled, or still
+large at the last level, is compared so as a whole, block against block in nodes of about
+``small``. Level tables are written to the shared folder; keys of hot nodes are only counted and joined, and a node is
+gathered only once it is small.
 
 Up to the last step all work is on classes (``doc`` is a class's number); rows are named by key and text hash, so
 null and repeated keys stay apart, and only texts of classes in a likely pair are shuffled.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,37 +152,67 @@ def _branch(nodes: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
     return nodes.select(*([] if trees else ["path", "levels"]), "doc", "signature").mapInArrow(run, schema)
 
 
-def small_nodes(classes: DataFrame, threshold: float = 0.8, trees: int = 15, small: int = 1000, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Written tables (path, doc) over all trees: nodes of 2 to ``small`` classes of the roots' children and of the last
-    level, larger nodes of the last level, their parts.
+def _parts(large: DataFrame, small: int, name: str) -> DataFrame:
+    """A written table (path, doc) of large nodes dealt into seeded parts of about half of ``small``.
 
-    Of nodes with the same members, as near copies have in most trees, one stays.
+    A node's least-hash class is a member of all its parts: enough to join most near copies at little cost.
+    """
+    pivots = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = materialize(pivots.select("path", F.col("pivot.doc").alias("pivot"), "n"), "pivots")
+    salt = F.pmod(F.xxhash64("path", "doc"), F.ceil(2 * F.col("n") / small))
+    parts = large.join(pivots, "path").select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
+    parts = materialize(parts, name)
+    discard(pivots)
+    return parts
+
+
+def root_nodes(classes: DataFrame, threshold: float, trees: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (path, doc) of the roots' children: nodes of 2 to ``small`` classes, and larger nodes.
 
-    After the roots' children, a larger node goes down in one step as many levels as should make it small at the
-    similarity of typical near copies, to level ``depth`` at most. Nodes still larger then are dealt into seeded parts
-    of about half that size, each with the node's least-hash class as a common member: enough to join most near copies
-    at little cost, while the pairs between the parts are left to ``crossing_blocks``.
+    Of small nodes with the same members, as near copies have in most trees, one stays.
     """
     level = materialize(_branch(classes, threshold, trees), "paths-1")
     sizes = _sizes(level, "sizes-1")
-    first = materialize(_distinct_nodes(level, sizes.where(F.col("n") <= small)), "nodes-1")
-    large = level.join(sizes.where(F.col("n") > small).select("path", "n"), "path")
-    down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
-    large = large.withColumn("levels", F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int"))
-    large = large.join(classes.select("doc", "signature"), "doc").select("path", "levels", "doc", "signature")
-    below = materialize(_branch(large, threshold), "paths-2")
+    nodes = materialize(_distinct_nodes(level, sizes.where(F.col("n") <= small)), "nodes-1")
+    large = materialize(level.join(sizes.where(F.col("n") > small), "path", "left_semi"), "large-1")
     discard(level, sizes)
+    return nodes, large
+
+
+def _judged(large: DataFrame, labels: DataFrame, small: int, depth: int) -> DataFrame:
+    """A written table of large nodes: path, ``main`` (the label of its largest component), ``settled``, ``levels``.
+
+    A node is settled where at most ``small / 2`` members lie outside its main component: comparing them with all is
+    linear in the node, so it goes no deeper. ``levels`` is how many levels down should make another node small at the
+    similarity of typical near copies, to level ``depth`` at most.
+    """
+    held = large.join(labels, "doc", "left").select("path", F.coalesce("label", "doc").alias("label"))
+    counts = held.groupBy("path", "label").agg(F.count(F.lit(1)).alias("m"))
+    sizes = counts.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most"))
+    down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
+    levels = F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int")
+    settled = 2 * (F.col("n") - F.col("most.m")) <= small
+    return materialize(sizes.select("path", F.col("most.label").alias("main"), settled.alias("settled"), levels.alias("levels")), "judged")
+
+
+def _merged(large: DataFrame, judged: DataFrame) -> DataFrame:
+    """(path, doc): the settled nodes of one main component as one node, which holds every pair of theirs."""
+    own = large.join(judged.where("settled").select("path", "main"), "path")
+    return own.select(F.xxhash64(F.lit("component"), "main").alias("path"), "doc").distinct()
+
+
+def _descended(deeper: DataFrame, classes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (path, doc) of the last level below (path, levels, doc): nodes of 2 to ``small`` classes, and larger nodes.
+
+    Of nodes with the same members one stays.
+    """
+    below = deeper.join(classes.select("doc", "signature").hint("merge"), "doc").select("path", "levels", "doc", "signature")
+    below = materialize(_branch(below, threshold), "paths-2")
     sizes = _sizes(below, "sizes-2")
-    last = materialize(_distinct_nodes(below, sizes.where(F.col("n") <= small)), "nodes-2")
-    large = materialize(_distinct_nodes(below, sizes.where(F.col("n") > small)), "large-nodes")
+    nodes = materialize(_distinct_nodes(below, sizes.where(F.col("n") <= small)), "nodes-2")
+    large = materialize(_distinct_nodes(below, sizes.where(F.col("n") > small)), "large-2")
     discard(below, sizes)
-    pivots = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = materialize(pivots.select("path", F.col("pivot.doc").alias("pivot"), "n"), "pivots")
-    salt = F.pmod(F.xxhash64("path", "doc"), F.ceil(2 * F.col("n") / small))
-    parts = large.join(pivots, "path").select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
-    parts = materialize(parts, "node-parts")
-    discard(pivots)
-    return first, last, large, parts
+    return nodes, large
 
 
 def _sizes(level: DataFrame, name: str) -> DataFrame:
@@ -195,7 +228,7 @@ def _sizes(level: DataFrame, name: str) -> DataFrame:
 def _distinct_nodes(level: DataFrame, sizes: DataFrame) -> DataFrame:
     """(path, doc) of the nodes in ``sizes``, one path for each set of members: the same set gives the same pairs."""
     one = sizes.groupBy("n", "set1", "set2").agg(F.min("path").alias("path")).select("path")
-    return level.join(materialize(one, "distinct-nodes"), "path").select(*level.columns)
+    return level.join(materialize(one, "distinct-nodes"), "path", "left_semi")
 
 
 def crossing_blocks(large: DataFrame, labels: DataFrame, small: int) -> DataFrame:
@@ -337,7 +370,7 @@ def _links_across(open_ends: DataFrame, classes: DataFrame, texts: DataFrame, le
     Only open ends carry their shingle hashes to the nodes, where their likely pairs are compared, so what comes out
     is links and not candidates.
     """
-    sets = materialize(_hash_sets(texts.join(open_ends.select("doc").distinct(), "doc", "left_semi"), shingle), "open-sets")
+    sets = materialize(_hash_sets(texts.join(open_ends.select("doc").distinct(), "doc", "left_semi"), shingle), "open-sets").hint("merge")
 
     def compare(path: int, held: dict) -> tuple:
         out = set()
@@ -350,18 +383,33 @@ def _links_across(open_ends: DataFrame, classes: DataFrame, texts: DataFrame, le
         return tuple(zip(*sorted(out))) or ((), ())
 
     carried = open_ends.join(classes.select("doc", "brief"), "doc").join(sets, "doc")
-    links = materialize(_by_node(carried, compare, "a long, b long").distinct(), "links-across")
-    discard(sets)
-    return links
+    return materialize(_by_node(carried, compare, "a long, b long").distinct(), "links-across")
+
+
+class _Texts:
+    """Written tables (doc, text) of the classes asked for so far, each by the text of the row that names it."""
 
+    def __init__(self, rows: DataFrame, classes: DataFrame):
+        self.rows, self.classes, self.held = rows, classes, []
 
-def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A written table (doc, text) of wanted classes, each by the text of the row that names it."""
-    named = materialize(classes.select("doc", "key", "tag").join(wanted, "doc", "left_semi"), "wanted")
-    # copies of a row fall together on the map side
-    texts = materialize(rows.join(named, ["key", "tag"]).groupBy("doc").agg(F.first("text").alias("text")), "texts")
-    discard(named)
-    return texts
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """A table with at least the texts of the wanted classes (doc)."""
+        for table in self.held:
+            wanted = wanted.join(table.select("doc"), "doc", "left_anti")
+        named = materialize(self.classes.select("doc", "key", "tag").join(wanted.distinct(), "doc", "left_semi"), "wanted")
+        if not self.held or not named.isEmpty():
+            # copies of a row fall together on the map side
+            texts = self.rows.join(named, ["key", "tag"]).groupBy("doc").agg(F.first("text").alias("text"))
+            self.held.append(materialize(texts, "texts"))
+        discard(named)
+        return reduce(DataFrame.unionByName, self.held)
+
+
+def _across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends no links join yet."""
+    of = lambda end: labels.select(F.col("doc").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return ends.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
 def _hash_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -411,8 +459,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    first = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), "a")
-    both = first.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), "b")
+    # never broadcast: the texts have no size bound
+    first = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")).hint("merge"), "a")
+    both = first.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")).hint("merge"), "b")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
@@ -474,26 +523,45 @@ def _named_rows(
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("doc"), "h1", "h2", "n_shingles", "x.*"), "classes")
     slim = materialize(signed.select("key", "tag", "n_shingles", "h1", "h2"), "rows")
     discard(signed)
-    first, last, large, parts = small_nodes(classes, threshold, trees_for(recall, threshold, depth), small, depth)
-    nodes = first.unionByName(last)
-
     least, sure = threshold - margin, threshold + margin
-    rows = _rows(docs, key, text)
-    pairs = materialize(_forest_pairs(nodes.unionByName(parts), classes, least, sure), "pairs")
-    texts = _texts(rows, classes, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    links = materialize(_confirmed(pairs, texts, percent, shingle), "confirmed")
-    labels = components(links)
-    crossing = materialize(crossing_blocks(large, labels, small), "crossing-blocks")
-    ends = _open_ends(nodes.unionByName(crossing), classes, labels, least)
+    texts = _Texts(_rows(docs, key, text), classes)
+
+    def linked(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Labels after the links of the nodes' forests."""
+        pairs = _forest_pairs(nodes, classes, least, sure)
+        pairs = materialize(pairs if labels is None else _across_components(pairs, labels), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+        links = materialize(_confirmed(pairs, texts.of(ends), percent, shingle), "confirmed")
+        out = components(links) if labels is None else materialize(_joined(labels, links), "labels")
+        discard(pairs, links)
+        return out
+
+    nodes, large = root_nodes(classes, threshold, trees_for(recall, threshold, depth), small)
+    parts = _parts(large, small, "parts-1")
+    labels = linked(nodes.unionByName(parts), None)
+    judged = _judged(large, labels, small, depth)
+    deeper = materialize(large.join(judged.where("not settled").select("path", "levels"), "path"), "deeper")
+    below, still_large = _descended(deeper, classes, threshold, small)
+    whole = _merged(large, judged)
+    discard(parts, deeper)
+    if not (below.isEmpty() and still_large.isEmpty()):
+        judged = _judged(still_large, labels, small, depth)
+        mixed = materialize(still_large.join(judged.where("not settled"), "path", "left_semi"), "mixed")
+        parts = _parts(mixed, small, "parts-2")
+        labels = linked(below.unionByName(parts), labels)
+        whole = whole.unionByName(_merged(still_large, judged)).distinct().unionByName(mixed)
+        discard(parts)
+    whole = materialize(whole, "whole-nodes")
+    discard(large, still_large)
+    crossing = materialize(crossing_blocks(whole, labels, small), "crossing-blocks")
+    ends = _open_ends(nodes.unionByName(below).unionByName(crossing), classes, labels, least)
     if not ends.isEmpty():
-        # a member of a large node may have a partner in a part that is not its own, and so stand in no pair yet
-        further = materialize(ends.select("doc").distinct().join(texts.select("doc"), "doc", "left_anti"), "further-ends")
-        every = texts if further.isEmpty() else texts.unionByName(_texts(rows, classes, further))
-        across = _links_across(ends, classes, every, least, percent, shingle)
-        more = materialize(_confirmed(across, every, percent, shingle), "confirmed-across")
+        held = texts.of(ends.select("doc"))
+        across = _links_across(ends, classes, held, least, percent, shingle)
+        more = materialize(_confirmed(across, held, percent, shingle), "confirmed-across")
         if not more.isEmpty():
             labels = materialize(_joined(labels, more), "labels")
-    discard(first, last, large, parts, crossing, pairs, links, texts, ends)
+    discard(nodes, below, whole, crossing, ends, *texts.held)
 
     owned = classes.select("doc", "key", "tag", "h1", "h2", "n_shingles").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     roots = materialize(owned.groupBy("label").agg(F.min(F.struct("key", "tag")).alias("least")), "roots")
