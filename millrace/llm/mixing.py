@@ -7,8 +7,10 @@ in seeded order, laid end to end and cut into blocks; from a seeded start, as ma
 taken in turn, around the end as often as needed. Since the order is seeded, neighbouring blocks are a random
 sample of whole documents, and only a shard's first and last block cut one.
 
-Only per-source and per-shard totals pass through the apportionment, at most ``max_shards`` rows a source;
-documents are placed by windows over shards of about ``shard_docs`` rows, so a hot source is many small sorts.
+Only totals pass through the apportionment: one row per source, ``MOST_SOURCES`` at most (checked), and one row per
+``shard_docs`` documents of a source, so 500,000 small rows where one source has a billion documents. Documents are
+placed by windows over shards of about ``shard_docs`` rows, so a hot source is many small sorts. Equal rows are laid out
+as one row with a number of copies, so they are no hot key.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import WORD, map_chunks, materialize, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Sources are ordered and apportioned in one task; finer owners than this (single pages, say) are no sources.
+MOST_SOURCES = 1_000_000
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray | None = None) -> np.ndarray:
@@ -68,7 +72,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     Weights repeat over the sources by code point, null last. The targets sum to ``share`` of all sizes, as far as
     ``epochs`` times the sizes allow: what is above a source's limit goes to the others by weight until none is above.
     """
-    dims = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    return _targets(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), weights, share, epochs)
+
+
+def _targets(dims: DataFrame, weights: tuple[float, ...], share: float, epochs: float) -> DataFrame:
     # one row per source from here on: the windows without keys hold no documents
     ranked = dims.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") - 1) % len(weights) + 1)
@@ -119,36 +126,42 @@ def plan_mix(
     epochs: float = 2.0,
     block: int = 16,
     shard_docs: int = 2000,
-    max_shards: int = 4096,
     seed: int = 20240,
 ) -> DataFrame:
     """Per row of ``docs``: key, size, source_size, target, ``taken``, and the two runs of its words that are taken.
 
     ``base`` is how often all its words are taken; ``from1``/``to1`` and ``from2``/``to2`` are word ranges taken once
-    more (empty where from >= to). Null or empty texts have size 0 and are taken 0 times. Repeated rows are laid out
-    one after another, each with its own share. ``doc_hash`` tells apart rows of one key with different texts.
+    more (empty where from >= to). Null or empty texts have size 0 and are taken 0 times. Rows equal in key, text and
+    source are laid out one after another, each with its own share, and numbered by ``copy`` from 1. ``doc_hash`` tells
+    apart rows of one key with different texts. More than ``MOST_SOURCES`` sources raise an error.
     """
     sizes = materialize(
         docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("doc_hash")),
         "mix-sizes",
     )
-    dims = source_targets(sizes, weights, share, epochs)
+    totals = materialize(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "mix-totals")
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    dims = _targets(totals, weights, share, epochs)
     fields = "source string, rank int, n_docs long, source_size long, weight double, target double, blocks long"
     dims = dims.groupBy().applyInPandas(_apportion_sources(block, epochs), fields)
-    shards = F.least(F.lit(max_shards), F.ceil(F.col("n_docs") / shard_docs)).cast("int")
+    shards = F.ceil(F.col("n_docs") / shard_docs).cast("int")
     dims = materialize(dims.withColumn("shards", F.greatest(F.lit(1), shards)), "mix-sources")
 
     seeded = F.xxhash64(F.lit(seed), "doc_id", "doc_hash")
-    placed = sizes.withColumn("held", F.struct("source")).join(
+    copied = sizes.groupBy("doc_id", "source", "size", "doc_hash").agg(F.count(F.lit(1)).alias("copies"))
+    placed = copied.withColumn("held", F.struct("source")).join(
         dims.select(F.struct("source").alias("held"), "rank", "source_size", "target", "blocks", "shards"), "held"
     )
     placed = placed.withColumn("shard", F.pmod(seeded, F.col("shards")).cast("int"))
-    by_shard = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
+    words = F.col("size") * F.col("copies")
+    by_shard = placed.groupBy("rank", "shard").agg(F.sum(words).alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = by_shard.groupBy("rank").applyInPandas(_apportion_shards(block, epochs), "rank int, shard int, shard_size long, quota long")
 
     in_order = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), seeded), "doc_id", "doc_hash")
-    laid = placed.withColumn("end", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    laid = laid.withColumn("start", F.col("end") - F.col("size")).join(quotas, ["rank", "shard"])
+    laid = placed.withColumn("end", F.sum(words).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    laid = laid.join(quotas, ["rank", "shard"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    laid = laid.withColumn("start", F.col("end") - F.col("size") * (F.col("copies") - F.col("copy") + 1))
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)).cast("long")
     more = F.col("quota") % n
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "shard"), n) * block
@@ -166,7 +179,7 @@ def plan_mix(
     )
     again = F.greatest(F.lit(0), F.col("to1") - F.col("from1")) + F.greatest(F.lit(0), F.col("to2") - F.col("from2"))
     taken = (F.col("base") * F.col("size") + again).cast("long")
-    return laid.select("doc_id", "doc_hash", "source", "size", "source_size", "target", taken.alias("taken"), "base", "from1", "to1", "from2", "to2")
+    return laid.select("doc_id", "doc_hash", "source", "copy", "size", "source_size", "target", taken.alias("taken"), "base", "from1", "to1", "from2", "to2")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -192,18 +205,20 @@ def _taken_text(text: str, size: int, base: int, *runs: int) -> str:
     return "\n".join(parts)
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: rows that it takes no word of go, a row's text holds its taken words.
 
-    A whole text is kept as it is; repeats and partial runs follow one another on new lines. Other columns stay.
+    A whole text is kept as it is; repeats and partial runs follow one another on new lines. Other columns stay. Every
+    row gets the share planned for its key, text and source; of equal rows, each copy's share goes to one.
     """
-    plan = plan_mix(docs, key=key, text=text, **how).where(F.col("taken") > 0)
-    numbered = Window.partitionBy("doc_id", "doc_hash").orderBy("base", "from1", "to1", "to2")
-    plan = plan.withColumn("n", F.row_number().over(numbered))
-    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "doc_hash", "n", *_PLAN)])
+    plan = plan_mix(docs, key=key, text=text, source=source, **how).where(F.col("taken") > 0)
+    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "doc_hash", "source", "copy", *_PLAN)])
     mine = docs.withColumn("__hash", F.xxhash64(text))
-    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0))))
-    same = mine[key].eqNullSafe(plan["__mix_doc_id"]) & (mine["__hash"] == plan["__mix_doc_hash"]) & (mine["__n"] == plan["__mix_n"])
+    # rows equal in key, text and source differ in other columns at most: those order them, whatever the run
+    equal = Window.partitionBy(key, "__hash", source).orderBy(F.xxhash64(*docs.columns))
+    mine = mine.withColumn("__copy", F.row_number().over(equal).cast("long"))
+    same = mine[key].eqNullSafe(plan["__mix_doc_id"]) & (mine["__hash"] == plan["__mix_doc_hash"]) & mine[source].eqNullSafe(plan["__mix_source"])
+    same = same & (mine["__copy"] == plan["__mix_copy"])
     ready = mine.join(plan, same).select(*[mine[c] for c in docs.columns], *[f"__mix_{c}" for c in _PLAN])
 
     def cut(held: dict[str, list]) -> dict[str, list]:

@@ -123,6 +123,27 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert Counter((r.doc_id, len(words(r.text))) for r in out.collect()) == plan
 
 
+def test_mixed_documents_of_repeated_rows_keep_each_source_share(spark):
+    """Equal texts under one id in three sources, many copies: words a source equal the plan, twice in a row."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(60)) for _ in range(3)]
+    rows = [(1, texts[0], s) for s in ("a", "b", None) for _ in range(40)] + [(None, texts[1], s) for s in ("a", "b", "b", "b")] + [(i, texts[2], "a") for i in range(30)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, copy int").repartition(3)
+    plan = mixing.plan_mix(docs).collect()
+    assert len(plan) == len(rows)
+    planned = Counter()
+    for r in plan:
+        planned[r.source] += r.taken
+    runs = [sorted((r.copy, r.source, r.text) for r in mixing.mixed_documents(docs.repartition(n)).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1]
+    got = Counter()
+    for _, s, t in runs[0]:
+        got[s] += len(words(t))
+    assert got == planned
+    targets = brute_targets({s: sum(60 for r in rows if r[2] == s) for s in ("a", "b", None)})
+    assert all(abs(got[s] - targets[s]) <= 33 for s in targets)
+
+
 def test_word_encoder_equals_the_tokenizer():
     whole = Tokenizer.from_file(TOKENIZER)
     texts = [r[1] for r in hard_rows()] + ["don't STOP—now... I'll ﬁ ΣΑΣ İstanbul é ́x <|endoftext|>a 'sx x's 12ab_c", "x" * 5000]
