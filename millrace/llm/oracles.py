@@ -28,15 +28,15 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, C
 spans AS MATERIALIZED ({" UNION ALL ".join(_kind(i, *d) for i, d in enumerate(DETECTORS))}),
 judged AS (SELECT rid, sha256(val) AS h, len(list_distinct(string_split(val, ''))) >= 6 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
    AND NOT regexp_matches(val, '(?i)example|sample|changeme|placeholder|dummy|xxxx|your[_-]?|123456|abcdef') AS random FROM spans),
-owners AS (SELECT h, count(*) AS n_owners FROM (SELECT DISTINCT h, source FROM judged JOIN docs USING (rid)) GROUP BY h),
-per_row AS (SELECT rid, count(*) FILTER (WHERE random AND n_owners <= 2) AS n_live, count(*) FILTER (WHERE n_owners > 2) AS n_shared, max(n_owners) AS max_owners
-   FROM judged JOIN owners USING (h) GROUP BY rid),
+owners AS (SELECT h, count(DISTINCT COALESCE('=' || source, '')) AS n_owners, count(*) AS n_repositories FROM (SELECT DISTINCT h, source, doc_id FROM judged JOIN docs USING (rid)) GROUP BY h),
+per_row AS (SELECT rid, count(*) FILTER (WHERE random AND n_owners <= 2 AND n_repositories <= 20) AS n_live, count(*) FILTER (WHERE n_owners > 2 OR n_repositories > 20) AS n_shared,
+   max(n_owners) AS max_owners, max(n_repositories) AS max_repositories FROM judged JOIN owners USING (h) GROUP BY rid),
 texts AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
    COALESCE(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE rank < 3), '') AS base,
    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY rid)
 SELECT doc_id, CAST(COALESCE(n_assign, 0) AS BIGINT) AS n_assign, CAST(COALESCE(n_access, 0) AS BIGINT) AS n_access, CAST(COALESCE(n_hex, 0) AS BIGINT) AS n_hex,
   sha256(COALESCE(base, '')) AS base_sha256, COALESCE(texts.spans, '') AS spans, CAST(COALESCE(n_live, 0) AS BIGINT) AS n_live,
-  CAST(COALESCE(n_shared, 0) AS BIGINT) AS n_shared, CAST(COALESCE(max_owners, 0) AS BIGINT) AS max_owners
+  CAST(COALESCE(n_shared, 0) AS BIGINT) AS n_shared, CAST(COALESCE(max_owners, 0) AS BIGINT) AS max_owners, CAST(COALESCE(max_repositories, 0) AS BIGINT) AS max_repositories
 FROM docs LEFT JOIN texts USING (rid) LEFT JOIN per_row USING (rid)
 """
 

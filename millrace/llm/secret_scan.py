@@ -1,17 +1,19 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
-Every text is scanned once for candidates; each candidate keeps its kind, its span in code points and the
-SHA-256 of its value, never the value itself. The hashes are then aggregated over the whole corpus by distinct
-owners and repositories: a value that many owners hold is a copied example, one that few hold and that looks
-random is taken for a live credential of its owner.
-
-A hot value is first reduced to one row per (hash, owner, repository), on the map side, so the counts never
-gather its copies; the join back is a plain equi-join that adaptive execution can split.
+Every text is scanned once for candidates; each candidate keeps its kind, its place in code points and the SHA-256
+of its value, never the value itself. The hashes are then aggregated over the whole corpus by distinct owners and
+distinct repositories (documents of an owner): a value that many owners hold, or that stands in many repositories of
+one owner, is a copied example; one that few hold and that looks random is taken for a live credential of its owner.
+
+A scan gives the lengths of matches and of the pieces between them; their running sums over exploded rows are the
+positions, so a text with many matches costs as much a match as one with few. A hot value is first reduced to one row
+per (hash, owner, repository), on the map side; the counts are written before they are joined to the candidates, and
+a join of two plain exchanges is one that adaptive execution can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize
@@ -29,126 +31,136 @@ BASE_KINDS = ("assign", "access", "hex")
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your[_-]?|123456|abcdef"
 REDACTED = "[REDACTED]"
 
+#: A value is a shared example where more owners than this hold it, or where it stands in more repositories than this.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 20
+_HIT = "array<struct<rank:int,nth:int,gap:int,length:int,valid:boolean,hash:string,random:boolean>>"
 
-def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches of one detector, as structs ordered by start.
 
-    Spark's functions give the matches and the pieces between them; running sums of their lengths are the positions.
-    """
+def _looks_live(value: Column) -> Column:
+    """Letters and digits, at least six different characters, no stand-in words."""
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= 6
+    return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+
+
+def _hits(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches of one detector in order: length of the piece before, own length, value's hash."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = F.arrays_zip(between.alias("gap"), found.alias("hit"))
-    zipped = F.transform(F.slice(step, F.lit(1), F.size(found)), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+
+    def hit(x: Column, i: Column) -> Column:
         value = F.regexp_extract(x["hit"], pattern, group) if group else x["hit"]
-        row = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+        return F.struct(
+            F.lit(rank).alias("rank"), i.alias("nth"), x["gap"].alias("gap"), F.length(x["hit"]).alias("length"),
+            (F.length(value) >= least).alias("valid"), F.sha2(value, 256).alias("hash"), _looks_live(value).alias("random"),
+        )
 
-    every = F.aggregate(zipped, start, add, lambda s: s["out"])
-    kept = F.filter(every, lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(pattern), kept).otherwise(empty)
+    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
+    return F.when(text.rlike(pattern), F.transform(zipped, hit)).otherwise(F.array().cast(_HIT))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> Column:
-    """All detectors' spans of a text, by start, then in the order of the detectors; empty for a null text."""
+def _every_hit(text: str) -> Column:
     body = F.coalesce(F.col(text), F.lit(""))
-    return F.array_sort(F.concat(*[_spans(body, kind, i, *rest) for i, (kind, *rest) in enumerate(DETECTORS)]))
+    return F.concat(*[_hits(body, i, *rest) for i, (_, *rest) in enumerate(DETECTORS)])
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+def spans(hits: DataFrame) -> DataFrame:
+    """A written table of candidates of (row_id, doc_id, owner, hits) rows: start, end, rank of the detector, hash, random.
 
-
-def _looks_live(value: Column) -> Column:
-    """Letters and digits, at least six different characters, no stand-in words."""
-    varied = F.size(F.array_distinct(F.split(value, ""))) >= 6
-    return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
-
-
-def _hashed(spans: Column) -> Column:
-    """Spans with the SHA-256 of the value and whether it looks random in place of the value."""
-    return F.transform(
-        spans,
-        lambda x: F.struct(
-            x["start"], x["rank"], x["end"], x["kind"], F.sha2(x["value"], 256).alias("hash"), _looks_live(x["value"]).alias("random")
-        ),
-    )
+    Candidates with too short a value are left out, after their lengths have counted.
+    """
+    one = hits.where(F.size("hits") > 0).select("row_id", "doc_id", "owner", F.explode("hits").alias("hit")).select("row_id", "doc_id", "owner", "hit.*")
+    order = Window.partitionBy("row_id", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = one.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(order)).where("valid")
+    return materialize(placed.select("row_id", "doc_id", "owner", (F.col("end") - F.col("length")).alias("start"), "end", "rank", "hash", "random"), "secret-spans")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """One row per row of ``docs``: a row id, key, owner, spans with value hashes; written to the shared folder.
+def ownership(found: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """A written table, one row per candidate hash: distinct owners, distinct repositories, and whether it is ``shared``.
 
-    The row id lets repeated rows and null keys stay apart.
+    A repository is a document id of an owner; a null owner is an owner, and a null id a repository, of its own, so
+    repeated rows count once.
     """
-    hashed = _hashed(candidates(docs, text))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(owner).alias("owner"), hashed.alias("spans"))
-    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "secret-scan")
+    one = found.select("hash", F.struct("owner").alias("held"), "doc_id").distinct()
+    by_owner = one.groupBy("hash", "held").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    shared = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
+    return materialize(counts.withColumn("shared", shared), "secret-owners")
 
 
-def ownership(scanned: DataFrame, most_owners: int = 2) -> DataFrame:
-    """One row per candidate hash: distinct owners and repositories (owner and document), and whether it is ``shared``.
+def judged(found: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """Candidates with the counts of their hash, ``shared``, and ``live``: random-looking and not shared."""
+    return found.join(ownership(found, most_owners, most_repositories), "hash").withColumn("live", F.col("random") & ~F.col("shared"))
 
-    A null owner counts as one owner of its own.
-    """
-    one = scanned.where(F.size("spans") > 0).select("owner", "doc_id", F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash"))
-    held = F.struct(F.col("owner"))
-    by_owner = one.groupBy("hash", held.alias("held")).agg(F.count(F.lit(1)).alias("n"))
-    counts = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
-    return counts.withColumn("shared", F.col("n_owners") > most_owners)
-
-
-def classify(scanned: DataFrame, most_owners: int = 2) -> DataFrame:
-    """``scanned`` with ``live``: hashes that look random and that few owners hold, ``n_shared`` and ``n_live`` spans, ``max_owners``."""
-    held = scanned.where(F.size("spans") > 0).select("row_id", F.explode("spans").alias("span"))
-    held = held.select("row_id", F.col("span.hash").alias("hash"), F.col("span.random").alias("random"))
-    judged = held.join(ownership(scanned, most_owners), "hash")
-    live = F.col("random") & ~F.col("shared")
-    by_row = judged.groupBy("row_id").agg(
-        F.collect_set(F.when(live, F.col("hash"))).alias("live"),
-        F.count_if("shared").alias("n_shared"),
-        F.count_if(live).alias("n_live"),
-        F.max("n_owners").alias("max_owners"),
-    )
-    return scanned.join(by_row, "row_id", "left")
+
+def _listed(ranks: list[int] | None = None) -> Column:
+    """A row's candidates of some detectors as kind:start:end, by start, then in the order of the detectors."""
+    row = F.struct("start", "rank", "end")
+    held = F.array_sort(F.collect_list(row if ranks is None else F.when(F.col("rank").isin(ranks), row)))
+    kinds = F.array(*[F.lit(kind) for kind, *_ in DETECTORS])
+    return F.array_join(F.transform(held, lambda x: F.concat_ws(":", kinds[x["rank"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES
+) -> DataFrame:
     """Per row of ``docs``: counts of base candidates, digest of their spans, all spans, and what ownership says of them.
 
     A null or empty text has no spans: counts 0, the digest of the empty string, ``spans`` empty. Repeated rows each
-    give a row. ``n_live`` counts owner-specific random-looking candidates, ``n_shared`` candidates that more than
-    ``most_owners`` owners hold, ``max_owners`` the owners of the most widely held one (0 without candidates).
+    give a row. ``n_live`` counts owner-specific random-looking candidates, ``n_shared`` those that more than
+    ``most_owners`` owners or ``most_repositories`` repositories hold; ``max_owners`` and ``max_repositories`` are those
+    of the most widely held candidate (0 without candidates).
     """
-    done = classify(scan(docs, key, text, owner), most_owners)
-    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    return done.select(
+    # the row id is written with the rows, so repeated rows and null keys stay apart
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("doc_id"), F.col(owner).alias("owner"), _every_hit(text).alias("hits"))
+    scanned = materialize(rows, "secret-scan")
+    found = judged(spans(scanned), most_owners, most_repositories)
+    base = [i for i, (kind, *_) in enumerate(DETECTORS) if kind in BASE_KINDS]
+    counts = {f"n_{DETECTORS[i][0]}": F.count_if(F.col("rank") == i) for i in base}
+    counts |= {"n_live": F.count_if("live"), "n_shared": F.count_if("shared"), "max_owners": F.max("n_owners"), "max_repositories": F.max("n_repositories")}
+    by_row = found.groupBy("row_id").agg(_listed(base).alias("base"), _listed().alias("spans"), *[c.alias(n) for n, c in counts.items()])
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return scanned.select("row_id", "doc_id").join(by_row, "row_id", "left").select(
         "doc_id",
-        *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
-        F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_shared", "max_owners")],
+        *[number(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans"),
+        *[number(c) for c in ("n_live", "n_shared", "max_owners", "max_repositories")],
     )
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def _without(text: Column, live: Column, pattern: str, group: int) -> Column:
+    """``text`` with the values of one detector's matches replaced where their hash is in one of the buckets ``live``."""
+
+    def clean(hit: Column) -> Column:
+        value = F.regexp_extract(hit, pattern, group) if group else hit
+        digest = F.sha2(value, 256)
+        bucket = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % F.size(live)
+        return F.when(F.array_contains(live[bucket], digest), F.replace(hit, value, F.lit(REDACTED))).otherwise(hit)
+
+    between = F.split(text, pattern, -1)
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), clean)
+    rest = F.zip_with(hits, F.slice(between, F.lit(2), F.size(hits)), lambda h, g: F.concat(h, g))
+    return F.concat(between[0], F.array_join(rest, ""))
+
+
+def redact(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES
+) -> DataFrame:
     """``docs`` with every owner-specific live-looking credential replaced in ``text``; shared examples stay.
 
-    The values are found in the text again where the document has a live hash, longest first, so that one that
-    contains another goes as a whole. All rows and columns are kept.
+    The values are found again, detector by detector, where the document has a live hash, and compared by hash. All
+    rows and columns are kept; rows equal in key, owner and text are one to the scan.
     """
     marked = docs.withColumn("__row", F.struct(F.col(key).alias("k"), F.col(owner).alias("o"), F.xxhash64(text).alias("t")))
-    body = candidates(docs, text)
-    rows = marked.select(F.col("__row").alias("row_id"), F.col(key).alias("doc_id"), F.col(owner).alias("owner"), _hashed(body).alias("spans"))
-    hits = materialize(rows.where(F.size("spans") > 0).dropDuplicates(["row_id"]), "secret-hits")
-    live = classify(hits, most_owners).where(F.size("live") > 0).select(F.col("row_id").alias("__hit"), F.col("live").alias("__live"))
-    joined = marked.join(live, marked["__row"].eqNullSafe(live["__hit"]), "left")
-    values = F.filter(body, lambda x: F.array_contains(F.col("__live"), F.sha2(x["value"], 256)))
-    longest = F.reverse(F.array_sort(F.array_distinct(F.transform(values, lambda x: F.struct(F.length(x["value"]).alias("n"), x["value"].alias("value"))))))
-    cleaned = F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x["value"], F.lit(REDACTED)))
-    return joined.withColumn(text, F.when(F.col("__live").isNotNull(), cleaned).otherwise(F.col(text))).select(*docs.columns)
+    rows = marked.select(F.col("__row").alias("row_id"), F.col(key).alias("doc_id"), F.col(owner).alias("owner"), _every_hit(text).alias("hits"))
+    hits = materialize(rows.where(F.size("hits") > 0).dropDuplicates(["row_id"]), "secret-hits")
+    found = judged(spans(hits), most_owners, most_repositories).where("live")
+    held = found.groupBy(F.col("row_id").alias("__hit")).agg(F.collect_set("hash").alias("hashes"))
+    # many hashes are dealt into 256 buckets by their first byte, so each match is compared with few
+    first = lambda h: F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.filter("hashes", lambda h: first(h) == b))
+    live = held.select("__hit", F.when(F.size("hashes") > 64, dealt).otherwise(F.array("hashes")).alias("__live"))
+    out = marked.join(live, marked["__row"].eqNullSafe(live["__hit"]), "left")
+    for _, pattern, group, _ in DETECTORS:
+        out = out.withColumn(text, F.when(F.col("__live").isNotNull(), _without(F.col(text), F.col("__live"), pattern, group)).otherwise(F.col(text)))
+    return out.select(*docs.columns)

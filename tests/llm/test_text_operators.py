@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -254,6 +255,31 @@ def test_ownership_parts_shared_examples_from_live_ones(spark):
     assert text[1] == "again token=[REDACTED]" and shared in text[10] and text[20] == "token=changeme12345" and mine not in text[21]
 
 
+def test_both_owners_and_repositories_decide(spark):
+    """An example copied widely within one source is shared, copies of one row are one repository."""
+    wide, own, twice = "Qx7Lm2Vb9Kt4Rz8W", "Hp3Nd6Yc1Jf5Gs0T", "Zk4Wq8Ue2Xi6Ob9N"
+    rows = [(i, f"token={wide}", "a") for i in range(21)] + [(100 + i, f"token={own}", "a") for i in range(20)] + [(200, f"token={twice}", "a")] * 30 + [(None, f"token={twice}", "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan_secrets(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = (0, 1, 21) if r.doc_id is not None and r.doc_id < 100 else (1, 0, 20) if r.doc_id is not None and r.doc_id < 200 else (1, 0, 2)
+        assert (r.n_live, r.n_shared, r.max_repositories, r.max_owners) == (*want, 1)
+    clean = Counter(r.text for r in secret_scan.redact(docs).collect())
+    assert clean == {f"token={wide}": 21, "token=[REDACTED]": 80}
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    text = " ".join(f"token=aB3{i:06d}xYz9q é" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "plain", "b")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert got[1].n_assign == 100_000 and got[1].n_live == 100_000
+    assert got[1].base_sha256 == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[1] == " ".join(["token=[REDACTED] é"] * 100_000)
+    assert time.perf_counter() - began < 90
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     out = secret_scan.redact(hard(spark))
     assert out.columns == hard(spark).columns
