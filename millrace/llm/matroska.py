@@ -24,6 +24,7 @@ EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, CUES = 0x1A45DFA3, 0x18538067
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, TIMESTAMP_SCALE = 0xE7, 0xA3, 0xA0, 0xA1, 0x2AD7B1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x23E383, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ = 0x4282, 0x4287, 0x4285
 MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, TRACKS, TRACK_ENTRY, INFO, CUES, CUE_POINT, CUE_POSITIONS, AUDIO}
 LACINGS = ("none", "xiph", "fixed", "ebml")
@@ -76,7 +77,8 @@ def mux(payload: bytes) -> bytes:
     """A Matroska audio file whose frames, one after another, are ``payload`` (a multiple of 576 bytes)."""
     info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000))
     audio = element(AUDIO, element(RATE, struct.pack(">d", RATE_HZ)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
-    entry = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
+    duration = _uint(DEFAULT_DURATION, round(1e9 * FRAME / RATE_HZ))
+    entry = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + duration + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
     head = info + element(TRACKS, element(TRACK_ENTRY, entry))
     step = 1000 * FRAME / RATE_HZ
     clusters, at, cues = [], len(head), []
@@ -101,10 +103,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Parsed:
-    """Frames as (track, timestamp in ns, block, lacing, keyframe, offset, length, cued), tracks by codec, cue points."""
+    """Frames as (track, timestamp in ns, block, lacing, keyframe, offset, length, cued), tracks by codec and frame duration, cue points.
+
+    Frames of a lace follow one another by the track's default duration; where a file names none they share the block's time.
+    """
 
     packets: list[tuple[int, int, int, int, bool, int, int, bool]] = field(default_factory=list)
     codecs: dict[int, str] = field(default_factory=dict)
+    durations: dict[int, int] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
     error: str | None = None
@@ -197,10 +203,12 @@ def _walk(data: bytes, at: int, end: int, out: Parsed, state: dict, depth: int)
             track, offset, flags, lacing, frames = _frames(data, at, stop)
             ts = (state["cluster"] + offset) * state["scale"]
             key = bool(flags & 0x80) if ident == SIMPLE_BLOCK else True
-            for a, n in frames:
-                out.packets.append((track, ts, state["block"], lacing, key, a, n, state.get("place", 0)))
+            # a block's time is that of its first frame; the others follow by the track's frame duration
+            step = out.durations.get(track, 0)
+            for k, (a, n) in enumerate(frames):
+                out.packets.append((track, ts + k * step, state["block"], lacing, key, a, n, state.get("place", 0)))
             state["block"] += 1
-        elif ident in (TIMESTAMP, TIMESTAMP_SCALE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER):
+        elif ident in (TIMESTAMP, TIMESTAMP_SCALE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, DEFAULT_DURATION):
             n = int.from_bytes(data[at:stop], "big")
             if ident == TIMESTAMP:
                 state["cluster"] = n
@@ -208,6 +216,8 @@ def _walk(data: bytes, at: int, end: int, out: Parsed, state: dict, depth: int)
                 state["scale"] = n
             elif ident == TRACK_NUMBER:
                 state["track"] = n
+            elif ident == DEFAULT_DURATION:
+                out.durations[state["track"]] = n
             elif "cue" in state:
                 state["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(ident)] = n
         elif ident == CODEC_ID:
@@ -219,7 +229,7 @@ def _cluster_end(data: bytes, at: int, end: int) -> int:
     """A cluster of unknown size ends where an element of the segment's level begins."""
     while at < end:
         ident, body = _vint(data, at, True)
-        if ident in (CLUSTER, CUES, INFO, TRACKS):
+        if ident in (CLUSTER, CUES, INFO, TRACKS, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS):
             return at
         size, body = _vint(data, body, False)
         at = body + size
@@ -274,7 +284,7 @@ def _store(held: dict[str, list]) -> dict[str, list]:
         feature = (
             f"codec={found.codecs.get(1)};clusters={len(found.clusters)};cues={len(found.cues)};blocks={found.packets[-1][2] + 1};packets={len(found.packets)};"
             + ",".join(f"{k}={n}" for k, n in zip(LACINGS, laced))
-            + f";first={found.packets[0][5]};last={found.packets[-1][5]};end_ns={found.packets[-1][1]}"
+            + f";first={found.packets[0][5]};last={found.packets[-1][5]};end_ns={found.packets[-1][1] + found.durations.get(1, 0)}"
         )
         made = (key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, media)
         for c, v in zip(out, made):

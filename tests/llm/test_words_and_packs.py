@@ -53,6 +53,22 @@ def test_cascade_orders_by_rejections_per_cost(spark):
     assert [r.name for r in ordered] == ["few_words", "slow_useless"]
 
 
+def test_the_sample_draws_rows_and_not_texts(spark):
+    docs = spark.createDataFrame([(i, "same text " * 12 if i % 10 else f"w{i} " * 12) for i in range(6000)], "doc_id long, text string").repartition(4)
+    for seed in range(4):
+        tried = {r.tried for r in quality.measure(docs, sample_rows=200, seed=seed).collect()}
+        assert len(tried) == 1 and 130 <= tried.pop() <= 280
+
+
+def test_clusters_of_unknown_size_end_at_their_siblings():
+    block = matroska._block(1, 0, [b"x" * 9], 0)
+    cluster = bytes.fromhex("1f43b675") + b"\x01" + b"\xff" * 7 + matroska._uint(matroska.TIMESTAMP, 3) + matroska.element(matroska.SIMPLE_BLOCK, block)
+    for ident in (matroska.TAGS, matroska.CHAPTERS, matroska.ATTACHMENTS, matroska.SEEK_HEAD, matroska.CUES):
+        data = matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, cluster + matroska.element(ident, b"") + cluster)
+        found = matroska.parse(data)
+        assert found.error is None and len(found.packets) == 2 == len(found.clusters)
+
+
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_repeat_words_property(tokens):
@@ -238,4 +254,5 @@ def test_every_frame_count_reads_back_as_it_was_stored():
         media = matroska.mux(payload)
         found = matroska.parse(media)
         assert found.error is None and {p[6] for p in found.packets} == {matroska.FRAME}
+        assert [p[1] for p in found.packets] == [576 * i * 10**9 // 48000 for i in range(n)] and found.durations == {1: 12_000_000}
         assert b"".join(media[p[5] : p[5] + p[6]] for p in found.packets) == payload
