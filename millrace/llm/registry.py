@@ -17,7 +17,7 @@ from millrace.llm.quality import score_documents
 from millrace.llm.secret_scan import scan_secrets
 from millrace.llm.substring_dedup import remove_repeats
 from millrace.llm.token_counts import section_tokens
-from millrace.llm.warc import derive, responses
+from millrace.llm.warc import derive, read_records, responses
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(responses(_pages(spark, sf_dir)), with_record=False)
+    return derive(read_records(responses(_pages(spark, sf_dir)), key="page_id"), with_record=False)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ Characters in no section count for none; ``majority`` then looks at the sections
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,9 @@ RULES = ("majority", "start", "split")
 #: Fixed pattern: how the public byte-level vocabulary cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The pattern's white space; runs of so many characters would exceed the stack of its engine.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 
 @lru_cache(maxsize=4)
 def byte_encoder(path: str):
@@ -42,6 +46,19 @@ def byte_encoder(path: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The ids of a whole text. A very long run of white space is the piece that the pattern would cut: all of it but the
+    character before a following word.
+    """
+    ids, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def token_spans(ids: np.ndarray, lengths: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First character and end of every token; one that holds part of a character spans the whole of it."""
     end = np.cumsum(lengths[ids])
@@ -82,10 +99,9 @@ def attribute(start: np.ndarray, end: np.ndarray, section_start: np.ndarray, sec
 
 def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Lines with their line feeds; together they tile the text."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    end = np.array(ends, dtype=np.int64)
+    end = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") == 10) + 1
+    if not len(end) or end[-1] != len(text):
+        end = np.append(end, len(text))
     return np.concatenate([[0], end[:-1]]), end
 
 
@@ -94,7 +110,8 @@ def section_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
     ``sections`` names a column of array<struct<start,end>>, sorted and apart; without it the lines of the text are
     the sections. A null or empty text has one empty line; a null or empty array of sections gives no row. Repeated
-    rows each give their own.
+    rows each give their own. Texts of any length are encoded as wholes; long runs of one character, white space too,
+    cost as much as other text.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -110,7 +127,7 @@ def section_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
                 columns: list[list[np.ndarray]] = [[] for _ in arrow.names]
                 for i in range(a, b):
                     body = texts[i] or ""
-                    ids = np.array(encoding.encode_ordinary(body), dtype=np.int64)
+                    ids = np.array(encode(encoding, body), dtype=np.int64)
                     span = token_spans(ids, lengths, body.encode())
                     if given is None:
                         first, last = line_sections(body)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -390,7 +391,7 @@ def test_lines_tile_the_text(spark):
 
 def test_warc_derivatives_link_to_their_source(spark):
     pages = spark.createDataFrame([(1, "https://a.example/", PAGE), (1, "https://a.example/", PAGE), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
-    sources = warc.responses(pages)
+    sources = warc.read_records(warc.responses(pages.selectExpr("*", "'x' as content", "'y' as record_id", "'z' as block", "1 as headers")), key="page_id")
     out = warc.derive(sources).collect()
     ids = {r.record_id: r for r in sources.collect()}
     assert len(out) == 8 and {r.warc_type for r in out} == {"metadata", "conversion"}
@@ -404,6 +405,61 @@ def test_warc_derivatives_link_to_their_source(spark):
             assert block.decode() == "Head é One two three four a b end"
         if r.warc_type == "metadata":
             assert b"http-header-content-type: text/html; charset=utf-8" in block and b"payload-digest-valid: true" in block
+            assert b"source-warc-record-id: " + r.refers_to.encode() in block and b"source-content-type: application/http" in block
+
+
+def warc_file():
+    import gzip
+
+    page = "<html><title>T</title><p>zażółć</p>"
+    http = lambda body, *more: b"HTTP/1.1 200 OK\r\n" + b"".join(m + b"\r\n" for m in more) + b"\r\n" + body
+    packed = gzip.compress(page[:10].encode()) + gzip.compress(page[10:].encode())
+    made = [("warcinfo", b"software: x\r\n")] + [("response", http(page.encode(name, "replace") if name else page.encode(), *more)) for name, more in (
+        (None, ()), ("iso-8859-2", (b"Content-Type: text/html; charset=ISO-8859-2",)), (None, (b"Content-Type: text/html; charset=idna",)), (None, (b"Content-Type: text/html; charset=undefined",)))]
+    made += [("response", http(packed, b"Content-Encoding: gzip")), ("response", http(zlib.compress(page.encode())[2:-4], b"Content-Encoding: deflate")), ("response", http(b"\x1b\x00", b"Content-Encoding: br"))]
+    out = []
+    for i, (kind, block) in enumerate(made):
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{i}>"), ("WARC-Target-URI", f"https://a.example/{i}"), ("WARC-Date", f"2020-01-0{i + 1}T00:00:00Z"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")]
+        out.append(warc.build(fields, block))
+    return out
+
+
+def test_warc_files_are_read_and_derived(spark):
+    import gzip
+
+    made = warc_file()
+    files = [("plain", b"".join(made)), ("gz", b"".join(gzip.compress(r) for r in made)), ("null", None), ("junk", b"WARC/1.0 nothing"), ("cut", made[1] + made[2][:60])]
+    df = spark.createDataFrame([(n, bytearray(b) if b is not None else None) for n, b in files], "path string, content binary")
+    for name, n in (("plain", 8), ("gz", 8), ("null", 0), ("junk", 0), ("cut", 1)):
+        got = warc.read_records(df.where(f"path = '{name}'")).collect()
+        assert len(got) == n and all(r.page_id is None for r in got)
+        assert all({"name": "WARC-IP-Address", "value": "192.0.2.1"} == h.asDict() for r in got for h in r.headers if h.name == "WARC-IP-Address")
+    out = warc.derive(warc.read_records(df.where("path = 'gz'"))).collect()
+    assert len(out) == 14 and len({r.record_id for r in out}) == 14
+    texts = {r.target_uri[-1]: warc.parse(bytes(r.record))[1].decode() for r in out if r.warc_type == "conversion"}
+    assert texts == {**{str(i): "zażółć" for i in range(1, 7)}, "7": ""}
+    about = [warc.parse(bytes(r.record))[1] for r in out if r.warc_type == "metadata"]
+    assert all(b"source-warc-ip-address: 192.0.2.1" in b and b.count(b"source-warc-concurrent-to") == 2 for b in about)
+    assert any(b"http-header-x-undecoded: br" in b for b in about)
+    assert warc.parse(made[1])[0]["WARC-Concurrent-To"] == "<a>, <b>"
+
+
+def test_pages_that_differ_in_content_alone_have_records_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (None, None, "c"), (None, None, "d")], "page_id long, url string, html string")
+    out = warc.derive(warc.read_records(warc.responses(pages), key="page_id")).collect()
+    assert len({r.record_id for r in out}) == len(out) == 8
+    with_ = warc.derive(warc.read_records(warc.responses(pages.where("false")), key="page_id"))
+    assert with_.count() == 0
+
+
+def test_long_runs_of_one_character_keep_their_ids(spark):
+    encoding, _ = token_counts.byte_encoder(VOCABULARY)
+    for run in (" " * 15_000, "\n" * 12_000, " \n" * 8_000, "\u2003" * 11_000):
+        for body in (f"a{run}b", f"a!{run}", f"{run}b", run, f"x{run}'s 1{run}."):
+            assert token_counts.encode(encoding, body) == encoding.encode_ordinary(body)
+    rows = [(1, "a" + " " * 1_500_000 + "b\nc"), (2, "z" * 300_000), (3, "\n" * 50_000)]
+    got = token_counts.section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 1, 3: 50_000} and sum(r.n_tokens for r in got if r.doc_id == 1) == 1_500_003
 
 
 def test_warc_http_codings():
