@@ -319,6 +319,54 @@ def test_wrappers_do_not_swallow_articles(page, want):
     assert html_text.blocks(page) == want
 
 
+@pytest.mark.parametrize("name, kept", [("no-sidebar", True), ("text-with-notice", True), ("has_nav", True), ("site no-sidebar", True), ("site-footer", False), ("cookie-bar", False), ("x comments", False), ("ad", False), ("adNote", True)])
+def test_class_names_are_read_as_wholes(name, kept):
+    assert html_text.blocks(f'<article><p>a</p><div class="{name}">b</div></article>') == (["a", "b"] if kept else ["a"], True)
+    assert html_text.blocks(f'<div id="{name}"><article>a</article></div>') == (["a"], True)
+
+
+def test_deep_nesting_and_stray_tags_take_linear_time():
+    began = time.perf_counter()
+    n = 100_000
+    for page in ("<div>" * n + "a" + "</div>" * n, "<p>" + "<b>" * n + "</i>" * n + "a", "<i>" + "<div>" * n + "</i>" * n + "a", "<div>a" + "</section>" * n, "<p><b>" * n + "a"):
+        assert html_text.blocks(page) == (["a"], False)
+    assert time.perf_counter() - began < 20
+
+
+def brute_host_text(pages, least, distinct):
+    """Maximal repeats by comparing every run of a host with all others, grown as far as enough pages share it."""
+    out = []
+    streams = [" ".join(html_text.blocks(h or "")[0]).split() for _, _, h in pages]
+    host = lambda u: re.match(r"https?://([^/]*)", u or "http://")[1]
+    for (i, u, _), words_ in zip(pages, streams):
+        gone = set()
+        for a in range(len(words_)):
+            length = 0
+            while a + length < len(words_):
+                run = words_[a : a + length + 1]
+                holders = {j for (j, v, _), w in zip(pages, streams) if host(v) == host(u) and any(w[k : k + len(run)] == run for k in range(len(w) - len(run) + 1))}
+                if len(holders) < distinct:
+                    break
+                length += 1
+            if length >= least:
+                gone.update(range(a, a + length))
+        out.append((i, " ".join(w for k, w in enumerate(words_) if k not in gone), len(gone)))
+    return Counter(out)
+
+
+def test_unmarked_pages_match_brute_force_maximal_repeats(spark):
+    rng = random.Random(31)
+    common = [[f"c{k}w{j}" for j in range(rng.randint(4, 20))] for k in range(5)]
+    pages = []
+    for i in range(14):
+        parts = [f"<p>{' '.join(rng.choice(common))}</p>" if rng.random() < 0.6 else f"<p>{sentence(rng, rng.randint(1, 9), 'xy')}</p>" for _ in range(5)]
+        pages.append((i, f"https://{'a' if i < 9 else 'b'}.example/{i}", "".join(parts)))
+    pages += pages[:2]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = Counter((r.page_id, r.text, r.n_removed) for r in html_text.main_text(df, least=8).collect())
+    assert got == brute_host_text(pages, 8, 3) and sum(r[2] for r in got) > 100
+
+
 def test_host_boilerplate_goes_where_no_article_is_marked(spark):
     rng = random.Random(8)
     notice = " ".join(f"policy{i}" for i in range(20))
