@@ -8,7 +8,8 @@ is named by that hash (its minimizer) and by its whole content. Spark then joins
 * where a minimizer has several pieces the path branches there; only these pieces are spread out into single edges,
   which are grouped by their own hashes.
 
-The source coordinates of repeated pieces and edges are joined back to the text, merged, and cut out.
+Every repeated piece or run of edges keeps its coordinates in the text that owns it. The words there are read again
+and their SHA-256 goes with the copy's coordinates, so a span is cut out only where the words themselves are equal.
 All groupings are sums and minima with map-side combination, so a passage that a third of all documents share
 meets no single task; nothing is collected.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_schema, discard, in_chunks, materialize
@@ -34,12 +35,12 @@ _CHARS = 1_000_000
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Null keys come after all others; ``tag`` tells texts under one key apart."""
     rank = F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY))
-    return docs.select(rank.alias("doc"), F.hash(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(rank.alias("doc"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def path_pieces(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per path piece of a text: minimizer, content, doc, tag, first word, number of edges."""
-    schema = "mini long, content long, doc long, tag int, start int, edges int"
+    schema = "mini long, content long, doc long, tag long, start int, edges int"
     arrow, width = arrow_schema(docs.sparkSession, schema), window - MINIMIZER + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +67,7 @@ def path_pieces(docs: DataFrame, window: int = 50, key: str = "doc_id", text: st
 
 def _edges(texts_and_pieces: DataFrame, window: int) -> DataFrame:
     """Single edges of given pieces: minimizer, edge hash, doc, tag, first word."""
-    schema = "mini long, edge long, doc long, tag int, start int"
+    schema = "mini long, edge long, doc long, tag long, start int"
     arrow = arrow_schema(texts_and_pieces.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,39 +88,87 @@ def _edges(texts_and_pieces: DataFrame, window: int) -> DataFrame:
     return texts_and_pieces.select("doc", "tag", "text", "pieces").mapInArrow(run, schema)
 
 
+def _once(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One of the rows equal in key and text; copies fall together on the map side."""
+    return _rows(docs, key, text).groupBy("doc", "tag").agg(F.first("text").alias("text"))
+
+
+def _with_owner(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Copies among rows (``by``, owner, doc, tag, start, edges), each with a place in its owner: otag, ostart."""
+    places = rows.where("doc = owner").groupBy(*by).agg(F.min(F.struct("tag", "start")).alias("at"))
+    places = materialize(places.select(*by, F.col("at.tag").alias("otag"), F.col("at.start").alias("ostart")), "owner-places")
+    return rows.where("owner < doc").join(places, by).select("doc", "tag", "start", "edges", "owner", "otag", "ostart").distinct()
+
+
+def _runs(singles: DataFrame) -> DataFrame:
+    """Single edges that follow one another both in the copy and in its owner, as one span."""
+    line = ["doc", "tag", "owner", "otag", "shift"]
+    shifted = singles.withColumn("shift", F.col("start") - F.col("ostart"))
+    numbered = shifted.withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy(*line).orderBy("start")))
+    runs = numbered.groupBy(*line, "run").agg(F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("edges"), F.min("ostart").alias("ostart"))
+    return runs.select("doc", "tag", "start", "edges", "owner", "otag", "ostart")
+
+
+def _digest(words: list[bytes], start: int, edges: int, window: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[start : start + edges + window - 1])).digest()
+
+
+def _owner_digests(spans: DataFrame, docs: DataFrame, window: int, key: str, text: str) -> DataFrame:
+    """SHA-256 of the words of every span in its owner: owner, otag, ostart, edges, words."""
+    schema = "owner long, otag long, ostart int, edges int, words binary"
+    arrow = arrow_schema(docs.sparkSession, schema)
+    held = spans.select("owner", "otag", F.struct("ostart", "edges").alias("at")).distinct().groupBy("owner", "otag").agg(F.collect_list("at").alias("held"))
+    held = materialize(held.withColumnsRenamed({"owner": "doc", "otag": "tag"}), "owner-spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, tag, body, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                words = body.as_py().encode().split()
+                rows = [(doc, tag, p["ostart"], p["edges"], _digest(words, p["ostart"], p["edges"], window)) for p in places.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return _once(docs, key, text).join(held, ["doc", "tag"]).select("doc", "tag", "text", "held").mapInArrow(run, schema)
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document with windows that a lesser document holds: doc, tag, ``spans`` of first word and number of windows."""
+    """Per document with windows that a lesser document holds: doc, tag, ``spans`` of first word, number of windows, words' digest."""
     every_piece = materialize(path_pieces(docs, window, key, text), "paths")
     # minimizers of one document alone cannot repeat: everything after goes over the rest
     # (what joins a hot key is written first: a join of two plain exchanges can be split, one with an aggregate cannot)
     widely = materialize(every_piece.groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mini"), "wide-minimizers")
-    pieces = materialize(every_piece.join(widely, "mini"), "shared-paths")
+    pieces = materialize(every_piece.join(widely, "mini").distinct(), "shared-paths")
     discard(every_piece, widely)
     owners = materialize(pieces.groupBy("mini", "content").agg(F.min("doc").alias("owner")), "path-owners")
-    judged = pieces.join(owners, ["mini", "content"])
-    judged = materialize(judged.select("mini", "doc", "tag", "start", "edges", (F.col("owner") < F.col("doc")).alias("copy")), "judged-paths")
+    judged = materialize(pieces.join(owners, ["mini", "content"]), "judged-paths")
     discard(pieces)
-    copies = judged.where("copy").select("doc", "tag", "start", "edges")
+    copies = _with_owner(judged, ["mini", "content"])
 
     branching = owners.groupBy("mini").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high").select("mini")
     branching = materialize(branching, "branching-minimizers")
-    open_pieces = judged.where("not copy").join(branching, "mini", "left_semi").select("doc", "tag", F.struct("mini", "start", "edges").alias("piece")).distinct()
+    open_pieces = judged.where("doc = owner").join(branching, "mini", "left_semi").select("doc", "tag", F.struct("mini", "start", "edges").alias("piece"))
     held = open_pieces.groupBy("doc", "tag").agg(F.collect_list("piece").alias("pieces"))
-    edges = materialize(_edges(_rows(docs, key, text).dropDuplicates(["doc", "tag"]).join(held, ["doc", "tag"]), window), "edges")
-    shared = edges.groupBy("mini", "edge").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    edges = materialize(_edges(_once(docs, key, text).join(held, ["doc", "tag"]), window), "edges")
+    shared = edges.groupBy("mini", "edge").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high").drop("high")
     shared = materialize(shared, "shared-edges")
-    single = edges.join(shared, ["mini", "edge"]).where(F.col("low") < F.col("doc")).select("doc", "tag", "start", F.lit(1).alias("edges"))
-    every = copies.unionByName(single)
-    spans = materialize(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "edges")).alias("spans")), "spans")
-    discard(owners, judged, branching, edges, shared)
-    return spans
+    met = materialize(edges.join(shared, ["mini", "edge"]).withColumn("edges", F.lit(1)), "met-edges")
+    discard(edges, shared)
+    spans = materialize(copies.unionByName(_runs(_with_owner(met, ["mini", "edge"]))), "copied-spans")
+    discard(owners, judged, branching, met)
+
+    digests = materialize(_owner_digests(spans, docs, window, key, text), "owner-digests")
+    known = spans.join(digests, ["owner", "otag", "ostart", "edges"])
+    known = known.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "edges", "words")).alias("spans"))
+    known = materialize(known, "spans")
+    discard(spans, digests)
+    return known
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and ``kept``, the words left, if asked for).
 
     A word goes if a window over it also starts in a document with a smaller key. A null text has no words; a null
-    key counts as larger than all others; rows with one key never remove each other's words.
+    key counts as larger than all others; rows with one key never remove each other's words. Repeated rows each give
+    a row, and are one to the search.
     """
     spans = repeated_spans(docs, window, key, text)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
@@ -133,9 +182,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
                 kept, n = words, len(words)
                 if held:
                     step = np.zeros(n + 1, dtype=np.int64)
-                    start = np.array([s["start"] for s in held])
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + np.array([s["edges"] for s in held]) + window - 1, -1)
+                    for s in held:
+                        if _digest(words, s["start"], s["edges"], window) == s["words"]:
+                            step[s["start"]] += 1
+                            step[s["start"] + s["edges"] + window - 1] -= 1
                     gone = np.cumsum(step[:n]) > 0
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)

@@ -51,6 +51,30 @@ def test_substring_dedup_on_branching_texts(spark):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_many_repeated_rows_cost_no_more_than_their_number(spark):
+    rng = random.Random(6)
+    passage = sentence(rng, 90)
+    rows = [(1, passage + " first")] + [(2, sentence(rng, 5) + " " + passage)] * 1 + [(3, "x " + passage)] * 20_000
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {k[:3]: n for k, n in got.items()} == {(1, 91, 0): 1, (2, 95, 90): 1, (3, 91, 90): 20_000}
+
+
+def test_spans_with_other_words_in_the_owner_stay(spark, monkeypatch):
+    """Runs that only seem equal, as by a collision of hashes, are told apart by the words at their coordinates."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 120)) for i in range(4)] + [(9, "q " * 30)]
+    seen = substring_dedup.repeated_spans
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def forged(*a, **k):
+        real = seen(*a, **k)
+        fake = substring_dedup._rows(docs, "doc_id", "text").where("doc = 2").selectExpr("doc", "tag", "array(named_struct('start', 3, 'edges', 10, 'words', unhex(sha2('no', 256)))) as spans")
+        return real.unionByName(fake)
+
+    monkeypatch.setattr(substring_dedup, "repeated_spans", forged)
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).collect()) == brute_removed(rows)
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for i, t in rows:
