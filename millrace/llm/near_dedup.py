@@ -153,59 +153,69 @@ def _branch(nodes: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
 
 
 def _parts(large: DataFrame, small: int, name: str) -> DataFrame:
-    """A written table (path, doc) of large nodes dealt into seeded parts of about half of ``small``.
+    """A written table (path, doc) of large nodes (path, doc, n) dealt into seeded parts of about half of ``small``.
 
-    A node's least-hash class is a member of all its parts: enough to join most near copies at little cost.
+    About eight members of a node, drawn by hash, are members of all its parts: enough to join most near copies at
+    little cost.
     """
-    pivots = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = materialize(pivots.select("path", F.col("pivot.doc").alias("pivot"), "n"), "pivots")
-    salt = F.pmod(F.xxhash64("path", "doc"), F.ceil(2 * F.col("n") / small))
-    parts = large.join(pivots, "path").select(F.xxhash64("path", salt).alias("path"), F.explode(F.array("doc", "pivot")).alias("doc")).distinct()
-    parts = materialize(parts, name)
-    discard(pivots)
-    return parts
+    parts = F.ceil(2 * F.col("n") / small)
+    common = F.pmod(F.xxhash64("doc", "path"), F.ceil(F.col("n") / 8)) == 0
+    own = F.when(common, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("path", "doc"), parts)))
+    dealt = large.select("path", "doc", F.explode(own).alias("part"))
+    return materialize(dealt.select(F.xxhash64("path", "part").alias("path"), "doc"), name)
 
 
 def root_nodes(classes: DataFrame, threshold: float, trees: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables (path, doc) of the roots' children: nodes of 2 to ``small`` classes, and larger nodes.
+    """Written tables of the roots' children: nodes (path, doc) of 2 to ``small`` classes, and larger nodes (path, doc, n).
 
     Of small nodes with the same members, as near copies have in most trees, one stays.
     """
     level = materialize(_branch(classes, threshold, trees), "paths-1")
     sizes = _sizes(level, "sizes-1")
     nodes = materialize(_distinct_nodes(level, sizes.where(F.col("n") <= small)), "nodes-1")
-    large = materialize(level.join(sizes.where(F.col("n") > small), "path", "left_semi"), "large-1")
+    large = materialize(level.join(sizes.where(F.col("n") > small).select("path", "n"), "path"), "large-1")
     discard(level, sizes)
     return nodes, large
 
 
-def _judged(large: DataFrame, labels: DataFrame, small: int, depth: int) -> DataFrame:
-    """A written table of large nodes: path, ``main`` (the label of its largest component), ``settled``, ``levels``.
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, "doc", "left").select("path", "doc", F.coalesce("label", "doc").alias("label"))
 
-    A node is settled where at most ``small / 2`` members lie outside its main component: comparing them with all is
-    linear in the node, so it goes no deeper. ``levels`` is how many levels down should make another node small at the
-    similarity of typical near copies, to level ``depth`` at most.
+
+def _judged(large: DataFrame, labels: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables of large nodes: members by component (path, label, m), and (path, n, main, settled).
+
+    ``main`` is the label of a node's largest component. A node is settled where at most ``small / 2`` members lie
+    outside it: comparing them with all is linear in the node, so it goes no deeper.
     """
-    held = large.join(labels, "doc", "left").select("path", F.coalesce("label", "doc").alias("label"))
-    counts = held.groupBy("path", "label").agg(F.count(F.lit(1)).alias("m"))
+    counts = materialize(_labelled(large, labels).groupBy("path", "label").agg(F.count(F.lit(1)).alias("m")), "node-components")
     sizes = counts.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most"))
-    down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
-    levels = F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int")
     settled = 2 * (F.col("n") - F.col("most.m")) <= small
-    return materialize(sizes.select("path", F.col("most.label").alias("main"), settled.alias("settled"), levels.alias("levels")), "judged")
+    return counts, materialize(sizes.select("path", "n", F.col("most.label").alias("main"), settled.alias("settled")), "judged")
 
 
-def _merged(large: DataFrame, judged: DataFrame) -> DataFrame:
-    """(path, doc): the settled nodes of one main component as one node, which holds every pair of theirs."""
-    own = large.join(judged.where("settled").select("path", "main"), "path")
-    return own.select(F.xxhash64(F.lit("component"), "main").alias("path"), "doc").distinct()
+def _merged(large: DataFrame, labels: DataFrame, counts: DataFrame, judged: DataFrame) -> DataFrame:
+    """(path, doc): the settled nodes of one main component as one node, which holds every pair of theirs.
+
+    Members of the main component are met by their label, the few others by node and label.
+    """
+    settled = judged.where("settled").select("path", "main")
+    members = _labelled(large, labels)
+    inner = members.join(settled, "path", "left_semi").select("doc", "label").distinct()
+    inner = inner.join(settled.select(F.col("main").alias("label")).distinct(), "label").select(F.col("label").alias("main"), "doc")
+    others = materialize(counts.join(settled, "path").where("label <> main").select("path", "label", "main"), "outsiders")
+    others = members.join(others, ["path", "label"]).select("main", "doc")
+    return inner.unionByName(others).select(F.xxhash64(F.lit("component"), "main").alias("path"), "doc").distinct()
 
 
-def _descended(deeper: DataFrame, classes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables (path, doc) of the last level below (path, levels, doc): nodes of 2 to ``small`` classes, and larger nodes.
+def _descended(deeper: DataFrame, classes: DataFrame, threshold: float, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (path, doc) of the last level below (path, doc, n): nodes of 2 to ``small`` classes, and larger nodes.
 
-    Of nodes with the same members one stays.
+    A node goes down in one step as many levels as should make it small at the similarity of typical near copies, to
+    level ``depth`` at most. Of nodes with the same members one stays.
     """
+    down = F.ceil(F.log(F.col("n") / small) / math.log(1.5))
+    deeper = deeper.withColumn("levels", F.least(F.greatest(down, F.lit(1)), F.lit(depth - 1)).cast("int"))
     below = deeper.join(classes.select("doc", "signature").hint("merge"), "doc").select("path", "levels", "doc", "signature")
     below = materialize(_branch(below, threshold), "paths-2")
     sizes = _sizes(below, "sizes-2")
@@ -398,8 +408,8 @@ class _Texts:
             wanted = wanted.join(table.select("doc"), "doc", "left_anti")
         named = materialize(self.classes.select("doc", "key", "tag").join(wanted.distinct(), "doc", "left_semi"), "wanted")
         if not self.held or not named.isEmpty():
-            # copies of a row fall together on the map side
-            texts = self.rows.join(named, ["key", "tag"]).groupBy("doc").agg(F.first("text").alias("text"))
+            # never broadcast: the classes asked for grow with the data; copies of a row fall together on the map side
+            texts = self.rows.join(named.hint("merge"), ["key", "tag"]).groupBy("doc").agg(F.first("text").alias("text"))
             self.held.append(materialize(texts, "texts"))
         discard(named)
         return reduce(DataFrame.unionByName, self.held)
@@ -539,20 +549,21 @@ def _named_rows(
     nodes, large = root_nodes(classes, threshold, trees_for(recall, threshold, depth), small)
     parts = _parts(large, small, "parts-1")
     labels = linked(nodes.unionByName(parts), None)
-    judged = _judged(large, labels, small, depth)
-    deeper = materialize(large.join(judged.where("not settled").select("path", "levels"), "path"), "deeper")
-    below, still_large = _descended(deeper, classes, threshold, small)
-    whole = _merged(large, judged)
-    discard(parts, deeper)
+    counts, judged = _judged(large, labels, small)
+    deeper = materialize(large.join(judged.where("not settled"), "path", "left_semi"), "deeper")
+    whole = materialize(_merged(large, labels, counts, judged), "merged-1")
+    below, still_large = _descended(deeper, classes, threshold, small, depth)
+    discard(parts, deeper, counts, judged, large)
     if not (below.isEmpty() and still_large.isEmpty()):
-        judged = _judged(still_large, labels, small, depth)
-        mixed = materialize(still_large.join(judged.where("not settled"), "path", "left_semi"), "mixed")
+        counts, judged = _judged(still_large, labels, small)
+        mixed = materialize(still_large.join(judged.where("not settled").select("path", "n"), "path"), "mixed")
+        merged = materialize(_merged(still_large, labels, counts, judged), "merged-2")
         parts = _parts(mixed, small, "parts-2")
         labels = linked(below.unionByName(parts), labels)
-        whole = whole.unionByName(_merged(still_large, judged)).distinct().unionByName(mixed)
-        discard(parts)
+        whole = whole.unionByName(merged).distinct().unionByName(mixed.select("path", "doc"))
+        discard(parts, counts, judged)
     whole = materialize(whole, "whole-nodes")
-    discard(large, still_large)
+    discard(still_large)
     crossing = materialize(crossing_blocks(whole, labels, small), "crossing-blocks")
     ends = _open_ends(nodes.unionByName(below).unionByName(crossing), classes, labels, least)
     if not ends.isEmpty():
