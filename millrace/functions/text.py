@@ -131,10 +131,18 @@ def error_message(body: Column, status: Column) -> Column:
     """``error`` of a JSON body, the body itself if it is no JSON, or a default with the status."""
     default = F.concat(F.lit("Analysis error ("), status.cast("string"), F.lit(")"))
     parsed = F.try_parse_json(body)
-    said = F.when(parsed.isNotNull(), F.nullif(F.get_json_object(body, "$.error"), F.lit(""))).otherwise(F.nullif(body, F.lit("")))
+    said = F.when(parsed.isNotNull(), json_error(parsed)).otherwise(F.nullif(body, F.lit("")))
     return F.coalesce(said, default)
 
 
+def json_error(parsed: Column) -> Column:
+    """The ``error`` field of a parsed document as text; null where it is absent, null, false, 0 or the empty string."""
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.error", "variant"))
+    text, number = (F.try_variant_get(parsed, "$.error", t) for t in ("string", "double"))
+    none = (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | ((kind == "STRING") & (text == "")) | (~kind.isin("STRING", "BOOLEAN") & (number == 0))
+    return F.when(~F.coalesce(none, F.lit(False)), text)
+
+
 def upstream_status(status: Column) -> Column:
     return F.when(status >= 500, 502).otherwise(status)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_placeholder, detect_pet_type, or_else
+from millrace.functions.text import clean_placeholder, detect_pet_type, json_error, or_else
 
 #: Fields of a catalog product that may be stored, and their longest text.
 ALLOWED_FIELDS = ("productName", "brand", "petType", "barcode", "ingredientsText", "ingredients", "nutriments", "nutriscoreGrade", "novaGroup", "imageUrl")
@@ -106,6 +106,7 @@ def normalize_product(raw: dict[str, Column]) -> dict[str, Column]:
         "petType": detect_pet_type(raw["product_name"], raw["categories"], raw["categories_tags"]),
         "barcode": text("code", "_id"),
         "ingredientsText": text("ingredients_text", "ingredients_text_en"),
+        "ingredients": _ingredients(raw.get("ingredients")),
         "protein": number("proteins_100g", "proteins"),
         "fat": number("fat_100g", "fat"),
         "fiber": number("fiber_100g", "crude-fiber_100g", "fiber"),
@@ -113,17 +114,28 @@ def normalize_product(raw: dict[str, Column]) -> dict[str, Column]:
         "energy_unit_known": raw["energy-kcal_100g"].isNotNull(),
         "nutriscoreGrade": F.nullif(or_else(raw["nutriscore_grade"], raw["nutrition_grades"]), F.lit("")),
         "novaGroup": raw["nova_group"],
+        "imageUrl": F.nullif(text("image_url", "image_front_url"), F.lit("")),
     }
 
 
+def _ingredients(raw: Column | None) -> Column:
+    """Array of id, text (empty where missing) and percent of array<struct<id,text,percent_estimate>>; empty for null."""
+    none = F.array().cast("array<struct<id:string,text:string,percent:double>>")
+    if raw is None:
+        return none
+    item = lambda x: F.struct(
+        F.coalesce(x["id"], F.lit("")).alias("id"), F.coalesce(x["text"], F.lit("")).alias("text"), x["percent_estimate"].cast("double").alias("percent")
+    )
+    return F.coalesce(F.transform(raw, item), none)
+
+
 def is_valid_analysis(doc: Column) -> Column:
     """A JSON object without an error, with a product name and a numeric overall score from 1 to 100."""
     parsed = F.try_parse_json(doc)
-    error = F.try_variant_get(parsed, "$.error", "string")
     name = F.try_variant_get(parsed, "$.productName", "string")
     score = F.try_variant_get(parsed, "$.overallScore", "double")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-    clean = error.isNull() | error.isin("", "false", "0")
+    clean = json_error(parsed).isNull()
     number = ~kind("$.overallScore").isin("STRING", "BOOLEAN", "VOID")
     return F.coalesce(parsed.isNotNull() & clean & (kind("$.productName") == "STRING") & (name != "") & number & score.between(1, 100), F.lit(False))
 

@@ -35,14 +35,21 @@ def resolve_alias(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
 def enrich(scans: DataFrame, catalog: DataFrame, barcode: str, name: str, partial: str) -> DataFrame:
     """Scans with their catalog product: by barcode, else by partial name, else by full name; ``data_source`` tells.
 
-    Catalog rows have ``barcode`` and ``product_name``; of products with one name key the least barcode stands.
+    Catalog rows have ``barcode`` and ``product_name``; of products with one name key the least barcode stands. Null
+    and empty names, and those of stop words alone, have no key and find nothing. Names are looked up only for scans
+    that nothing before has found.
     """
-    by_name = catalog.groupBy(normalize_key(F.col("product_name")).alias("__key")).agg(F.min("barcode").alias("__found"))
+    name_key = lambda c: F.nullif(normalize_key(c), F.lit(""))
+    keys = catalog.select(name_key(F.col("product_name")).alias("__key"), "barcode").where("__key is not null")
+    by_name = keys.groupBy("__key").agg(F.min("barcode").alias("__found"))
     codes = catalog.select(F.col("barcode").alias("__code")).distinct()
     out = scans.join(codes, scans[barcode] == codes["__code"], "left")
+    before = ["__code"]
     for source, to in ((partial, "__partial"), (name, "__full")):
         keyed = by_name.select(F.col("__key").alias(f"{to}_key"), F.col("__found").alias(to))
-        out = out.join(keyed, normalize_key(F.col(source)) == keyed[f"{to}_key"], "left").drop(f"{to}_key")
+        wanted = F.when(F.coalesce(*before).isNull(), name_key(F.col(source)))
+        out = out.join(keyed, wanted == keyed[f"{to}_key"], "left").drop(f"{to}_key")
+        before.append(to)
     found = F.coalesce("__code", "__partial", "__full")
     out = out.withColumn("product_code", found).withColumn("data_source", F.when(found.isNotNull(), "enriched").otherwise("ai"))
     return out.drop("__code", "__partial", "__full")

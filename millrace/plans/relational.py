@@ -161,28 +161,38 @@ def p3_sanitize(spark, sf):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE p_brand END AS "productName", COALESCE(p_brand, '') AS brand, CAST(p_partkey AS VARCHAR) AS barcode, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0::DOUBLE END AS protein,
- p_size % 5 = 0 AS energy_unit_known, CASE WHEN p_size % 5 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(p_size * 4 AS DOUBLE) END AS energy, CASE WHEN p_size % 2 = 0 THEN 'a' END AS "nutriscoreGrade" FROM part""")
+ p_size % 5 = 0 AS energy_unit_known, CASE WHEN p_size % 5 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(p_size * 4 AS DOUBLE) END AS energy, CASE WHEN p_size % 2 = 0 THEN 'a' END AS "nutriscoreGrade",
+ CASE WHEN p_size % 3 = 0 THEN 0 ELSE 2 END AS n_ingredients, CASE WHEN p_size % 3 > 0 THEN concat_ws('|', p_brand, '', CAST(p_size AS VARCHAR), '', p_type, 'none') ELSE '' END AS ingredients,
+ CASE WHEN p_size % 4 = 0 THEN 'front' WHEN p_size % 4 = 1 THEN 'image' END AS "imageUrl" FROM part""")
 def p4_normalize_product(spark, sf):
     raw = {
         "product_name": F.when(c("p_partkey") % 3 > 0, c("p_name")).otherwise(""), "product_name_en": c("p_brand"), "brands": c("p_brand"), "categories": c("p_type"), "categories_tags": F.lit(None).cast("array<string>"),
         "code": F.lit(""), "_id": c("p_partkey").cast("string"), "proteins_100g": F.when(c("p_size") % 2 == 0, c("p_size").cast("double")), "proteins": F.lit(0.0),
         "energy-kcal_100g": F.when(c("p_size") % 5 == 0, c("p_size").cast("double")), "energy_100g": (c("p_size") * 4).cast("double"), "fat_100g": F.lit(1.0), "fiber": F.lit(2.0),
         "nutriscore_grade": F.lit(""), "nutrition_grades": F.when(c("p_size") % 2 == 0, "a"), "nova_group": c("p_size"),
+        "image_url": F.when(c("p_size") % 4 == 1, "image").otherwise(""), "image_front_url": F.when(c("p_size") % 4 == 0, "front").when(c("p_size") % 4 == 2, ""),
+        "ingredients": F.when(c("p_size") % 3 > 0, F.array(
+            F.struct(c("p_brand").alias("id"), F.lit(None).cast("string").alias("text"), c("p_size").alias("percent_estimate")),
+            F.struct(F.lit(None).cast("string").alias("id"), c("p_type").alias("text"), F.lit(None).cast("int").alias("percent_estimate")),
+        )),
     }
     done = G.normalize_product(raw)
-    return table(spark, sf, "part").select("p_partkey", *[done[k].alias(k) for k in ("productName", "brand", "barcode", "protein", "energy_unit_known", "energy", "nutriscoreGrade")])
+    listed = F.array_join(F.flatten(F.transform(done["ingredients"], lambda x: F.array(x["id"], x["text"], F.coalesce(x["percent"].cast("long").cast("string"), F.lit("none"))))), "|")
+    fields = [done[k].alias(k) for k in ("productName", "brand", "barcode", "protein", "energy_unit_known", "energy", "nutriscoreGrade", "imageUrl")]
+    return table(spark, sf, "part").select("p_partkey", *fields, F.size(done["ingredients"]).alias("n_ingredients"), listed.alias("ingredients"))
 
 
-@query("SELECT event_id, event_id % 7 IN (0, 5) AND event_id % 103 BETWEEN 1 AND 100 AS valid FROM events")
+@query("SELECT event_id, event_id % 12 IN (0, 5, 7, 8, 9) AND event_id % 103 BETWEEN 1 AND 100 AS valid FROM events")
 def p5_valid_analysis(spark, sf):
-    """Seven kinds of documents: good, error, empty name, text score, no JSON, good without error field, null name."""
+    """Kinds of documents: good, error, empty name, text score, no JSON, empty error, null name; errors false, 0, null, "false", "0"."""
     score = (c("event_id") % 103).cast("string")
     kinds = [
         F.concat(F.lit('{"productName": "x", "overallScore": '), score, F.lit("}")), F.concat(F.lit('{"error": "no", "productName": "x", "overallScore": '), score, F.lit("}")),
         F.concat(F.lit('{"productName": "", "overallScore": '), score, F.lit("}")), F.concat(F.lit('{"productName": "x", "overallScore": "'), score, F.lit('"}')), F.concat(F.lit("{broken "), score),
         F.concat(F.lit('{"error": "", "productName": "y", "overallScore": '), score, F.lit("}")), F.concat(F.lit('{"productName": null, "overallScore": '), score, F.lit("}")),
+        *[F.concat(F.lit(f'{{"error": {e}, "productName": "y", "overallScore": '), score, F.lit("}")) for e in ("false", "0", "null", '"false"', '"0"')],
     ]
-    return table(spark, sf, "events").select("event_id", G.is_valid_analysis(F.element_at(F.array(*kinds), (c("event_id") % 7 + 1).cast("int"))).alias("valid"))
+    return table(spark, sf, "events").select("event_id", G.is_valid_analysis(F.element_at(F.array(*kinds), (c("event_id") % 12 + 1).cast("int"))).alias("valid"))
 
 
 @query("""SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 405 WHEN user_id % 11 = 0 THEN 401 WHEN event_type = 'signup' THEN 400 WHEN event_id % 4 = 3 THEN 400
@@ -266,18 +276,18 @@ def j2_alias(spark, sf):
     return L.resolve_alias(events, aliases, "user_id")
 
 
-@query("""WITH cat AS (SELECT min(p_partkey) AS code, p_name FROM part GROUP BY p_name)
+@query("""WITH cat AS (SELECT min(p_partkey) AS code, p_name FROM part WHERE p_partkey % 50 > 0 GROUP BY p_name)
 SELECT l_orderkey, l_linenumber, l_partkey, COALESCE(b.p_partkey, a.code, f.code) AS product_code, CASE WHEN COALESCE(b.p_partkey, a.code, f.code) IS NULL THEN 'ai' ELSE 'enriched' END AS data_source
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 4 = 0 THEN l_partkey END AS bar, x.p_name AS full_name, CASE WHEN l_partkey % 4 = 1 THEN x.p_name ELSE 'nothing' END AS part_name, l_partkey % 4 = 3 AS lost FROM lineitem JOIN part x ON l_partkey = x.p_partkey)
-LEFT JOIN part b ON bar = b.p_partkey LEFT JOIN cat a ON part_name = a.p_name LEFT JOIN cat f ON full_name = f.p_name AND NOT lost""")
+LEFT JOIN part b ON bar = b.p_partkey LEFT JOIN cat a ON part_name = a.p_name LEFT JOIN cat f ON full_name = f.p_name AND NOT lost AND l_orderkey % 7 > 1""")
 def j3_enrich(spark, sf):
     part = table(spark, sf, "part")
     lines = table(spark, sf, "lineitem").join(part, c("l_partkey") == c("p_partkey"))
     scans = lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.when(c("l_partkey") % 4 == 0, c("l_partkey")).alias("bar"), F.when(c("l_partkey") % 4 == 3, "lost").otherwise(c("p_name")).alias("full_name"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(c("l_partkey") % 4 == 0, c("l_partkey")).alias("bar"), F.when(c("l_orderkey") % 7 == 0, "").when(c("l_orderkey") % 7 > 1, F.when(c("l_partkey") % 4 == 3, "lost").otherwise(c("p_name"))).alias("full_name"),
         F.when(c("l_partkey") % 4 == 1, c("p_name")).otherwise("nothing").alias("part_name"),
     )
-    catalog = part.select(c("p_partkey").alias("barcode"), c("p_name").alias("product_name"))
+    catalog = part.select(c("p_partkey").alias("barcode"), F.when(c("p_partkey") % 50 > 0, c("p_name")).alias("product_name"))
     return L.enrich(scans, catalog, "bar", "full_name", "part_name").select("l_orderkey", "l_linenumber", "l_partkey", "product_code", "data_source")
 
 

@@ -136,10 +136,11 @@ _millis = lambda: F.unix_millis(c("ts").cast("timestamp"))
 _digits = "0123456789abcdefghijklmnopqrstuvwxyz"
 _base36 = " || ".join(f"substr('{_digits}', CAST(epoch_us(ts) // 1000 // {36**k} % 36 AS BIGINT) + 1, 1)" for k in range(7, -1, -1))
 _add("f28_entry_id", "events", "event_id", lambda: {"id": X.entry_id(_millis())}, {"id": f"ltrim({_base36}, '0')"})
-_body = lambda: F.when(c("event_id") % 4 == 0, F.to_json(F.struct(c("event_type").alias("error")))).when(c("event_id") % 4 == 1, c("event_type")).when(c("event_id") % 4 == 2, "").otherwise(c("props"))
+_falsy = lambda: F.element_at(F.array(*[F.lit('{"error": %s}' % x) for x in ("false", "0", "null", "0.0", '"false"', '"0"', "true", "7")]), (c("event_id") % 8 + 1).cast("int"))
+_body = lambda: F.when(c("user_id") % 5 == 0, _falsy()).when(c("event_id") % 4 == 0, F.to_json(F.struct(c("event_type").alias("error")))).when(c("event_id") % 4 == 1, c("event_type")).when(c("event_id") % 4 == 2, "").otherwise(c("props"))
 _add(
     "f29_error_message", "events", "event_id", lambda: {"message": X.error_message(_body(), F.lit(500) + c("event_id") % 5)},
-    {"message": "CASE WHEN event_id % 4 < 2 THEN event_type ELSE concat('Analysis error (', 500 + event_id % 5, ')') END"},
+    {"message": "CASE WHEN user_id % 5 = 0 AND event_id % 8 > 3 THEN ['false', '0', 'true', '7'][event_id % 8 - 3] WHEN user_id % 5 > 0 AND event_id % 4 < 2 THEN event_type ELSE concat('Analysis error (', 500 + event_id % 5, ')') END"},
 )
 _add("f30_upstream_status", "events", "event_id", lambda: {"status": X.upstream_status((400 + c("event_id") % 150).cast("int"))}, {"status": "CAST(CASE WHEN 400 + event_id % 150 >= 500 THEN 502 ELSE 400 + event_id % 150 END AS INTEGER)"})
 
