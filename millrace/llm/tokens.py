@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -17,6 +18,29 @@ import numpy as np
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)\Z")
 
 
+class _Memo(dict):
+    """Ids by key, made where missing. Holds at most ``most`` keys in two generations: those in use outlast the rest.
+
+    Keys longer than ``longest`` are made anew each time, so a few very long words cannot fill the memory.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, max(1, most // 2), longest, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.half:
+            self.old = self.copy()
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """``ids(text)`` as little-endian unsigned 32-bit bytes; holds at most ``most`` words and as many parts."""
 
@@ -24,53 +48,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+        tokenizer = Tokenizer.from_file(path)
         # a part is a single piece for the merge model, which takes bytes as the printable characters standing for them
         bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         plain = [c for c in map(chr, range(0x21, 0x100)) if not c.isspace()]
-        self.printable = {ord(c): "".join(x for x, _ in bytes_as.pre_tokenize_str(c)) for c in plain}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in made]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > self.most:
-            self.words = {}
-        if len(self.parts) > self.most:
-            self.parts = {"": b""}
-        plain, odd, wanted = [], [], set()
-        for w in missing:
-            word = w.decode()
-            found = _PLAIN.match(word)
+        printable = {ord(c): "".join(x for x, _ in bytes_as.pre_tokenize_str(c)) for c in plain}
+        merge = tokenizer.model.tokenize
+
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def part(text: str) -> bytes:
+            return packed([t.id for t in merge(text.translate(printable))]) if text else b""
+
+        parts = _Memo(part, most)
+
+        def word(key: bytes) -> bytes:
+            text = key.decode()
+            found = _PLAIN.match(text)
             if found:
-                core, rest = found[1].lower(), found[2]
-                plain.append((w, core, rest))
-                wanted.add(core)
-                wanted.add(rest)
-            else:
-                odd.append((w, word))
-        merge = self.tokenizer.model.tokenize
-        for p in wanted:
-            if p not in self.parts:
-                ids = [t.id for t in merge(p.translate(self.printable))]
-                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, core, rest in plain:
-            self.words[w] = self.parts[core] + self.parts[rest]
-        self.words.update(zip((w for w, _ in odd), self._encode([word for _, word in odd])))
+                return parts[found[1].lower()] + parts[found[2]]
+            return packed(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+        self.words = _Memo(word, most)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        missing = {w for words in split for w in words if w not in self.words}
-        if missing:
-            if len(self.words) + len(missing) > self.most:
-                missing.update(w for words in split for w in words)
-            self._learn(missing)
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, (t or "").encode().split())) for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
