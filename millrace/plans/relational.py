@@ -346,7 +346,7 @@ def a6_ordered_fold(spark, sf):
     return turns.select("conv_id", F.array_join(F.transform("x", lambda x: x["text"]), "").alias("whole"))
 
 
-def _chain(gap: str, op: str) -> str:
+def anchors_sql(gap: str, op: str) -> str:
     """Anchors of each user by recursion: the next is the first event after the gap."""
     return f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS tm FROM events),
  anchor AS (SELECT user_id, min(tm) AS ws FROM ev GROUP BY user_id UNION ALL SELECT a.user_id, min(e.tm) FROM anchor a JOIN ev e ON e.user_id = a.user_id AND e.tm {op} a.ws + {gap} GROUP BY a.user_id),
@@ -354,27 +354,35 @@ def _chain(gap: str, op: str) -> str:
  ranked AS (SELECT *, row_number() OVER (PARTITION BY key, window_start ORDER BY "at", id) AS rank FROM placed)"""
 
 
-@query(f"{_chain('86400000000', '>')} SELECT *, rank <= 2 AS allowed FROM ranked")
+@query(f"{anchors_sql('86400000000', '>')} SELECT *, rank <= 2 AS allowed FROM ranked")
 def w1_admission(spark, sf):
     return A.admit(table(spark, sf, "events"), "user_id", "ts", "event_id", most=2, minutes=1440)
 
 
-@query(f"{_chain('21600000000', '>=')} SELECT *, rank = 1 AS accepted FROM ranked")
+@query(f"{anchors_sql('21600000000', '>=')} SELECT *, rank = 1 AS accepted FROM ranked")
 def w2_suppress_repeats(spark, sf):
     return A.suppress_repeats(table(spark, sf, "events"), "user_id", "ts", "event_id", 21_600_000_000)
 
 
-@query(f"{_chain('21600000000', '>=')} SELECT *, rank = 1 AS accepted, rank = 1 OR row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC, id DESC) = 1 AS emitted FROM ranked")
+@query(f"{anchors_sql('21600000000', '>=')} SELECT *, rank = 1 AS accepted, rank = 1 OR row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC, id DESC) = 1 AS emitted FROM ranked")
 def w3_throttle_leading(spark, sf):
     return A.throttle_leading(table(spark, sf, "events"), "user_id", "ts", "event_id", 21_600_000_000)
 
 
-@query()
+#: Each emission finds the next by recursion: what came within the gap gives a trailing one, else the next event leads.
+_TRAILING = """WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ emitted AS (SELECT user_id AS key, event_id AS id, tm AS emitted_at, FALSE AS "trailing", n FROM ev WHERE n = 1
+ UNION ALL SELECT m.key, arg_max(ev.event_id, ev.n), CASE WHEN min(ev.tm) < m.emitted_at + 21600000000 THEN m.emitted_at + 21600000000 ELSE min(ev.tm) END, min(ev.tm) < m.emitted_at + 21600000000, max(ev.n)
+ FROM emitted m JOIN ev ON ev.user_id = m.key AND ev.n > m.n AND (ev.n = m.n + 1 OR ev.tm < m.emitted_at + 21600000000) GROUP BY m.key, m.emitted_at, m.n)
+ SELECT key, id, emitted_at, "trailing" FROM emitted"""
+
+
+@query(_TRAILING)
 def w4_throttle_trailing(spark, sf):
     return A.throttle_trailing(table(spark, sf, "events"), "user_id", "ts", "event_id", 21_600_000_000)
 
 
-@query(f"{_chain('2000000', '>=')} SELECT *, rank = 1 AS accepted FROM ranked")
+@query(f"{anchors_sql('2000000', '>=')} SELECT *, rank = 1 AS accepted FROM ranked")
 def w5_reentry_lockout(spark, sf):
     return A.suppress_repeats(table(spark, sf, "events"), "user_id", "ts", "event_id", 2_000_000)
 

@@ -9,9 +9,11 @@ from millrace.functions.partial_json import complete_json
 from millrace.operators import rules as R
 from millrace.operators import runs as U
 from millrace.operators.sse import fold_text, lines_of_chunks
+from millrace.plans.relational import anchors_sql
 from millrace.session import table
-from millrace.sources.streams import table_stream
-from millrace.streaming.stateful import admission, drain, tee
+from millrace.sources.shared import shared_path
+from millrace.sources.streams import sse_lines, table_stream
+from millrace.streaming.stateful import admission, drain, idle_states, single_flight, tee
 
 NOW = "2024-01-20 00:00:00"
 QUERIES: dict = {}
@@ -48,6 +50,16 @@ def st1_sse_fold(spark, sf):
     return fold_text(_lines(table(spark, sf, "conversations").distinct()))
 
 
+@query(_SSE)
+def s7_sse_files(spark, sf):
+    """The same lines as text files, one a stream, read back in the order they stand in the file."""
+    path = shared_path(spark, "sse-files")
+    lines = _lines(table(spark, sf, "conversations").distinct())
+    lines.repartition("stream_id").sortWithinPartitions("stream_id", "seq").select("stream_id", "line").write.partitionBy("stream_id").text(path)
+    held = sse_lines(spark, f"{path}/*").withColumn("stream_id", F.regexp_extract("stream_file", "stream_id=([0-9]+)", 1).cast("long"))
+    return fold_text(held.select("stream_id", "seq", "line"))
+
+
 @query(_SSE)
 def st2_sse_chunks(spark, sf):
     """The same lines cut into chunks of 64 characters and put together again."""
@@ -58,7 +70,14 @@ def st2_sse_chunks(spark, sf):
     return fold_text(lines_of_chunks(chunks))
 
 
-@query()
+#: What half a document closes to: an unfinished escape at the end of a string goes, so does an unfinished key.
+_CLOSED = r"""SELECT conv_id, turn, closed, json_extract_string(closed, '$.t') AS text_so_far FROM (SELECT conv_id, turn, CASE
+ WHEN regexp_matches(h, '^\{("r":"[^"]*",)?"t":"') THEN regexp_replace(h, '(^|[^\\])((\\\\)*)\\(u[0-9a-fA-F]{0,3})?$', '\1\2') || '"}'
+ WHEN regexp_matches(h, '^\{"r":"[^"]*"') THEN regexp_extract(h, '^\{"r":"[^"]*"') || '}' WHEN h LIKE '{"r":"%' THEN h || '"}' WHEN h LIKE '{%' THEN '{}' END AS closed
+ FROM (SELECT conv_id, turn, left(d, length(d) // 2) AS h FROM (SELECT conv_id, turn, CAST(CASE WHEN role IS NULL AND text IS NULL THEN '{}' WHEN role IS NULL THEN json_object('t', text) WHEN text IS NULL THEN json_object('r', role) ELSE json_object('r', role, 't', text) END AS VARCHAR) AS d FROM conversations)))"""
+
+
+@query(_CLOSED)
 def st3_partial_json(spark, sf):
     """Documents cut at half their length, closed and read."""
     doc = F.to_json(F.struct(c("role").alias("r"), c("text").alias("t")))
@@ -70,8 +89,6 @@ def st3_partial_json(spark, sf):
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS valid FROM events GROUP BY event_type")
 def st4_tee(spark, sf):
     """One stream to two sinks: all events, and those that the cache would keep."""
-    from millrace.sources.shared import shared_path
-
     every, kept = shared_path(spark, "tee-all"), shared_path(spark, "tee-valid")
     stream = table_stream(spark, sf, "events")
     tee(stream, lambda df, n: df.write.mode("append").parquet(every), lambda df, n: df.where("value > 50").write.mode("append").parquet(kept)).awaitTermination()
@@ -115,12 +132,28 @@ def st10_latest_status(spark, sf):
     return U.latest_status(table(spark, sf, "events").withColumn("status", status), "user_id", [c("ts"), c("event_id")], "status")
 
 
-@query()
+@query(f"""{anchors_sql('86400000000', '>')} SELECT key, id, "at", rank <= 2 AS allowed FROM ranked""")
 def w1_admission_stream(spark, sf):
     """Admission control as a stream over the same events; equal to the batch form."""
     return drain(admission(table_stream(spark, sf, "events"), "user_id", "ts", "event_id", most=2, minutes=1440), "admission")
 
 
+@query("SELECT DISTINCT user_id FROM events")
+def st5_single_flight_stream(spark, sf):
+    """Single flight as a stream: the keys whose work starts; the delay spans all events here, so each starts once."""
+    return drain(single_flight(table_stream(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp")), "user_id", "ts", "3650 days"), "flight").select("user_id")
+
+
+@query(f"""WITH last AS (SELECT CAST(user_id AS VARCHAR) AS key, arg_max({_STATUS}, (ts, event_id)) AS status, CAST(floor(epoch_us(max(ts)) / 1000.0) AS BIGINT) AS last FROM events GROUP BY user_id)
+ SELECT key, status, last, FALSE AS evicted FROM last UNION ALL
+ SELECT key, status, last, TRUE FROM last WHERE status <> 'running' AND last + 300000 < (SELECT max(last) - 60000 FROM last)""")
+def st8_evict_idle_stream(spark, sf):
+    """Idle keys as a stream: every key's last state, and once more when event time has left it idle."""
+    status = F.when(c("event_type") == "error", "error").when(c("event_type") == "purchase", "complete").otherwise("running")
+    stream = table_stream(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp")).withColumn("status", status)
+    return drain(idle_states(stream, "user_id", "ts", "status"), "idle")
+
+
 #: Ingredients dealt to parts for the rule queries.
 NAMES = ("Chicken", "Corn", "BHA", "Chicken Meal", "Rice", "Pea Protein", "Red 40", "Rosemary extract", "Meat by-products", "Menadione", "Propylene Glycol", "Cereal grain", "Whole grain", "Lentils", "Artificial flavor", "Salmon")
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
