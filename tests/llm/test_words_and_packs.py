@@ -170,6 +170,16 @@ def test_word_encoder_equals_the_tokenizer():
             assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
 
 
+def test_the_memo_is_bounded_and_keeps_words_in_use():
+    encoder = WordEncoder(TOKENIZER, most=20)
+    calls, make = Counter(), encoder.words.make
+    encoder.words.make = lambda key: calls.update([key]) or make(key)
+    for i in range(60):
+        encoder.ids([f"often word{chr(97 + i % 26)}{chr(97 + i // 26)} " + "y" * 100])
+        assert len(encoder.words) <= 10 and len(encoder.words.old) <= 10
+    assert calls[b"often"] == 1 and calls[b"y" * 100] == 60
+
+
 def test_pack_documents_round_trip(spark):
     whole = Tokenizer.from_file(TOKENIZER)
     rows = packing.pack_documents(hard(spark), TOKENIZER, with_ids=True).collect()
