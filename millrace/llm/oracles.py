@@ -77,3 +77,32 @@ n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(s, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
 """
+
+#: CRC-32 of a word's UTF-8 bytes, by the table of its polynomial.
+RESAMPLING = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+aim AS (SELECT unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+word AS MATERIALIZED (SELECT rid, unnest(w) AS x FROM docs),
+crc AS MATERIALIZED (SELECT list(CAST(list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS BIGINT) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+hashed AS MATERIALIZED (SELECT x, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)),
+   lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS k FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM word UNION SELECT x FROM aim)), crc),
+s AS (SELECT k, count(*) AS s FROM word JOIN hashed USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM aim JOIN hashed USING (x) GROUP BY k),
+gain AS (SELECT k, CAST(floor(1000 * ln((COALESCE(t, 0) + 1)::DOUBLE * ((SELECT COALESCE(sum(s), 0) FROM s) + 10000)::DOUBLE / ((COALESCE(s, 0) + 1)::DOUBLE * ((SELECT COALESCE(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS g
+   FROM (SELECT DISTINCT k FROM hashed) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+weighed AS (SELECT rid, sum(g) AS weight FROM word JOIN hashed USING (x) JOIN gain USING (k) GROUP BY rid),
+scored AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(COALESCE(weight, 0) AS BIGINT) AS weight,
+   CAST(COALESCE(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN weighed USING (rid)),
+drawn AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (rid)
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH docs AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+parts AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""

@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import oracles
+from millrace.llm.byte_bpe import token_digests
+from millrace.llm.fill_middle import middle_digests
 from millrace.llm.html_text import main_text
 from millrace.llm.matroska import store_documents
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import score_documents
+from millrace.llm.resampling import resample
 from millrace.llm.secret_scan import scan_secrets
 from millrace.llm.substring_dedup import remove_repeats
 from millrace.llm.token_counts import section_tokens
@@ -68,6 +71,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_cascade": op2_quality_cascade,
@@ -79,9 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_dedup": op10_near_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_cascade": oracles.QUALITY,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_secret_scan": oracles.SECRET_SCAN,
+    "op12_importance_resample": oracles.RESAMPLING,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
