@@ -103,6 +103,31 @@ def test_anchored_windows_equal_the_simulation(spark, seed):
     assert got == simulate("suppress", events, 60_000_000)
 
 
+@pytest.mark.parametrize("gap", [0, 1, 7, 50, 5_000])
+@pytest.mark.parametrize("strict", [True, False])
+def test_hot_keys_split_over_blocks(spark, gap, strict):
+    """Keys cut into many blocks on several levels give what one fold gives, rank for rank."""
+    rng = random.Random(gap)
+    rows = [(1, i, rng.randint(0, 3000)) for i in range(1500)] + [(2, i, (i // 40) * 400 + rng.randint(0, 9)) for i in range(2000, 2700)] + [(3, 9000, 5)] + [(4, i, 77) for i in range(9100, 9200)]
+    df = spark.createDataFrame(rows, "k long, i long, us long").withColumn("ts", F.timestamp_micros("us")).repartition(3)
+    got = {r.id: (r.window_start, r.rank) for r in A.anchored_windows(df, "k", "ts", "i", gap, strict, block=20, group=3).collect()}
+    want, state = {}, {}
+    for k, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        start, n = state.get(k, (None, 0))
+        inside = start is not None and (t <= start + gap if strict else t < start + gap)
+        state[k] = (start, n + 1) if inside else (t, 1)
+        want[i] = state[k]
+    assert got == want
+
+
+def test_one_key_of_many_events_is_many_tasks(spark):
+    df = spark.range(400_000).select(F.lit(1).alias("k"), "id", F.timestamp_micros(F.col("id") * 7 % 400_009 * 1000).alias("ts"))
+    split = A.anchored_windows(df, "k", "ts", "id", 60_000, True, block=20_000, group=4)
+    whole = A.anchored_windows(df, "k", "ts", "id", 60_000, True)
+    assert split.exceptAll(whole).isEmpty() and split.count() == 400_000
+    assert split.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 def test_trailing_throttle_equals_the_timers(spark):
     events, gap = random_events(3), 60_000_000
     want = []
