@@ -14,6 +14,7 @@ from millrace.session import table
 from millrace.sources.shared import shared_path
 from millrace.sources.streams import sse_lines, table_stream
 from millrace.streaming.stateful import admission, drain, idle_states, single_flight, tee
+from millrace.streaming.tracker import track_runs
 
 NOW = "2024-01-20 00:00:00"
 QUERIES: dict = {}
@@ -154,6 +155,36 @@ def st8_evict_idle_stream(spark, sf):
     return drain(idle_states(stream, "user_id", "ts", "status"), "idle")
 
 
+_DAY = 86_400_000
+#: One step of a key at a time: the next deadline if it comes before the next event (or the end of event time), else that event.
+_TRACKED = f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) // 1000 AS tm, CASE event_type WHEN 'view' THEN 'run' WHEN 'click' THEN 'save' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'alias' ELSE 'error' END AS what,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ stop AS (SELECT max(tm) AS mark FROM ev),
+ step AS (SELECT key, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::BIGINT AS started, NULL::BIGINT AS clean, NULL::BIGINT AS anchor, 0::BIGINT AS held, NULL::BIGINT AS id, NULL::VARCHAR AS what, NULL::BIGINT AS tm, 0::BIGINT AS aliases, FALSE AS anchored FROM (SELECT DISTINCT key FROM ev)
+ UNION ALL SELECT key, CASE WHEN k = 'event' THEN n + 1 ELSE n END,
+  CASE WHEN k = 'timeout' THEN 'error' WHEN k = 'clean' AND status <> 'running' THEN NULL WHEN k = 'event' AND e = 'run' AND (status IS NULL OR status = 'error') THEN 'running' WHEN k = 'event' AND e IN ('complete', 'error') AND status = 'running' THEN e ELSE status END,
+  CASE WHEN k = 'clean' AND status <> 'running' THEN NULL WHEN k = 'event' AND e = 'run' AND (status IS NULL OR status = 'error') THEN etm ELSE started END,
+  CASE WHEN k = 'timeout' THEN COALESCE(clean, due + {2 * _DAY}) WHEN k = 'clean' THEN NULL WHEN e IN ('complete', 'error') AND status = 'running' THEN COALESCE(clean, etm + {2 * _DAY}) ELSE clean END,
+  CASE WHEN k = 'clean' THEN NULL WHEN k = 'event' AND e = 'save' AND (anchor IS NULL OR etm - anchor >= {_DAY // 4}) THEN etm ELSE anchor END,
+  CASE WHEN k = 'clean' THEN 0 WHEN k = 'event' AND e = 'alias' THEN held + 1 ELSE held END,
+  CASE WHEN k = 'event' THEN eid END,
+  CASE WHEN k = 'timeout' THEN 'timeout' WHEN k = 'clean' THEN CASE WHEN status = 'running' THEN 'kept' ELSE 'evicted' END WHEN e = 'run' THEN CASE WHEN status IS NULL OR status = 'error' THEN 'started' ELSE 'joined' END
+   WHEN e = 'save' THEN CASE WHEN anchor IS NULL OR etm - anchor >= {_DAY // 4} THEN 'saved' ELSE 'suppressed' END WHEN e = 'alias' THEN 'aliased' WHEN status = 'running' THEN e ELSE 'ignored' END,
+  CASE WHEN k = 'event' THEN etm ELSE due END, CASE WHEN k = 'clean' THEN held ELSE 0 END, k = 'clean' AND anchor IS NOT NULL
+ FROM (SELECT *, CASE WHEN due IS NOT NULL AND due <= COALESCE(etm, mark) THEN CASE WHEN over <= COALESCE(clean, over) THEN 'timeout' ELSE 'clean' END WHEN eid IS NOT NULL THEN 'event' END AS k
+  FROM (SELECT s.* EXCLUDE (id, what, tm, aliases, anchored), CASE WHEN status = 'running' THEN started + {_DAY} END AS over, least(CASE WHEN status = 'running' THEN started + {_DAY} END, clean) AS due, ev.id AS eid, ev.tm AS etm, ev.what AS e, mark
+   FROM step s LEFT JOIN ev ON ev.key = s.key AND ev.n = s.n + 1, stop)) WHERE k IS NOT NULL)
+ SELECT key, id, what, tm AS "at", aliases, anchored FROM step WHERE what IS NOT NULL"""
+
+
+@query(_TRACKED)
+def st5_st8_st9_run_tracker_stream(spark, sf):
+    """Events as lifecycle events of a stream: restarts after failures, timeouts by timer, and clean-ups of all states of a key."""
+    what = F.when(c("event_type") == "view", "run").when(c("event_type") == "click", "save").when(c("event_type") == "purchase", "complete").when(c("event_type") == "signup", "alias").otherwise("error")
+    stream = table_stream(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp")).withColumn("what", what).where("user_id is not null and ts is not null")
+    return drain(track_runs(stream, "user_id", "ts", "event_id", "what", "event_id", _DAY, 2 * _DAY, _DAY // 4), "tracker")
+
+
 #: Ingredients dealt to parts for the rule queries.
 NAMES = ("Chicken", "Corn", "BHA", "Chicken Meal", "Rice", "Pea Protein", "Red 40", "Rosemary extract", "Meat by-products", "Menadione", "Propylene Glycol", "Cereal grain", "Whole grain", "Lentils", "Artificial flavor", "Salmon")
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"

@@ -1,12 +1,14 @@
 """Streams on files against their batch forms."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
 from millrace.plans import runs
 from millrace.operators import anchored
 from millrace.streaming.stateful import admission, drain, idle_states, single_flight
+from millrace.streaming.tracker import track_runs
 
 
 def write(df, path, n):
@@ -39,3 +41,57 @@ def test_single_flight_and_idle_states(spark, tmp_path):
     assert sorted(r.k for r in drain(single_flight(source, "k", "ts"), "flight").collect()) == ["a", "b"]
     first = drain(idle_states(source, "k", "ts", "status"), "idle").collect()
     assert {(r.key, r.status, r.evicted) for r in first} == {("a", "complete", False), ("b", "running", False)}
+
+
+LIFE = "k string, id long, ts timestamp, what string, alias string"
+
+
+def lifecycle(spark, tmp_path, *batches):
+    """A stream of one micro-batch for each list of (key, id, seconds, what, alias)."""
+    t = dt.datetime(2024, 1, 1)
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame([(k, i, t + dt.timedelta(seconds=s), w, a) for k, i, s, w, a in rows], LIFE), f"file://{tmp_path}", str(n))
+        time.sleep(1.1)  # files are read in the order of their times, which are seconds
+    return spark.readStream.schema(LIFE).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/*")
+
+
+def tracked(stream, name):
+    zero = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    rows = drain(track_runs(stream, "k", "ts", "id", "what", "alias"), name).collect()
+    return sorted(((r.key, (r.at - zero) / 1000, r.what, r.id, r.aliases, r.anchored) for r in rows), key=str)
+
+
+def test_tracker_restarts_times_out_and_evicts_all_states(spark, tmp_path):
+    first = [("a", 1, 0, "run", None), ("a", 2, 5, "run", None), ("a", 3, 10, "error", None), ("a", 4, 11, "run", None), ("a", 5, 20, "alias", "t1"), ("a", 6, 21, "save", None), ("a", 7, 30, "save", None), ("b", 8, 0, "run", None)]
+    second = [("a", 9, 40, "complete", None), ("a", 10, 50, "run", None), ("c", 11, 200, "run", None)]
+    third = [("c", 12, 250, "not_found", None), ("c", 13, 260, "run", None), ("d", 14, 700, "save", None)]
+    want = [
+        ("a", 0.0, "started", 1, 0, False), ("a", 5.0, "joined", 2, 0, False), ("a", 10.0, "error", 3, 0, False), ("a", 11.0, "started", 4, 0, False), ("a", 20.0, "aliased", 5, 0, False), ("a", 21.0, "saved", 6, 0, False),
+        ("a", 30.0, "suppressed", 7, 0, False), ("a", 40.0, "complete", 9, 0, False), ("a", 50.0, "joined", 10, 0, False), ("a", 310.0, "evicted", None, 1, True), ("b", 0.0, "started", 8, 0, False), ("b", 120.0, "timeout", None, 0, False),
+        ("b", 420.0, "evicted", None, 0, False), ("c", 200.0, "started", 11, 0, False), ("c", 250.0, "not_found", 12, 0, False), ("c", 260.0, "started", 13, 0, False), ("c", 380.0, "timeout", None, 0, False), ("c", 550.0, "evicted", None, 0, False),
+        ("d", 700.0, "saved", 14, 0, False),
+    ]
+    split = tracked(lifecycle(spark, tmp_path / "split", first, second, third), "tracker-split")
+    whole = tracked(lifecycle(spark, tmp_path / "whole", first + second + third), "tracker-whole")
+    assert split == whole == sorted(want, key=str)
+
+
+def test_running_keys_outlive_the_clean_up(spark, tmp_path):
+    rows = [("a", 1, 0, "run", None), ("a", 2, 1, "error", None), ("a", 3, 2, "alias", "x"), ("a", 4, 250, "run", None), ("a", 5, 310, "complete", None), ("b", 6, 320, "run", None)]
+    got = [r for r in tracked(lifecycle(spark, tmp_path, rows), "tracker-kept") if r[0] == "a"]
+    assert ("a", 301.0, "kept", None, 1, False) in got and ("a", 310.0, "complete", 5, 0, False) in got and not any(r[2] == "evicted" for r in got)
+
+
+def test_a_stuck_run_times_out_by_the_clock(spark, tmp_path):
+    """No event comes after the first: the timer fires all the same."""
+    stream = lifecycle(spark, tmp_path / "in", [("a", 1, 0, "run", None)]).withColumn("ts", F.current_timestamp())
+    query = track_runs(stream, "k", "ts", "id", "what", "alias", timeout_ms=1_000, idle_ms=1_500, event_time=False, ttl_ms=600_000).writeStream.format("memory").queryName("stuck").option("checkpointLocation", f"file://{tmp_path}/check").outputMode("append").trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 90
+        seen = []
+        while time.time() < until and "evicted" not in seen:
+            time.sleep(0.5)
+            seen = [r.what for r in spark.table("stuck").collect()]
+        assert sorted(seen) == ["evicted", "started", "timeout"]
+    finally:
+        query.stop()
