@@ -5,7 +5,8 @@ Parquet has no MERGE; each operator gives the next version as a DataFrame, and `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,13 +79,59 @@ def recency_list(writes: DataFrame, keys: list[str], owner: list[str], order: li
     return last.withColumn("position", F.row_number().over(w)).withColumn("evicted", F.col("position") > most)
 
 
-def migrate_once(target: DataFrame, legacy: DataFrame, current: DataFrame, done: DataFrame, owner: str, keys: list[str], order: str) -> DataFrame:
-    """Idempotent migration: owners not in ``done`` get their legacy rows upserted, or their current rows if they have none."""
+def migrate_once(target: DataFrame, legacy: DataFrame, current: DataFrame, done: DataFrame, owner: str, keys: list[str], order: str, present: DataFrame | None = None) -> DataFrame:
+    """Idempotent migration: owners not in ``done`` get their legacy rows upserted, or their current rows if they have none.
+
+    ``present`` holds the owners that have a legacy list at all: one that is there but empty leaves its owner's history
+    as it is, current rows included. Without it an owner has a list exactly if it has legacy rows.
+    """
+    held = (legacy if present is None else present).select(owner).distinct()
     open_legacy = legacy.join(done.select(owner), owner, "left_anti")
-    open_current = current.join(done.select(owner), owner, "left_anti").join(legacy.select(owner).distinct(), owner, "left_anti")
+    open_current = current.join(done.select(owner), owner, "left_anti").join(held, owner, "left_anti")
     return upsert(target, open_legacy.unionByName(open_current), keys, order)
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def migrated_table(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(table, markers, version) as committed at ``root``: data that no marker names does not count."""
+    markers = _read(spark, f"{root}/markers")
+    if markers is None:
+        return None, None, 0
+    version = markers.agg(F.max("version")).first()[0] or 0
+    return _read(spark, f"{root}/data/version={version}"), markers, version
+
+
+def migrate(root: str, target: DataFrame, legacy: DataFrame, current: DataFrame, owners: DataFrame, owner: str, keys: list[str], order: str, present: DataFrame | None = None, write_marker=None) -> DataFrame:
+    """Migrates ``owners`` that no marker at ``root`` names, and gives the table as it is then.
+
+    The new version of the table is written first, and only then the marker: one row for each owner, with the version
+    that holds its rows. A failure in between leaves no marker, so the next run does it again over the same version;
+    after success a run finds the markers and changes nothing. ``target`` counts until there is a committed version.
+    """
+    spark = target.sparkSession
+    table, markers, version = migrated_table(spark, root)
+    base = target if table is None else table.select(*target.columns)
+    done = owners.select(owner).where("false") if markers is None else markers.select(owner)
+    fresh = owners.select(owner).distinct().join(done, owner, "left_anti")
+    if fresh.isEmpty():
+        return base
+    todo = lambda df: df.join(fresh, owner, "left_semi")
+    following = version + 1
+    made = migrate_once(base, todo(legacy), todo(current), done, owner, keys, order, present)
+    made.write.mode("overwrite").parquet(f"{root}/data/version={following}")
+    mark = write_marker or (lambda df, path: df.write.mode("overwrite").parquet(path))
+    mark(fresh.withColumn("version", F.lit(following)), f"{root}/markers/run={following}")
+    return migrated_table(spark, root)[0].select(*target.columns)
+
+
 def swap(df: DataFrame, root: str, version: str) -> str:
     """Write the next version of a table beside the others, never over one that is being read; gives its path."""
     path = f"{root.rstrip('/')}/version={version}"

@@ -12,6 +12,7 @@ from millrace.operators import lookup as L
 from millrace.operators import tables as B
 from millrace.operators.history import cap_newest, from_row, prepend_cap, to_row, top_per_user
 from millrace.session import table
+from millrace.sources.shared import shared_path
 
 NOW = "2024-01-20 00:00:00"
 QUERIES: dict = {}
@@ -466,3 +467,27 @@ def st14_migrate_once(spark, sf):
     versioned = lambda df, add: df.withColumn("overall_score", (c("overall_score") + add).cast("int")).withColumn("v", F.lit(1))
     done = every.where("user_id % 5 = 0").select("user_id").distinct()
     return B.migrate_once(every.where("id % 4 = 0"), versioned(every.where("id % 4 = 1"), 1000), versioned(every.where("id % 4 = 2"), 2000), done, "user_id", ["id", "user_id"], "v")
+
+
+@query(f"""WITH e AS ({ENTRIES}), runs AS (SELECT id, user_id, CAST(overall_score + CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 3000 END AS INTEGER) AS overall_score, id % 4 AS part FROM e)
+ SELECT id, user_id, overall_score, user_id % 2 = 0 AS in_first FROM e WHERE id % 4 = 0
+ UNION ALL SELECT id, user_id, overall_score, user_id % 2 = 0 FROM runs WHERE part = 1 AND user_id % 7 <> 3
+ UNION ALL SELECT id, user_id, overall_score, user_id % 2 = 0 FROM runs WHERE part = 2 AND user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 1)""")
+def st14_migrate_marked(spark, sf):
+    """Two runs: the first migrates half of the users, the second comes with other rows for all and finds the first's markers.
+
+    Users whose number leaves 3 by 7 have a legacy list that is empty, so neither it nor their current rows are taken.
+    """
+    root = shared_path(spark, "migration")
+    every = _entries(spark, sf).select("id", "user_id", "overall_score")
+    present = every.where("id % 4 = 1").select("user_id").distinct()
+    versioned = lambda df, add: df.withColumn("overall_score", (c("overall_score") + add).cast("int")).withColumn("v", F.lit(1))
+
+    def run(owners, add):
+        legacy, current = versioned(every.where("id % 4 = 1 and user_id % 7 <> 3"), add), versioned(every.where("id % 4 = 2"), add)
+        return B.migrate(root, every.where("id % 4 = 0"), legacy, current, owners, "user_id", ["id", "user_id"], "v", present)
+
+    run(every.where("user_id % 2 = 0"), 1000)
+    table = run(every, 3000)
+    first = B.migrated_table(spark, root)[1].select("user_id", (c("version") == 1).alias("in_first"))
+    return table.join(first, "user_id").select("id", "user_id", "overall_score", "in_first")

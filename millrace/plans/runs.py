@@ -13,7 +13,7 @@ from millrace.plans.relational import anchors_sql
 from millrace.session import table
 from millrace.sources.shared import shared_path
 from millrace.sources.streams import sse_lines, table_stream
-from millrace.streaming.stateful import admission, drain, idle_states, single_flight, tee
+from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, single_flight, tee
 from millrace.streaming.tracker import track_runs
 
 NOW = "2024-01-20 00:00:00"
@@ -92,7 +92,7 @@ def st4_tee(spark, sf):
     """One stream to two sinks: all events, and those that the cache would keep."""
     every, kept = shared_path(spark, "tee-all"), shared_path(spark, "tee-valid")
     stream = table_stream(spark, sf, "events")
-    tee(stream, lambda df, n: df.write.mode("append").parquet(every), lambda df, n: df.where("value > 50").write.mode("append").parquet(kept)).awaitTermination()
+    tee(stream, batch_sink(every), batch_sink(kept, c("value") > 50)).awaitTermination()
     a = spark.read.schema(stream.schema).parquet(every).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     b = spark.read.schema(stream.schema).parquet(kept).groupBy("event_type").agg(F.count(F.lit(1)).alias("valid"))
     return a.join(b, "event_type", "left").select("event_type", "n", F.coalesce("valid", F.lit(0).cast("long")).alias("valid"))

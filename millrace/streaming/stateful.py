@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,8 +62,21 @@ def idle_states(stream: DataFrame, key: str, ts: str, status: str, idle_minutes:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, status string, last long, evicted boolean", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def tee(stream: DataFrame, *sinks: Callable[[DataFrame, int], None], name: str = "tee"):
-    """Starts a stream whose micro-batches go to every sink; each is computed once. Gives the query."""
+def batch_sink(root: str, keep: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink whose output is named by the micro-batch's number and overwritten, so a repeated batch leaves its rows once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        (batch if keep is None else batch.where(keep)).write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def tee(stream: DataFrame, *sinks: Callable[[DataFrame, int], None], name: str = "tee", checkpoint: str | None = None):
+    """Starts a stream whose micro-batches go to every sink; each is computed once. Gives the query.
+
+    Where a sink fails the batch is repeated for all of them when the stream is started again with the same
+    ``checkpoint``; with sinks such as ``batch_sink`` every row then stands once in each.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         held = batch.persist()
@@ -73,7 +86,8 @@ def tee(stream: DataFrame, *sinks: Callable[[DataFrame, int], None], name: str =
         finally:
             held.unpersist()
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", shared_path(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start()
+    place = checkpoint or shared_path(stream.sparkSession, f"{name}-checkpoint")
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start()
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

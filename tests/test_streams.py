@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans import runs
 from millrace.operators import anchored
-from millrace.streaming.stateful import admission, drain, idle_states, single_flight
+from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, single_flight, tee
 from millrace.streaming.tracker import track_runs
 
 
@@ -43,6 +43,25 @@ def test_single_flight_and_idle_states(spark, tmp_path):
     assert {(r.key, r.status, r.evicted) for r in first} == {("a", "complete", False), ("b", "running", False)}
 
 
+def test_a_repeated_batch_stands_once_in_every_sink(spark, tmp_path):
+    path = write(spark.range(100), f"file://{tmp_path}/in", "a").replace("file://file://", "file://")
+    first, second, tries = f"file://{tmp_path}/first", batch_sink(f"file://{tmp_path}/second", F.col("id") < 10), []
+
+    def fails_once(batch, number):
+        tries.append(number)
+        if len(tries) == 1:
+            raise OSError("sink is away")
+        second(batch, number)
+
+    for _ in range(2):
+        query = tee(spark.readStream.schema("id long").parquet(path), batch_sink(first), fails_once, checkpoint=f"file://{tmp_path}/check")
+        try:
+            query.awaitTermination()
+        except Exception as error:
+            assert "sink is away" in str(error)
+    assert tries == [0, 0] and spark.read.parquet(first).count() == 100 and spark.read.parquet(f"file://{tmp_path}/second").count() == 10
+
+
 LIFE = "k string, id long, ts timestamp, what string, alias string"
 
 

@@ -182,6 +182,26 @@ def test_upsert_and_migration(spark):
     assert got == {1: ("y", 5), 2: ("b", 6), 3: ("z", 0), None: ("m", 7)}
 
 
+def test_no_marker_before_success(spark, tmp_path):
+    """A failure between the two writes leaves no marker; the next run does all again, the one after it nothing."""
+    root = f"file://{tmp_path}/m"
+    target, current = spark.createDataFrame([(1, "a", 0)], "id int, owner string, score int"), spark.createDataFrame([(5, "b", 50, 1), (6, "c", 60, 1)], "id int, owner string, score int, v int")
+    legacy = spark.createDataFrame([(1, "a", 11, 1), (2, "a", 12, 1)], current.schema)
+    owners, present = spark.createDataFrame([("a",), ("b",), ("c",)], "owner string"), spark.createDataFrame([("a",), ("c",)], "owner string")
+    run = lambda legacy, **kw: B.migrate(root, target, legacy, current, owners, "owner", ["id", "owner"], "v", present, **kw)
+
+    def away(df, path):
+        raise OSError("no marker")
+
+    with pytest.raises(OSError, match="no marker"):
+        run(legacy, write_marker=away)
+    assert B.migrated_table(spark, root) == (None, None, 0)
+    want = {(1, "a", 11), (2, "a", 12), (5, "b", 50)}  # c has a list that is empty
+    assert {tuple(r) for r in run(legacy).collect()} == want
+    assert {r.owner for r in B.migrated_table(spark, root)[1].collect()} == {"a", "b", "c"}
+    assert {tuple(r) for r in run(legacy.withColumn("score", F.lit(99))).collect()} == want
+
+
 def test_swapped_versions(spark, tmp_path):
     B.swap(spark.range(3), f"file://{tmp_path}/t", "1")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
