@@ -27,6 +27,9 @@ from millrace.llm.html_text import blocks
 VERSION = "WARC/1.1"
 #: A fixed namespace for ids made here (a random public-domain UUID).
 _NAMESPACE = uuid.UUID("5d1f4c1e-7f0c-4e3a-9a53-0e1f3f1b6c11")
+#: Lengths as the formats write them: ASCII digits only, without signs.
+_DECIMAL, _HEX = re.compile(r"[0-9]{1,18}"), re.compile(rb"[0-9A-Fa-f]{1,15}")
+_PIECE = 1 << 14
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -78,32 +81,46 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return out, block
 
 
-def unpacked(data: bytes) -> bytes:
-    """The data, with all gzip members undone where it begins with one; damage ends it at what could be read."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members' contents piece by piece, in time linear in the data however many there are; damage ends it."""
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
         stream = zlib.decompressobj(31)
-        try:
-            out.append(stream.decompress(data))
-        except zlib.error:
-            break
-        data = stream.unused_data
-    return b"".join(out) if out else data
+        while at < len(data) and not stream.eof:
+            piece = view[at : at + _PIECE]
+            try:
+                yield stream.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(stream.unused_data)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The data, with all gzip members undone where it begins with one, up to the first damage; unread as it is if nothing is."""
+    return b"".join(_members(data)) or data
 
 
 def records_of(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, int]]:
-    """Fields, block and place of every record of a plain WARC file; what follows damage is passed over to the next record."""
-    at = 0
+    """Fields, block and place of every record of a plain WARC file; what follows damage is passed over to the next record.
+
+    A record whose length is not a plain decimal number is passed over, too.
+    """
+    at, end = 0, -1
     while (at := data.find(b"WARC/", at)) >= 0:
         if at and data[at - 1 : at] != b"\n":
             at += 5
             continue
-        end = data.find(b"\r\n\r\n", at)
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
+        again = data.find(b"\nWARC/", at, end)
+        if again >= 0:  # a head that was cut off before another one began
+            at = again + 1
+            continue
         fields = _fields(data[at:end])
         size = named(fields).get("content-length", "")
-        if not size.isdigit():
+        if not _DECIMAL.fullmatch(size):
             at += 5
             continue
         start = end + 4
@@ -122,10 +139,8 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if "chunked" in said.get("transfer-encoding", "").lower():
         parts, at = [], 0
         while (line := body.find(b"\r\n", at)) >= 0:
-            try:
-                size = int(body[at:line].split(b";")[0] or b"0", 16)
-            except ValueError:
-                break
+            said_size = _HEX.fullmatch(body[at:line].split(b";")[0].strip(b" \t"))
+            size = int(said_size[0], 16) if said_size else 0
             if not size:
                 break
             parts.append(body[line + 2 : line + 2 + size])

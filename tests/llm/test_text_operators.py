@@ -542,3 +542,33 @@ def test_warc_http_codings():
     status, fields, body = warc.http_parts(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunked)
     assert status == "HTTP/1.1 200 OK" and warc.decode(body, fields) == ("é", "iso-8859-1")
     assert warc.http_parts(b"") == ("", [], b"")
+
+
+def test_warc_survives_hostile_lengths(spark):
+    """Signed, foreign and huge lengths stop no job, and the records around them are kept."""
+
+    def record(name, length, block=b"x"):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    bad = ["\u00b2", "-6", "+1", "1_0", " ", "9" * 30, "\u0661"]
+    data = record("first", 1) + b"".join(record(f"bad{i}", n) for i, n in enumerate(bad)) + record("last", 1)
+    rows = warc.read_records(spark.createDataFrame([("a", data)], "path string, content binary")).collect()
+    assert [r.record_id for r in rows] == ["<first>", "<last>"]
+    for size in (b"-6", b"+5", b"0x5", b"1_0", "\u00b2".encode(), b""):
+        block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n" + size + b"\r\nworld\r\n0\r\n\r\n"
+        assert warc.http_parts(block)[2] == b"hello"
+    assert warc.http_parts(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5 ;x=y\r\nhello\r\n0\r\n\r\n")[2] == b"hello"
+
+
+def test_warc_of_many_members_and_cut_heads_is_linear():
+    import gzip
+    import time
+
+    one = gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.records_of(warc.unpacked(one * 100_000))) == 100_000
+    large = gzip.compress(random.Random(1).randbytes(8000))
+    assert len(warc.unpacked(large * 8_000)) == 64_000_000
+    assert sum(1 for _ in warc.records_of(b"WARC/1.0\n" * 200_000 + b"\r\n\r\n")) == 0
+    assert time.perf_counter() - began < 30
+    assert warc.unpacked(large + large[:-3000] + b"\x00" * 9) .startswith(gzip.decompress(large))
