@@ -14,6 +14,7 @@ from millrace.session import table
 from millrace.sources.shared import shared_path
 from millrace.sources.streams import sse_lines, table_stream
 from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, single_flight, tee
+from millrace.streaming.slots import current_slots, slot_changes
 from millrace.streaming.tracker import track_runs
 
 NOW = "2024-01-20 00:00:00"
@@ -155,6 +156,16 @@ def st8_evict_idle_stream(spark, sf):
     return drain(idle_states(stream, "user_id", "ts", "status"), "idle")
 
 
+@query(f"""SELECT CAST(canonical AS VARCHAR) AS slot, arg_max(event_id, (r, w)) AS owner, arg_max(status, (r, w)) AS status FROM (SELECT CASE WHEN user_id % 10 = 3 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN user_id - 3 ELSE user_id END AS canonical, event_id, status,
+ CASE status WHEN 'complete' THEN 2 WHEN 'running' THEN 1 ELSE 0 END AS r, CASE status WHEN 'complete' THEN -event_id ELSE event_id END AS w FROM (SELECT *, {_STATUS} AS status FROM events WHERE user_id IS NOT NULL)) GROUP BY canonical""")
+def st6_slot_owner_stream(spark, sf):
+    """Owners of slots as a stream; users whose number ends in 3 are temporary keys, and a sign-up tells the known one."""
+    status = F.when(c("event_type") == "error", "error").when(c("event_type") == "purchase", "complete").otherwise("running")
+    stream = table_stream(spark, sf, "events").withColumn("status", status)
+    target = F.when((c("event_type") == "signup") & (c("user_id") % 10 == 3), c("user_id") - 3)
+    return current_slots(drain(slot_changes(stream, "user_id", "event_id", "event_id", "status", target), "slots"))
+
+
 _DAY = 86_400_000
 #: One step of a key at a time: the next deadline if it comes before the next event (or the end of event time), else that event.
 _TRACKED = f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, epoch_us(ts) // 1000 AS tm, CASE event_type WHEN 'view' THEN 'run' WHEN 'click' THEN 'save' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'alias' ELSE 'error' END AS what,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.plans import runs
 from millrace.operators import anchored
+from millrace.operators import runs as U
 from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, single_flight, tee
+from millrace.streaming.slots import current_slots, slot_changes
 from millrace.streaming.tracker import track_runs
 
 
@@ -114,3 +116,25 @@ def test_a_stuck_run_times_out_by_the_clock(spark, tmp_path):
         assert sorted(seen) == ["evicted", "started", "timeout"]
     finally:
         query.stop()
+
+
+def test_slots_are_handed_over_between_batches(spark, sf, tmp_path):
+    """The known key comes before, with or after the runs; the owners are those of the batch form, and temporary slots are gone."""
+    kind = "k string, run long, status string, target string"
+    batches = [
+        [("t1", 1, "running", None), ("t2", 2, "complete", None), ("k1", 3, "running", None), ("t3", None, None, "k2")],
+        [("t1", None, None, "k1"), ("t2", 4, "error", None), ("t3", 5, "running", None), ("k3", 6, "error", None)],
+        [("t2", None, None, "k1"), ("k1", 7, "running", None), ("t1", 8, "complete", None), ("k3", 9, "error", None)],
+    ]
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, kind), f"file://{tmp_path}", str(n))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/*")
+    changes = drain(slot_changes(stream, "k", "run", "run", "status", F.col("target")), "slots-test")
+    got = {(r.slot, r.owner, r.status) for r in current_slots(changes).collect()}
+    every = spark.createDataFrame([r for rows in batches for r in rows], kind)
+    aliases = every.where("target is not null").select(F.col("k").alias("alias"), "target")
+    batch = U.slot_owner(every.where("run is not null"), aliases, "k", "run", "run", "status")
+    assert got == {tuple(r) for r in batch.collect()} == {("k1", 2, "complete"), ("k2", 5, "running"), ("k3", 9, "error")}
+    owners = [r.owner for r in changes.where("slot = 'k1'").orderBy("version").collect()]
+    assert owners[0] == 3 and owners[-1] == 2 and len(owners) > 1
