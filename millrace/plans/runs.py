@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.partial_json import complete_json
+from millrace.functions.partial_json import complete_json, progressive
 from millrace.operators import rules as R
 from millrace.operators import runs as U
 from millrace.operators.sse import fold_text, lines_of_chunks
@@ -88,6 +88,23 @@ def st3_partial_json(spark, sf):
     return done.select("conv_id", "turn", "closed", F.get_json_object("closed", "$.t").alias("text_so_far"))
 
 
+_CHUNKED = _CLOSED[: _CLOSED.index("SELECT conv_id, turn, left(d")] + r"""SELECT conv_id, turn, i, d, left(d, 64 * (i + 1)) AS h FROM (SELECT conv_id, turn, d, unnest(range((length(d) + 63) // 64)) AS i
+ FROM (SELECT conv_id, turn, CAST(CASE""" + _CLOSED[_CLOSED.index("CAST(CASE") + len("CAST(CASE") :].replace("FROM conversations", f"FROM {_TURNS}") + ")"
+
+
+@query(
+    _CHUNKED.replace("SELECT conv_id, turn, closed, json_extract_string(closed, '$.t') AS text_so_far", "SELECT conv_id * 1000000 + turn * 1000 + row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY d) AS key, i AS seq, closed")
+    .replace("SELECT conv_id, turn, CASE", "SELECT conv_id, turn, i, d, CASE WHEN length(h) = length(d) THEN d WHEN length(h) = length(d) - 1 AND h LIKE '%\"' AND d LIKE '%\"}' THEN h || '}'", 1)
+)
+def st3_progressive(spark, sf):
+    """Documents that come in chunks of 64 characters: what each is closed to after every chunk, in one pass."""
+    turns = table(spark, sf, "conversations").distinct().select("conv_id", "turn", F.to_json(F.struct(c("role").alias("r"), c("text").alias("t"))).alias("d"))
+    number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("d"))
+    named = turns.select((c("conv_id") * 1000000 + c("turn") * 1000 + number).alias("stream_id"), "d")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("d") - 1) / 64).cast("int")), lambda i: F.substring(c("d"), i * 64 + 1, F.lit(64)))
+    return progressive(named.select("stream_id", F.posexplode(pieces).alias("seq", "chunk")))
+
+
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS valid FROM events GROUP BY event_type")
 def st4_tee(spark, sf):
     """One stream to two sinks: all events, and those that the cache would keep."""

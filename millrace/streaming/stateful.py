@@ -62,6 +62,30 @@ def idle_states(stream: DataFrame, key: str, ts: str, status: str, idle_minutes:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, status string, last long, evicted boolean", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def lines_stream(chunks: DataFrame, key: str, seq: str, chunk: str) -> DataFrame:
+    """(key, seq, line) as chunks of streams come, in order; the open line is the state. A null chunk ends its stream and gives its last line."""
+    rows = chunks.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("s"), F.col(chunk).alias("t"))
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, number = state.get if state.exists else ("", 0)
+        pieces, out = [held], []
+        came = pd.concat(list(batches)).sort_values("s", kind="stable")
+        for text in came["t"]:
+            if text is None:
+                out.append("".join(pieces))
+                pieces = []
+                continue
+            *done, rest = text.split("\n")
+            for line in done:
+                out.append("".join([*pieces, line]))
+                pieces = []
+            pieces.append(rest)
+        state.update(("".join(pieces), number + len(out)))
+        yield pd.DataFrame({"key": group[0], "seq": range(number, number + len(out)), "line": out})
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, line string", "held string, number long", "append", GroupStateTimeout.NoTimeout)
+
+
 def batch_sink(root: str, keep: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A sink whose output is named by the micro-batch's number and overwritten, so a repeated batch leaves its rows once."""
 

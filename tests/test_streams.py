@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans import runs
 from millrace.operators import anchored
 from millrace.operators import runs as U
-from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, single_flight, tee
+from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, lines_stream, single_flight, tee
 from millrace.streaming.slots import current_slots, slot_changes
 from millrace.streaming.tracker import track_runs
 
@@ -138,3 +138,13 @@ def test_slots_are_handed_over_between_batches(spark, sf, tmp_path):
     assert got == {tuple(r) for r in batch.collect()} == {("k1", 2, "complete"), ("k2", 5, "running"), ("k3", 9, "error")}
     owners = [r.owner for r in changes.where("slot = 'k1'").orderBy("version").collect()]
     assert owners[0] == 3 and owners[-1] == 2 and len(owners) > 1
+
+
+def test_open_lines_are_carried_between_batches(spark, tmp_path):
+    batches = [[("a", 0, "one\ntw"), ("b", 0, "x")], [("a", 1, "o"), ("a", 2, "\n\nfour"), ("b", 1, "y\n")], [("a", 3, " more"), ("a", 4, None), ("b", 2, None)]]
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, "k string, s long, t string"), f"file://{tmp_path}", str(n))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("k string, s long, t string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/*")
+    rows = drain(lines_stream(stream, "k", "s", "t"), "lines").collect()
+    assert sorted((r.key, r.seq, r.line) for r in rows) == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, ""), ("a", 3, "four more"), ("b", 0, "xy"), ("b", 1, "")]

@@ -3,7 +3,10 @@
 import datetime as dt
 import json
 import random
+import re
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,14 +15,14 @@ from pyspark.sql import functions as F
 from millrace.functions import classify as K
 from millrace.functions import text as X
 from millrace.functions import timing as T
-from millrace.functions.partial_json import complete
+from millrace.functions.partial_json import Closer, complete
 from millrace.operators import anchored as A
 from millrace.operators import ingredients as G
 from millrace.operators import lookup as L
 from millrace.operators import runs as U
 from millrace.operators import tables as B
 from millrace.operators.history import from_row, merge_history, to_row
-from millrace.operators.sse import fold_text, lines_of_chunks
+from millrace.operators.sse import carried, fold_text, lines_of_chunks
 from millrace.sources.streams import sse_lines
 
 
@@ -236,6 +239,56 @@ def test_partial_json_always_parses(doc, cut):
         assert json.loads(closed) == doc
 
 
+def closable(text):
+    """The longest prefix that some closing makes a document of, by trial; unfinished strings that are keys do not count."""
+    for end in range(len(text), 0, -1):
+        stack, in_string, escaped = [], False, False
+        for ch in text[:end]:
+            if in_string:
+                escaped, in_string = ch == "\\" and not escaped, ch != '"' or escaped
+            elif ch == '"':
+                in_string = True
+            elif ch in "{[":
+                stack.append("}" if ch == "{" else "]")
+            elif ch in "}]" and stack:
+                stack.pop()
+        if not in_string and not any(c in ' \t\n\r,:{}[]"' for c in text[end - 1 : end + 1]) and end < len(text):
+            continue  # within a number or a literal: its beginning is not the value
+        made = text[:end] + ('"' if in_string else "") + "".join(reversed(stack))
+        try:
+            json.loads(made, parse_constant=lambda _: 1 / 0)
+            return made
+        except (ValueError, ZeroDivisionError):
+            continue
+    return None
+
+
+@given(DOCS, st.integers(1, 120), st.integers(1, 9), st.sampled_from(["", "x", "]", " ,", '"', "\\", "\t"]))
+@settings(max_examples=300, deadline=None)
+def test_partial_json_by_chunks_equals_the_longest_closable_prefix(doc, cut, size, junk):
+    text = json.dumps(doc, indent=None if cut % 2 else 1)[:cut] + junk
+    closer, fed = Closer(), ""
+    for i in range(0, len(text), size):
+        fed += text[i : i + size]
+        assert closer.feed(text[i : i + size]).closed() == closable(fed)
+
+
+def test_partial_json_of_ten_million_characters():
+    text = json.dumps({"a": [{"k": "v" * 50, "n": i, "e": "\n\u00e9"} for i in range(110_000)]})
+    closer, began = Closer(), time.perf_counter()
+    for i in range(0, len(text) - 5, 1_000):
+        closer.feed(text[i : i + 1_000])
+    assert json.loads(closer.closed()) == json.loads(text) and len(text) > 9_000_000 and time.perf_counter() - began < 60
+    assert json.loads(complete("[" * 50_000 + "1")[:10] + "]" * 10) is not None
+
+
+def test_lines_hold_no_more_than_the_open_one(spark):
+    """A stream of 64 MB in chunks: every batch of lines stays small."""
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 1000), pa.array(range(1000)), pa.array(["x" * 6_000 + "\n" + "y" * 58_000] * 1000)], names=["k", "s", "t"])
+    sizes = [(b.num_rows, b.nbytes) for b in carried([rows])]
+    assert sum(n for n, _ in sizes) == 1001 and max(size for _, size in sizes) < 20_000_000
+
+
 def test_partial_json_keeps_what_came():
     assert json.loads(complete('{"a": "he')) == {"a": "he"} and json.loads(complete('{"a": [1, {"b": tr')) == {"a": [1, {}]} and complete("") is None and complete(None) is None
 
