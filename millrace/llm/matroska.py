@@ -31,6 +31,7 @@ LACINGS = ("none", "xiph", "fixed", "ebml")
 
 FRAME = 576
 PER_CLUSTER = 64
+DEEPEST = 32
 RATE_HZ = 48_000.0
 
 
@@ -164,9 +165,9 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, int, list[tu
 def parse(data: bytes) -> Parsed:
     """All frames of a file in file order. Damaged or cut-off files give what could be read, and ``error``."""
     out = Parsed()
-    state = {"scale": 1_000_000, "cluster": 0, "base": 0, "block": 0, "track": 0}
+    state: dict = {"scale": 1_000_000, "cluster": 0, "base": 0, "block": 0, "place": 0}
     try:
-        _walk(data, 0, len(data), out, state, 0)
+        _walk(data, out, state)
     except (ValueError, IndexError, struct.error) as e:
         out.error = str(e) or type(e).__name__
     places = {(t, p) for _, t, p in out.cues}
@@ -178,50 +179,78 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
-def _walk(data: bytes, at: int, end: int, out: Parsed, state: dict, depth: int) -> None:
-    while at < end:
+def _open(ident: int, begin: int, at: int, out: Parsed, state: dict) -> None:
+    if ident == SEGMENT:
+        state["base"] = at
+    elif ident == CLUSTER:
+        state["place"] = begin - state["base"]
+        out.clusters.append(begin)
+    elif ident in (TRACK_ENTRY, CUE_POINT):
+        state["entry"], state["positions"] = {}, []
+    elif ident == CUE_POSITIONS:
+        state.setdefault("positions", []).append({})
+
+
+def _close(ident: int, out: Parsed, state: dict) -> None:
+    """Entries count once they are whole, so their fields may stand in any order."""
+    if ident == TRACK_ENTRY:
+        entry = state["entry"]
+        track = entry.get(TRACK_NUMBER, 0)
+        if CODEC_ID in entry:
+            out.codecs[track] = entry[CODEC_ID]
+        if DEFAULT_DURATION in entry:
+            out.durations[track] = entry[DEFAULT_DURATION]
+    elif ident == CUE_POINT:
+        time = state["entry"].get(CUE_TIME, 0)
+        out.cues += [(time, p.get(CUE_TRACK, 0), p.get(CUE_CLUSTER, 0)) for p in state["positions"]]
+
+
+def _walk(data: bytes, out: Parsed, state: dict) -> None:
+    """All elements in order. Open ones are kept on a stack, ``DEEPEST`` at most; files of the format nest no deeper than 8."""
+    parents: list[tuple[int, int]] = []  # (element, end)
+    at, end = 0, len(data)
+    while True:
+        while parents and at >= parents[-1][1]:
+            _close(parents.pop()[0], out, state)
+        if parents:
+            end = parents[-1][1]
+        elif at >= len(data):
+            return
+        else:
+            end = len(data)
         begin = at
         ident, at = _vint(data, at, True)
         size, at = _vint(data, at, False)
         stop = end if size < 0 else at + size
         if stop > end:
             raise ValueError("an element exceeds its parent")
-        if ident == SEGMENT:
-            state["base"] = at
-        if ident == CLUSTER:
-            state["place"] = begin - state["base"]
-            out.clusters.append(begin)
-        if ident == CUE_POINT:
-            state["cue"] = [0, 0, 0]
         if ident in MASTERS:
             if size < 0 and ident == CLUSTER:
                 stop = _cluster_end(data, at, end)
-            _walk(data, at, stop, out, state, depth + 1)
-            if ident == CUE_POINT:
-                out.cues.append(tuple(state["cue"]))
-        elif ident in (SIMPLE_BLOCK, BLOCK):
+            if len(parents) >= DEEPEST:
+                raise ValueError("elements nest too deep")
+            _open(ident, begin, at, out, state)
+            parents.append((ident, stop))
+            continue
+        if ident in (SIMPLE_BLOCK, BLOCK):
             track, offset, flags, lacing, frames = _frames(data, at, stop)
             ts = (state["cluster"] + offset) * state["scale"]
             key = bool(flags & 0x80) if ident == SIMPLE_BLOCK else True
             # a block's time is that of its first frame; the others follow by the track's frame duration
             step = out.durations.get(track, 0)
             for k, (a, n) in enumerate(frames):
-                out.packets.append((track, ts + k * step, state["block"], lacing, key, a, n, state.get("place", 0)))
+                out.packets.append((track, ts + k * step, state["block"], lacing, key, a, n, state["place"]))
             state["block"] += 1
-        elif ident in (TIMESTAMP, TIMESTAMP_SCALE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, DEFAULT_DURATION):
-            n = int.from_bytes(data[at:stop], "big")
-            if ident == TIMESTAMP:
-                state["cluster"] = n
-            elif ident == TIMESTAMP_SCALE:
-                state["scale"] = n
-            elif ident == TRACK_NUMBER:
-                state["track"] = n
-            elif ident == DEFAULT_DURATION:
-                out.durations[state["track"]] = n
-            elif "cue" in state:
-                state["cue"][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(ident)] = n
-        elif ident == CODEC_ID:
-            out.codecs[state["track"]] = data[at:stop].rstrip(b"\0").decode("ascii", "replace")
+        elif ident == TIMESTAMP:
+            state["cluster"] = int.from_bytes(data[at:stop], "big")
+        elif ident == TIMESTAMP_SCALE:
+            state["scale"] = int.from_bytes(data[at:stop], "big")
+        elif ident in (TRACK_NUMBER, DEFAULT_DURATION, CUE_TIME) and "entry" in state:
+            state["entry"][ident] = int.from_bytes(data[at:stop], "big")
+        elif ident == CODEC_ID and "entry" in state:
+            state["entry"][ident] = data[at:stop].rstrip(b"\0").decode("ascii", "replace")
+        elif ident in (CUE_TRACK, CUE_CLUSTER) and state.get("positions"):
+            state["positions"][-1][ident] = int.from_bytes(data[at:stop], "big")
         at = stop
 
 

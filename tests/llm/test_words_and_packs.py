@@ -266,3 +266,19 @@ def test_every_frame_count_reads_back_as_it_was_stored():
         assert found.error is None and {p[6] for p in found.packets} == {matroska.FRAME}
         assert [p[1] for p in found.packets] == [576 * i * 10**9 // 48000 for i in range(n)] and found.durations == {1: 12_000_000}
         assert b"".join(media[p[5] : p[5] + p[6]] for p in found.packets) == payload
+
+
+def test_matroska_of_other_writers():
+    """Fields of an entry in any order, several positions of a cue point, and nesting without end."""
+    m = matroska
+    entries = b"".join(m.element(m.TRACK_ENTRY, m.element(m.CODEC_ID, c) + m._uint(m.DEFAULT_DURATION, d) + m._uint(m.TRACK_NUMBER, n)) for n, c, d in ((1, b"V_VP9", 40), (2, b"A_OPUS", 20)))
+    cluster = m.element(m.CLUSTER, m._uint(m.TIMESTAMP, 3) + m.element(m.SIMPLE_BLOCK, m._block(1, 0, [b"xx", b"yy"], 2)) + m.element(m.SIMPLE_BLOCK, m._block(2, 0, [b"z"], 0)))
+    tracks = m.element(m.TRACKS, entries)
+    position = lambda track: m.element(m.CUE_POSITIONS, m._uint(m.CUE_TRACK, track) + m._uint(m.CUE_CLUSTER, len(tracks)))
+    cues = m.element(m.CUES, m.element(m.CUE_POINT, position(1) + position(2) + m._uint(m.CUE_TIME, 3)))
+    found = m.parse(m.element(m.EBML, b"") + m.element(m.SEGMENT, tracks + cluster + cues))
+    assert found.error is None and found.codecs == {1: "V_VP9", 2: "A_OPUS"} and found.durations == {1: 40, 2: 20}
+    assert found.cues == [(3, 1, len(tracks)), (3, 2, len(tracks))]
+    assert [(p[0], p[1], p[-1]) for p in found.packets] == [(1, 3_000_000, True), (1, 3_000_040, False), (2, 3_000_000, True)]
+    deep = (m.SEGMENT.to_bytes(4, "big") + b"\xff") * 3_000
+    assert m.parse(deep).error == "elements nest too deep" and m.parse(deep).packets == []
