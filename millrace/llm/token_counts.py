@@ -29,8 +29,9 @@ RULES = ("majority", "start", "split")
 #: Fixed pattern: how the public byte-level vocabulary cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: The pattern's white space; runs of so many characters would exceed the stack of its engine.
-_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: The pattern's white space. The library reads a run of it anew for each of its characters, and a very
+#: long one exceeds its stack; so runs are cut out beforehand, all but the short ones, whose cost is small.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{16,}")
 
 
 @lru_cache(maxsize=4)
@@ -47,13 +48,14 @@ def byte_encoder(path: str):
 
 
 def encode(encoding, text: str) -> list[int]:
-    """The ids of a whole text. A very long run of white space is the piece that the pattern would cut: all of it but the
-    character before a following word.
+    """The ids of a whole text. A run of white space is the piece that the pattern would cut: all of it but the character
+    before a following word, which begins the next piece. What lies between runs is encoded as it stands.
     """
     ids, at = [], 0
-    for run in _LONG_SPACE.finditer(text):
+    for run in _SPACES.finditer(text):
         end = run.end() - (run.end() < len(text))
-        ids += encoding.encode_ordinary(text[at : run.start()])
+        if at < run.start():
+            ids += encoding.encode_ordinary(text[at : run.start()])
         ids += encoding._encode_single_piece(text[run.start() : end])
         at = end
     return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)

@@ -14,7 +14,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, fill_middle, registry, resampling
+from millrace.llm import byte_bpe, fill_middle, registry, resampling, token_counts
 from tests.llm.fixtures import empty, hard, hard_rows
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -150,3 +150,17 @@ def test_middles_of_a_very_long_text(spark):
     row = fill_middle.middle_digests(spark.createDataFrame([(3, text)], "doc_id long, text string")).collect()[0]
     want = brute_middle(3, text, "lines")
     assert tuple(row)[1:5] == want[:4] and row.output_sha256 == hashlib.sha256(want[4].encode()).hexdigest() and row.restored_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_white_space_of_every_length_is_linear():
+    import time
+
+    encoding, _ = token_counts.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " b", "é", "!", "1", " " * rng.randint(1, 40), "\n" * rng.randint(1, 30), "\u3000 \t" * rng.randint(1, 12)]) for _ in range(rng.randint(1, 12)))
+        assert token_counts.encode(encoding, text) == encoding.encode_ordinary(text)
+    for run in (20, 2_500, 9_999, 10_001, 1_000_000):
+        began = time.perf_counter()
+        token_counts.encode(encoding, (" " * run + "x") * (1_000_000 // run))
+        assert time.perf_counter() - began < 5
