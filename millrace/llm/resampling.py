@@ -48,6 +48,7 @@ def gains(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
 
     every = raw.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
     both = every.join(counts(raw, "s"), "bucket", "left").join(counts(target, "t"), "bucket", "left").na.fill(0, ["s", "t"])
+    both = materialize(both, "bucket-counts")  # rows and totals both come from it, and the texts are counted once
     total = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
     d = lambda c: F.col(c).cast("double")
     ratio = (d("t") + 1) * (d("all_s") + buckets) / ((d("s") + 1) * (d("all_t") + buckets))
