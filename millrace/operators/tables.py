@@ -91,7 +91,7 @@ def migrate_once(target: DataFrame, legacy: DataFrame, current: DataFrame, done:
     return upsert(target, open_legacy.unionByName(open_current), keys, order)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -102,11 +102,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 def migrated_table(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame | None, int]:
     """(table, markers, version) as committed at ``root``: data that no marker names does not count."""
-    markers = _read(spark, f"{root}/markers")
+    markers = read_if_there(spark, f"{root}/markers")
     if markers is None:
         return None, None, 0
     version = markers.agg(F.max("version")).first()[0] or 0
-    return _read(spark, f"{root}/data/version={version}"), markers, version
+    return read_if_there(spark, f"{root}/data/version={version}"), markers, version
 
 
 def migrate(root: str, target: DataFrame, legacy: DataFrame, current: DataFrame, owners: DataFrame, owner: str, keys: list[str], order: str, present: DataFrame | None = None, write_marker=None) -> DataFrame:

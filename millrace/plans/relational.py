@@ -9,8 +9,10 @@ from millrace.functions.classify import can_scan
 from millrace.operators import anchored as A
 from millrace.operators import ingredients as G
 from millrace.operators import lookup as L
+from millrace.operators import search as S
 from millrace.operators import tables as B
 from millrace.operators.history import cap_newest, from_row, prepend_cap, to_row, top_per_user
+from millrace.operators.parted import PartedTable
 from millrace.session import table
 from millrace.sources.shared import shared_path
 
@@ -94,6 +96,17 @@ def s5_catalog_search(spark, sf):
     return tokens.join(part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term")).distinct(), "term").groupBy("term").agg(F.min("p_partkey").alias("barcode"))
 
 
+@query("""SELECT term, CAST(position AS INTEGER) AS position, barcode FROM (SELECT term, barcode, row_number() OVER (PARTITION BY term ORDER BY barcode) AS position FROM (
+  SELECT DISTINCT s.n AS term, p_partkey AS barcode FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS n FROM part) s JOIN part ON list_contains(string_split(p_name, ' '), s.n)))
+ WHERE position <= 5 AND term <> ''""")
+def s5_search_postings(spark, sf):
+    """First five products of each token by the stored postings, which are written once and then looked up."""
+    part, path = table(spark, sf, "part"), shared_path(spark, "postings")
+    S.write_postings(part, path, "p_partkey", "p_name")
+    terms = part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term"))
+    return S.search(terms, path).withColumnRenamed("code", "barcode")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS saved, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def s6_kv_documents(spark, sf):
     """Documents written as JSON text and parsed again; what does not parse is null."""
@@ -115,6 +128,23 @@ def s8_history_upsert(spark, sf):
     return B.upsert(base, old.unionByName(new), ["id", "user_id"], "v")
 
 
+_PARTED = f"""SELECT id, user_id, CAST(CASE WHEN o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 30 DAYS FROM orders) THEN overall_score + 1 ELSE overall_score END AS INTEGER) AS overall_score
+ FROM ({ENTRIES}) JOIN orders ON o_orderkey = id"""
+
+
+@query(_PARTED)
+def s8_upsert_parts(spark, sf):
+    """A history in parts; the entries of its last thirty days come again, and only their parts are written anew."""
+    every = _entries(spark, sf)
+    held = every.select("id", "user_id", "overall_score").withColumn("v", F.lit(0))
+    history = PartedTable(spark, shared_path(spark, "history"), held.drop("v").schema, ("id", "user_id"), buckets=16)
+    history.upsert(held, "v")
+    last = every.agg(F.max("date_scanned").alias("last"))
+    late = every.join(last, c("date_scanned") >= c("last") - F.make_dt_interval(F.lit(30)), "left_semi")
+    history.upsert(late.select("id", "user_id", (c("overall_score") + 1).cast("int").alias("overall_score"), F.lit(1).alias("v")), "v")
+    return history.rows()
+
+
 @query("""WITH b AS (SELECT user_id AS cache_key, min(event_id) AS analysis, count(*) AS hit_count FROM events WHERE event_type = 'view' GROUP BY user_id),
  n AS (SELECT user_id AS cache_key, arg_max(event_id, (ts, event_id)) AS analysis FROM events WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT COALESCE(n.cache_key, b.cache_key) AS cache_key, COALESCE(n.analysis, b.analysis) AS analysis, CASE WHEN b.cache_key IS NULL THEN 0 ELSE b.hit_count END AS hit_count FROM b FULL JOIN n ON b.cache_key = n.cache_key""")
@@ -126,6 +156,23 @@ def s9_cache_upsert(spark, sf):
     return B.upsert(base, new, ["cache_key"], "v", kept=("hit_count",))
 
 
+@query(f"""WITH v AS (SELECT user_id AS cache_key, arg_max(event_id, (ts, event_id)) AS analysis, max(ts) + INTERVAL 7 DAYS AS expires_at, count(*) AS hit_count FROM events WHERE event_type = 'view' GROUP BY user_id),
+ n AS (SELECT cache_key, analysis, expires_at FROM {CACHE})
+SELECT * FROM (SELECT COALESCE(n.cache_key, v.cache_key) AS cache_key, COALESCE(n.analysis, v.analysis) AS analysis, COALESCE(n.expires_at, v.expires_at) AS expires_at,
+ CASE WHEN v.cache_key IS NULL THEN 0 ELSE v.hit_count END AS hit_count FROM v FULL JOIN n ON v.cache_key = n.cache_key) WHERE expires_at >= TIMESTAMP '{NOW}'""")
+def s9_st12_cache_parts(spark, sf):
+    """A cache in parts by key and day of expiry: entries of views, purchases that replace them, then the clean-up."""
+    events = _events(spark, sf)
+    entry = lambda kind, n, v: events.where(c("event_type") == kind).groupBy(c("user_id").alias("cache_key")).agg(
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("analysis"), (F.max("ts") + F.make_dt_interval(F.lit(7))).alias("expires_at"), n.alias("hit_count")).withColumn("v", F.lit(v))
+    views, purchases = entry("view", F.count(F.lit(1)), 0), entry("purchase", F.max(F.lit(0)).cast("long"), 1)
+    cache = PartedTable(spark, shared_path(spark, "cache"), views.drop("v").schema, ("cache_key",), buckets=4, expires="expires_at")
+    cache.upsert(views, "v")
+    cache.upsert(purchases, "v", kept=("hit_count",))
+    cache.delete_expired(_now())
+    return cache.rows()
+
+
 @query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_name ELSE lower(c_mktsegment) END AS display_name, CASE WHEN c_custkey % 3 = 0 THEN 'google' ELSE 'email' END AS provider, 0 AS scan_count, false AS is_pro FROM customer")
 def s10_profile_insert(spark, sf):
     """Profiles of new users from their metadata, with the table's defaults."""
@@ -140,6 +187,17 @@ def s11_update_latest(spark, sf):
     return B.update_latest(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), updates, "c_custkey", "c_acctbal", "v")
 
 
+@query("SELECT c_custkey, COALESCE(u.v, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY 1) u ON o_custkey = c_custkey")
+def s11_update_parts(spark, sf):
+    """The same last-writer update on a table in parts."""
+    held = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    updates = table(spark, sf, "orders").select(c("o_custkey").alias("c_custkey"), c("o_totalprice").alias("c_acctbal"), F.struct("o_orderdate", "o_orderkey").alias("v"))
+    profiles = PartedTable(spark, shared_path(spark, "profiles"), held.schema, ("c_custkey",), buckets=16)
+    profiles.upsert(held.withColumn("v", F.lit(0)), "v")
+    profiles.update(updates, "c_acctbal", "v")
+    return profiles.rows()
+
+
 @query(f"SELECT * FROM ({ENTRIES}) WHERE user_id <> 85")
 def s15_clear_history(spark, sf):
     return B.delete_where(_entries(spark, sf), c("user_id") == 85)

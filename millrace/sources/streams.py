@@ -18,8 +18,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 
 
 def sse_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Lines of text files, one stream a file, as (stream file, line); the batch form numbers them by offset in the file."""
+    """Lines of text files, one stream a file, as (stream file, line); the batch form tells their order as ``seq``.
+
+    A large file is read as byte ranges that begin and end with lines, by as many tasks; ``seq`` is the range's offset
+    and a number that grows along the range, so it orders lines but does not count them.
+    """
+    file = F.col("_metadata.file_path").alias("stream_file")
     if stream:
-        return spark.readStream.text(path).select(F.col("_metadata.file_path").alias("stream_file"), F.col("value").alias("line"))
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("stream_file"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
-    return whole
+        return spark.readStream.text(path).select(file, F.col("value").alias("line"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("number"))
+    return spark.read.text(path, lineSep="\n").select(file, place.alias("seq"), F.col("value").alias("line"))

@@ -20,8 +20,10 @@ from millrace.operators import anchored as A
 from millrace.operators import ingredients as G
 from millrace.operators import lookup as L
 from millrace.operators import runs as U
+from millrace.operators import search as S
 from millrace.operators import tables as B
 from millrace.operators.history import from_row, merge_history, to_row
+from millrace.operators.parted import PartedTable
 from millrace.operators.sse import carried, fold_text, lines_of_chunks
 from millrace.sources.streams import sse_lines
 
@@ -212,6 +214,79 @@ def test_swapped_versions(spark, tmp_path):
     assert spark.read.parquet(B.swap(spark.read.parquet(f"file://{tmp_path}/t/version=1").where("id > 0"), f"file://{tmp_path}/t", "2")).count() == 2
 
 
+def test_only_touched_parts_are_written(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v string, hits int, expires_at timestamp").schema
+    t = PartedTable(spark, f"file://{tmp_path}/t", schema, ("k",), buckets=8, expires="expires_at")
+    at = lambda day: F.timestamp_seconds(F.lit(day * 86400 + 3600))
+    rows = lambda df: {r.k: (r.v, r.hits) for r in df.collect()}
+    first = spark.range(200).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("v"), F.lit(1).alias("hits"), at(10).alias("expires_at"), F.lit(0).alias("seq"))
+    assert t.rows().collect() == [] and t.heads() == (0, [])
+    assert t.upsert(first, "seq") == 8
+    assert t.upsert(first.where("false"), "seq") == 0 and t.heads()[0] == 1  # nothing changes, nothing is written
+    # one key moves to a later day, so its old part and its new one are written and the others stay
+    moved = first.where("k = 7").select("k", F.lit("b").alias("v"), F.lit(0).alias("hits"), at(12).alias("expires_at"), "seq")
+    nothing = spark.createDataFrame([(None, "n", 5, None, 1), (None, "m", 4, None, 0)], "k int, v string, hits int, expires_at timestamp, seq int")
+    assert t.upsert(moved.unionByName(nothing), "seq", kept=("hits",)) == 3
+    version, heads = t.heads()
+    assert version == 2 and sorted(h.made for h in heads) == [1] * 7 + [2] * 3
+    want = {k: ("a", 1) for k in range(200)} | {7: ("b", 1), None: ("n", 5)}
+    assert rows(t.rows()) == want
+    updates = spark.createDataFrame([(7, "x", 1), (7, "y", 2), (999, "z", 1)], "k int, v string, seq int")
+    assert t.update(updates, "v", "seq") == 1 and rows(t.rows()) == want | {7: ("y", 1)}
+    # strictly before: what expires just now stays; whole days go without being read
+    assert t.delete_expired(at(10)) == 8 and len(rows(t.rows())) == 201
+    assert t.delete_expired(at(11)) == 8 and rows(t.rows()) == {7: ("y", 1), None: ("n", 5)}
+    assert t.delete_expired(at(13)) == 1 and rows(t.rows()) == {None: ("n", 5)}
+    with pytest.raises(ValueError):
+        t.update(updates, "k", "seq")
+
+
+def test_parts_without_heads_do_not_count(spark, tmp_path, monkeypatch):
+    """A change that fails between data and heads leaves the table as it was; it is run again over the same version."""
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, seq int")
+    t = PartedTable(spark, f"file://{tmp_path}/t", df.drop("seq").schema, ("k",), buckets=4)
+    t.upsert(df, "seq")
+    change = df.withColumn("v", F.lit("c"))
+    parts = PartedTable._parts
+
+    def away(dealt):
+        if dealt.columns == ["__bucket", "__day"]:  # the data just written
+            raise OSError("no heads")
+        return parts(dealt)
+
+    with monkeypatch.context() as m:
+        m.setattr(PartedTable, "_parts", staticmethod(away))
+        with pytest.raises(OSError, match="no heads"):
+            t.upsert(change, "seq")
+    assert t.heads()[0] == 1 and {r.v for r in t.rows().collect()} == {"a", "b"}
+    t.upsert(change, "seq")
+    assert t.heads()[0] == 2 and {r.v for r in t.rows().collect()} == {"c"}
+
+
+def test_postings_read_their_buckets_only(spark, tmp_path):
+    rows = [(i, f"common w{i % 7}") for i in range(50)] * 2 + [(None, "common"), (99, None), (3, "")]
+    path = f"file://{tmp_path}/p"
+    S.write_postings(spark.createDataFrame(rows, "code long, name string"), path, "code", "name")
+    asked = spark.createDataFrame([("common",), ("common",), ("w3",), ("none",), (None,)], "term string")
+    got = sorted(tuple(r) for r in S.search(asked, path).collect())
+    assert got == [("common", i + 1, i) for i in range(5)] + [("w3", i + 1, 3 + 7 * i) for i in range(5)]
+    plan = S.postings(spark, path, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
+def test_a_file_of_lines_is_many_tasks(spark, tmp_path):
+    want = [f"{i} zażółć " + "x" * (i % 50) for i in range(20000)]
+    (tmp_path / "s.txt").write_text("\n".join(want))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        read = sse_lines(spark, f"file://{tmp_path}/s.txt")
+        assert read.rdd.getNumPartitions() > 8
+        assert [r.line for r in sorted(read.collect(), key=lambda r: r.seq)] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_event_lines(spark, tmp_path):
     line = lambda t: "data: " + json.dumps({"type": "content_block_delta", "delta": {"text": t}})
     rows = [(1, 0, line("He")), (1, 1, "data: {oops"), (1, 2, line("llo")), (1, 3, "data: [DONE]"), (1, 4, line("!")), (2, 0, ": ping"), (2, 1, line("")), (3, 0, line("x"))]
