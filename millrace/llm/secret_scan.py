@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize
 
-#: Kind, pattern, group with the value, least code points of that group.
-DETECTORS: list[tuple[str, str, int, int]] = [
-    ("assign", r"""((?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]{16,}", 0, 16),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 30),
-    ("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,})", 0, 20),
+#: Kind, pattern, group with the value, least code points of that group, group that stands before the span (0: none).
+#: A web token is tried at the first "eyJ" of a run only: where that one fails, those after it in the run fail too.
+DETECTORS: list[tuple[str, str, int, int, int]] = [
+    ("assign", r"""((?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, 0),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18, 0),
+    ("hex", r"[0-9a-f]{16,}", 0, 16, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])((?>[A-Za-z0-9_-]*?(?=eyJ)))(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++)", 2, 30, 1),
+    ("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,})", 0, 20, 0),
 ]
 BASE_KINDS = ("assign", "access", "hex")
 #: Words that mark a value as a stand-in.
@@ -42,15 +43,16 @@ def _looks_live(value: Column) -> Column:
     return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
 
-def _hits(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+def _hits(text: Column, rank: int, pattern: str, group: int, least: int, lead: int) -> Column:
     """Leftmost non-overlapping matches of one detector in order: length of the piece before, own length, value's hash."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
 
     def hit(x: Column, i: Column) -> Column:
         value = F.regexp_extract(x["hit"], pattern, group) if group else x["hit"]
+        before = F.length(F.regexp_extract(x["hit"], pattern, lead)) if lead else F.lit(0)
         return F.struct(
-            F.lit(rank).alias("rank"), i.alias("nth"), x["gap"].alias("gap"), F.length(x["hit"]).alias("length"),
+            F.lit(rank).alias("rank"), i.alias("nth"), (x["gap"] + before).alias("gap"), (F.length(x["hit"]) - before).alias("length"),
             (F.length(value) >= least).alias("valid"), F.sha2(value, 256).alias("hash"), _looks_live(value).alias("random"),
         )
 
@@ -161,6 +163,6 @@ def redact(
     dealt = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.filter("hashes", lambda h: first(h) == b))
     live = held.select("__hit", F.when(F.size("hashes") > 64, dealt).otherwise(F.array("hashes")).alias("__live"))
     out = marked.join(live, marked["__row"].eqNullSafe(live["__hit"]), "left")
-    for _, pattern, group, _ in DETECTORS:
+    for _, pattern, group, _, _ in DETECTORS:
         out = out.withColumn(text, F.when(F.col("__live").isNotNull(), _without(F.col(text), F.col("__live"), pattern, group)).otherwise(F.col(text)))
     return out.select(*docs.columns)
