@@ -19,6 +19,71 @@ from tests.llm.fixtures import empty, hard, hard_rows, sentence, words
 NEVER = 1 << 62
 
 
+PROSE = "<p>The article itself, with a good deal more to read than what stands around it.</p>"
+TEXT = "The article itself, with a good deal more to read than what stands around it."
+
+
+@pytest.mark.parametrize("around", [
+    '<div id="comments"><article class="comment-body">c</article></div>', '<div class="related-posts"><article>c</article></div>', '<section id="comments"><p>c</p></section>',
+    '<div class="comments-area"><article>c</article></div>', '<main class="x"></main>'])
+def test_comments_and_teasers_are_no_main_text(around):
+    assert html_text.blocks(f"<article>{PROSE}</article>{around}") == ([TEXT], True)
+    assert html_text.blocks(f"<article>{PROSE}{around}</article>") == ([TEXT], True)
+    assert html_text.blocks(f"<main><article>{PROSE}</article>{around}</main>") == ([TEXT], True)
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "ad-slot", "social-icons", "adsbygoogle", "related-posts", "comment-form"])
+def test_chrome_within_an_article(name):
+    assert html_text.blocks(f'<article>{PROSE}<div class="{name}">Buy now</div></article>') == ([TEXT], True)
+
+
+def test_ids_of_headings_and_sections_are_titles():
+    page = f'<article><h2 id="navigation">Navigation</h2>{PROSE}<h2 id="comments">On comments</h2><section id="related"><p>Related work.</p></section></article>'
+    assert html_text.blocks(page) == (["Navigation", TEXT, "On comments", "Related work."], True)
+
+
+def test_articles_within_an_article():
+    assert html_text.blocks(f"<article>{PROSE}<article>a short reply</article></article>") == ([TEXT], True)
+    assert html_text.blocks(f"<article>Lead<article>{PROSE}</article></article>") == (["Lead", TEXT], True)
+    assert html_text.blocks(f'<main><article>{PROSE}</article><article class="comment">c</article></main>') == ([TEXT], True)
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<a x='", '<a "', "<a \"<b '", "<aaaa", "<a b=c ", "<", "<!", "<a '<a ' x", "</p ", "<a x=\">\""])
+def test_broken_tags_take_linear_time(bit):
+    start = time.perf_counter()
+    for end in ("", "\">", "'>", '" x', ">"):
+        html_text.blocks(bit * 200_000 + end)
+    html_text.blocks("<a" + "b" * 1_000_000 + '"')
+    assert time.perf_counter() - start < 60
+
+
+def test_quotes_within_tags():
+    assert html_text.blocks('<article><p title="a > b">one</p><p class="a" ">two</p><p title=\'<i>\'>three</p>1 < 2 <b>x</b></article>') == (["one", "two", "three", "1 < 2 x"], True)
+
+
+TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+")
+
+
+def test_web_tokens_equal_the_plain_pattern(spark):
+    r = random.Random(7)
+    bits = ["eyJ", "eyJ", ".", ".", "-", " ", "a1b2c3d4e5", "Zz9", "_", "é", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2ln"]
+    texts = ["".join(r.choices(bits, k=r.randrange(40))) for _ in range(400)]
+    want = [",".join(f"jwt:{m.start()}:{m.end()}" for m in TOKEN.finditer(t) if m.end() - m.start() >= 30) for t in texts]
+    assert sum(map(bool, want)) > 100
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")
+    got = {x.doc_id: ",".join(s for s in x.spans.split(",") if s.startswith("jwt:")) for x in secret_scan.scan_secrets(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("bit", ["eyJ", "-eyJ", "eyJaaaaaaaaaa.", "eyJaaaaaaaaaa.b.", "token: ", "AKIA", "xoxa-", "ghp_", "0123456789abcde "])
+def test_many_starts_without_a_match_take_linear_time(spark, bit):
+    start = time.perf_counter()
+    rows = spark.createDataFrame([(1, bit * (1_000_000 // len(bit)), "s")], "doc_id long, text string, source string")
+    assert secret_scan.scan_secrets(rows).count() == 1
+    assert secret_scan.redact(rows).count() == 1
+    assert time.perf_counter() - start < 60
+
+
 def brute_removed(rows, window=50):
     first = {}
     for i, t in rows:
