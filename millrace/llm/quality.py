@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule's cost (seconds a document) and selectivity (share of documents it rejects) are estimated on a
-sample of rows; the rules then run in the order of rejections per cost, and a document that one rejects skips the rest.
+sample of rows; the rules then run in the order of rejections per cost, where a rule's rejections are those among the
+documents that the rules before it keep, and a document that one rejects skips the rest.
 A document is kept if no rule rejects it, so the order changes the time and never the verdict.
 
-The sample is measured on the executors, inside one narrow pass, and comes back as one row per rule; only the
-order depends on it. Its expected number of rows (``sample_rows``) is the documented bound.
+The sample is measured on the executors, inside one narrow pass, and comes back as one row for each set of rules that
+reject a document together; only the order depends on it. Its expected number of rows (``sample_rows``) is the documented bound.
 """
 
 from __future__ import annotations
@@ -39,6 +40,12 @@ class Document:
             self._held[name] = make()
         return self._held[name]
 
+    def parsed(self) -> Document:
+        """A new document of the same text that has its words already and nothing else."""
+        other = Document(self.text)
+        other._held.update(data=self.data, words=self.words)
+        return other
+
     @property
     def data(self) -> bytes:
         return self._once("data", self.text.encode)
@@ -152,45 +159,70 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, seed: int = 11) -> DataFrame:
-    """One row per rule: documents tried, rejected, and seconds, on a sample of about ``sample_rows`` rows.
+#: What is computed for every document anyway.
+BASE = RULES[:2]
 
-    Rows are drawn one by one by the hash of their place in the scan, so equal texts do not come or go together. Each
-    rule is timed with a document of its own, so its cost is that of running first.
-    """
+
+def _outcomes(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], text: str, sample_rows: int, seed: int) -> DataFrame:
+    """Per set of rules (``mask``) that reject a document: documents ``n``, and seconds of every rule on them (``s0``, ...)."""
     total = docs.select().count()  # no column is read
     share = min(1.0, sample_rows / max(1, total))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
     picked = docs.select(text).where(drawn)
+    spent = [f"s{i}" for i in range(len(rules))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried, rejected, spent = Counter(), Counter(), Counter()
+        held: dict[int, list[float]] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for rule in rules:
-                    document = Document(text)
+            for body in batch.column(0):
+                read = Document(body.as_py())
+                if any(rule.rejects(read) for rule in base):
+                    continue
+                mask, seconds = 0, []
+                for i, rule in enumerate(rules):
+                    document = read.parsed()
                     began = time.perf_counter()
-                    rejected[rule.name] += bool(rule.rejects(document))
-                    spent[rule.name] += time.perf_counter() - began
-                    tried[rule.name] += 1
-        names = [r.name for r in rules]
-        yield pa.RecordBatch.from_pydict(
-            {"rule": pa.array(names, pa.string()), "tried": pa.array([tried[n] for n in names], pa.int64()), "rejected": pa.array([rejected[n] for n in names], pa.int64()), "seconds": pa.array([float(spent[n]) for n in names], pa.float64())}
-        )
-
-    each = picked.mapInArrow(run, "rule string, tried long, rejected long, seconds double")
-    return each.groupBy("rule").agg(F.sum("tried").alias("tried"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+                    mask |= bool(rule.rejects(document)) << i
+                    seconds.append(time.perf_counter() - began)
+                row = held.setdefault(mask, [0.0] * (len(rules) + 1))
+                for i, x in enumerate([1.0, *seconds]):
+                    row[i] += x
+        columns = [pa.array(list(held), pa.int64()), pa.array([int(r[0]) for r in held.values()], pa.int64())]
+        columns += [pa.array([r[i + 1] for r in held.values()], pa.float64()) for i in range(len(rules))]
+        yield pa.RecordBatch.from_arrays(columns, names=["mask", "n", *spent])
 
+    each = picked.mapInArrow(run, "mask long, n long" + "".join(f", {c} double" for c in spent))
+    return each.groupBy("mask").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in spent])
 
-def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules by rejections per second of their own cost, most first; ties by the order given."""
-    rows = {r["rule"]: r for r in measure(docs, rules, text, sample_rows).collect()}  # as many rows as rules
 
-    def worth(rule: Rule) -> float:
-        row = rows.get(rule.name)
-        return row["rejected"] / max(row["seconds"], 1e-9) if row else 0.0
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, seed: int = 11, base: tuple[Rule, ...] = ()) -> DataFrame:
+    """One row per rule: documents tried, rejected, and seconds, on a sample of about ``sample_rows`` rows.
+
+    Rows are drawn one by one by the hash of their place in the scan, so equal texts do not come or go together. The
+    words are split once for all rules, since any of them needs that; beyond it each rule is timed with a document of
+    its own. Documents that a rule of ``base`` rejects are not tried.
+    """
+    if not rules:
+        return docs.sparkSession.createDataFrame([], "rule string, tried long, rejected long, seconds double")
+    bit = lambda i: F.shiftright("mask", i).bitwiseAND(F.lit(1))
+    one = [F.struct(F.lit(r.name).alias("rule"), F.col("n").alias("tried"), (F.col("n") * bit(i)).alias("rejected"), F.col(f"s{i}").alias("seconds")) for i, r in enumerate(rules)]
+    each = _outcomes(docs, rules, base, text, sample_rows, seed).select(F.inline(F.array(*one)))
+    return each.groupBy("rule").agg(F.sum("tried").alias("tried"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
 
-    return tuple(sorted(rules, key=lambda r: -worth(r)))
+
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, seed: int = 11, base: tuple[Rule, ...] = ()) -> tuple[Rule, ...]:
+    """The rules, each in turn the one that rejects most per second of what those before it (and ``base``) keep; ties as given."""
+    if not rules:
+        return ()
+    rows = _outcomes(docs, rules, base, text, sample_rows, seed).collect()  # at most as many as the sample has
+    cost = [max(sum(r[f"s{i}"] for r in rows), 1e-9) for i in range(len(rules))]
+    todo, ordered = list(range(len(rules))), []
+    while todo:
+        best = max(todo, key=lambda i: sum(r["n"] for r in rows if r["mask"] >> i & 1) / cost[i])
+        todo.remove(best)
+        ordered.append(rules[best])
+        rows = [r for r in rows if not r["mask"] >> best & 1]
+    return tuple(ordered)
 
 
 def judge(document: Document, rules: tuple[Rule, ...]) -> str | None:
@@ -201,9 +233,10 @@ def judge(document: Document, rules: tuple[Rule, ...]) -> str | None:
 def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """Per row of ``docs``: the base counts over its whole text, whether those fail, and the cascade's verdict.
 
-    A null or empty text has no words and fails. Repeated rows each give a row.
+    A null or empty text has no words and fails. Repeated rows each give a row. The base is computed for every text, so
+    the cascade orders and runs the other rules, by what they reject of the documents that pass it.
     """
-    ordered = cascade_order(docs, rules, text, sample_rows)
+    ordered = cascade_order(docs, tuple(r for r in rules if r not in BASE), text, sample_rows, base=BASE)
 
     def run(held: dict[str, list]) -> dict[str, list]:
         rows = []

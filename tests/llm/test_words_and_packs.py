@@ -46,6 +46,17 @@ def test_quality_stage_keeps_columns_and_agrees_with_the_verdict(spark):
     assert Counter(r.doc_id for r in kept.collect()) == verdicts
 
 
+def test_cascade_counts_what_the_rules_before_leave(spark):
+    """The wider rule comes first; the one within it then rejects nothing, so a narrow rule of its own comes before it."""
+    rule = lambda name, low, high: quality.Rule(name, lambda d: sum(range(2000)) > 0 and low <= int(d.words[0]) < high)
+    wide, within, apart, small = rule("wide", 0, 90), rule("within", 0, 30), rule("apart", 90, 96), quality.Rule("small", lambda d: int(d.words[0]) >= 90)
+    docs = spark.createDataFrame([(str(i),) for i in range(100)], "text string")
+    assert [r.name for r in quality.cascade_order(docs, (within, apart, wide))] == ["wide", "apart", "within"]
+    assert [r.name for r in quality.cascade_order(docs, (apart, within), base=(small,))] == ["within", "apart"]
+    assert {(r.rule, r.tried, r.rejected) for r in quality.measure(docs, (apart, within), base=(small,)).collect()} == {("apart", 90, 0), ("within", 90, 30)}
+    assert quality.cascade_order(docs, ()) == () and quality.cascade_order(docs.where("false"), (apart, wide)) == (apart, wide)
+
+
 def test_cascade_orders_by_rejections_per_cost(spark):
     docs = spark.createDataFrame([(i, "word " * (30 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
     slow = quality.Rule("slow_useless", lambda d: sum(range(20_000)) < 0)
