@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, id long, what string, at long, aliases long, anchored boolean"
+_OUT = Row("key", "id", "what", "at", "aliases", "anchored")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Outcomes after which a request starts anew.
 FAILED = ("error", "not_found")
@@ -42,23 +42,47 @@ class RunTracker(StatefulProcessor):
         pass
 
     def _read(self) -> None:
-        self.status, self.started, self.clean_at = self.run.get() if self.run.exists() else (None, None, None)
-        self.anchor = self.saved.get()[0] if self.saved.exists() else None
+        run, saved = self.run.get(), self.saved.get()
+        self.status, self.started, self.clean_at = run or (None, None, None)
+        self.anchor = saved[0] if saved else None
+        self.held = (run and tuple(run), self.anchor, self._due())
+        self.fresh: dict[str, int] = {}
 
     def _write(self) -> None:
-        if self.status is None and self.clean_at is None:
+        """What has changed goes to the state; a key has one timer, that of its next deadline."""
+        run, anchor, due = self.held
+        now = None if self.status is None and self.clean_at is None else (self.status, self.started, self.clean_at)
+        # a state with a time to live is written again, for that renews it
+        if now is None and run is not None:
             self.run.clear()
-        else:
-            self.run.update((self.status, self.started, self.clean_at))
-        if self.anchor is None:
+        elif now is not None and (now != run or self.ttl):
+            self.run.update(now)
+        if self.anchor is None and anchor is not None:
             self.saved.clear()
-        else:
+        elif self.anchor is not None and (self.anchor != anchor or self.ttl):
             self.saved.update((self.anchor,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = self._due()
-        if due is not None:
-            self.handle.registerTimer(due[0])
+        self._keep_aliases()
+        then = self._due()
+        if (then and then[0]) != (due and due[0]):
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            if then is not None:
+                self.handle.registerTimer(then[0])
+
+    def _keep_aliases(self) -> None:
+        for alias, at in self.fresh.items():
+            self.aliases.updateValue((alias,), (at,))
+        self.fresh = {}
+
+    def _drop_aliases(self) -> int:
+        """Their number; those told since the state was read are not in it yet."""
+        if not self.aliases.exists():
+            held, self.fresh = len(self.fresh), {}
+            return held
+        self._keep_aliases()
+        held = sum(1 for _ in self.aliases.keys())
+        self.aliases.clear()
+        return held
 
     def _due(self) -> tuple[int, str] | None:
         """The next deadline; a timeout goes before a clean-up at the same time."""
@@ -79,8 +103,7 @@ class RunTracker(StatefulProcessor):
                 self._end("error", at)
                 out.append((None, "timeout", at, 0, False))
                 continue
-            held, anchored, self.clean_at = sum(1 for _ in self.aliases.keys()), self.anchor is not None, None
-            self.aliases.clear()
+            held, anchored, self.clean_at = self._drop_aliases(), self.anchor is not None, None
             self.anchor = None
             kept = self.status == "running"
             if not kept:
@@ -98,37 +121,31 @@ class RunTracker(StatefulProcessor):
             self.anchor = at if accepted else self.anchor
             return id_, "saved" if accepted else "suppressed", at, 0, False
         if what == "alias":
-            self.aliases.updateValue((alias,), (at,))
+            self.fresh[alias] = at
             return id_, "aliased", at, 0, False
         ends = self.status == "running"
         if ends:
             self._end(what, at)
         return id_, what if ends else "ignored", at, 0, False
 
-    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["id", "what", "at", "aliases", "anchored"])
-        made.insert(0, "key", key[0])
-        return made.astype({"id": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         self._read()
-        events = sorted((row for batch in rows for row in zip(batch["ms"], batch["id"], batch["what"], batch["alias"])), key=lambda e: (e[0], e[1]))
-        for start in range(0, len(events), 10_000):
+        for ms, id_, what, alias in sorted(((row.ms, row.id, row.what, row.alias) for row in rows), key=lambda e: e[:2]):
             out: list[tuple] = []
-            for at, id_, what, alias in events[start : start + 10_000]:
-                if self.event_time:
-                    self._advance(int(at), out)
-                out.append(self._event(int(id_), what, int(at), alias))
-            yield self._frame(key, out)
+            if self.event_time:
+                self._advance(ms, out)
+            out.append(self._event(id_, what, ms, alias))
+            for made in out:
+                yield _OUT(key[0], *made)
         self._write()
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._read()
         out: list[tuple] = []
         self._advance(timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs(), out)
         self._write()
-        if out:
-            yield self._frame(key, out)
+        for made in out:
+            yield _OUT(key[0], *made)
 
 
 def track_runs(
@@ -145,4 +162,4 @@ def track_runs(
     rows = events.withWatermark(ts, delay) if event_time else events
     named = rows.select(F.col(key).cast("string").alias("key"), F.unix_millis(ts).alias("ms"), F.col(order).cast("long").alias("id"), F.col(what).alias("what"), F.col(alias).cast("string").alias("alias"))
     processor = RunTracker(timeout_ms, idle_ms, repeat_ms, event_time, None if event_time else ttl_ms)
-    return named.groupBy("key").transformWithStateInPandas(processor, OUT, "Append", "EventTime" if event_time else "ProcessingTime")
+    return named.groupBy("key").transformWithState(processor, OUT, "Append", "EventTime" if event_time else "ProcessingTime")

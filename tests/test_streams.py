@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.plans import runs
@@ -10,7 +11,7 @@ from millrace.operators import anchored
 from millrace.operators import runs as U
 from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, lines_stream, single_flight, tee
 from millrace.streaming.slots import current_slots, slot_changes
-from millrace.streaming.tracker import track_runs
+from millrace.streaming.tracker import RunTracker, track_runs
 
 
 def write(df, path, n):
@@ -148,3 +149,73 @@ def test_open_lines_are_carried_between_batches(spark, tmp_path):
     stream = spark.readStream.schema("k string, s long, t string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/*")
     rows = drain(lines_stream(stream, "k", "s", "t"), "lines").collect()
     assert sorted((r.key, r.seq, r.line) for r in rows) == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, ""), ("a", 3, "four more"), ("b", 0, "xy"), ("b", 1, "")]
+
+
+class Counted:
+    """States of one key in memory, and how often they are asked."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps = 0, {}, {}
+
+    def _state(self, name):
+        handle = self
+
+        class State:
+            def exists(self):
+                handle.calls += 1
+                return bool(handle.values.get(name) or handle.maps.get(name))
+
+            def get(self):
+                handle.calls += 1
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.calls += 1
+                handle.values[name] = value
+
+            def updateValue(self, key, value):
+                handle.calls += 1
+                handle.maps.setdefault(name, {})[key] = value
+
+            def keys(self):
+                handle.calls += 1
+                return list(handle.maps.get(name, {}))
+
+            def clear(self):
+                handle.calls += 1
+                handle.values.pop(name, None), handle.maps.pop(name, None)
+
+        return State()
+
+    def getValueState(self, name, *kinds):
+        return self._state(name)
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        self.calls += 1
+        return list(self.maps.get("timers", ()))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.maps.setdefault("timers", {})[at] = True
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.maps.get("timers", {}).pop(at, None)
+
+
+def test_a_keys_states_are_asked_once_a_batch_not_once_an_event():
+    event, handle = Row("ms", "id", "what", "alias"), Counted()
+    tracker = RunTracker(1_000, 5_000, 100, True, None)
+    tracker.init(handle)
+    kinds = ["run", "alias", "save", "complete"]
+    first = [event(100 * i, i, kinds[i % 4], f"t{i}") for i in range(2_000)]
+    out = list(tracker.handleInputRows(("a",), iter(first), None))
+    assert [r.id for r in out if r.id is not None] == list(range(2_000)) and any(r.what == "evicted" and r.aliases > 1 for r in out)
+    assert handle.calls < 60  # the aliases since the last clean-up, run, anchor and one timer
+    left, before = len(handle.maps["aliases"]), handle.calls
+    (timer,) = handle.maps["timers"]
+    later = list(tracker.handleInputRows(("a",), iter([event(timer - 1, 2_000, "alias", "new"), event(timer + 1, 2_001, "save", None)]), None))
+    assert [(r.what, r.aliases) for r in later if r.what in ("evicted", "kept")] == [("evicted", left + 1)] and handle.calls - before < 20
+    assert "aliases" not in handle.maps and not handle.maps["timers"]
