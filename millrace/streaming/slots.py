@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +20,8 @@ _HELD = "slot string, rank long, place long, owner long, status string"
 _CHANGES = "slot string, version long, owner long, status string"
 #: Ranks below all runs': nothing held, and a slot that was given up.
 NOTHING, RELEASED = -1, -2
+_HELD_ROW = Row("slot", "rank", "place", "owner", "status")
+_CHANGE = Row("slot", "version", "owner", "status")
 
 
 class _HandOver(StatefulProcessor):
@@ -33,27 +34,20 @@ class _HandOver(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.best.get() if self.best.exists() else (NOTHING, 0, None, None)
-        known = self.known.get()[0] if self.known.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, known = self.best.get() or (NOTHING, 0, None, None), (self.known.get() or (None,))[0]
         best, learnt = tuple(before), None
-        for batch in rows:
-            for rank, place, owner, status in zip(batch["rank"], batch["place"], batch["run"], batch["status"]):
-                if rank >= 0:
-                    best = max(best, (int(rank), int(place), int(owner), status), key=lambda b: b[:2])
-            told = batch["target"].dropna()
-            if known is None and learnt is None and len(told):
-                learnt = told.iloc[0]
-        out = []
+        for row in rows:
+            if row.rank >= 0 and (row.rank, row.place) > best[:2]:
+                best = (row.rank, row.place, row.run, row.status)
+            if known is None and learnt is None:
+                learnt = row.target
         if learnt is not None and learnt != key[0]:
             self.known.update((learnt,))
-            out.append((key[0], RELEASED, 0, None, None))
-        slot = known or learnt or key[0]
-        if best[0] >= 0:
+            yield _HELD_ROW(key[0], RELEASED, 0, None, None)
+        if best[0] >= 0 and (best != tuple(before) or learnt is not None):
             self.best.update(best)
-            if best != tuple(before) or learnt is not None:
-                out.append((slot, *best))
-        yield pd.DataFrame(out, columns=["slot", "rank", "place", "owner", "status"]).astype({"owner": "Int64"})
+            yield _HELD_ROW(known or learnt or key[0], *best)
 
 
 class _Slot(StatefulProcessor):
@@ -65,19 +59,17 @@ class _Slot(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        *before, version = self.best.get() if self.best.exists() else (NOTHING, 0, None, None, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        *before, version = self.best.get() or (NOTHING, 0, None, None, 0)
         best = tuple(before)
-        for batch in rows:
-            for rank, place, owner, status in zip(batch["rank"], batch["place"], batch["owner"], batch["status"]):
-                if rank == RELEASED:
-                    best = (RELEASED, 0, None, None)
-                elif best[0] != RELEASED:
-                    best = max(best, (int(rank), int(place), int(owner), status), key=lambda b: b[:2])
-        if best == tuple(before):
-            return
-        self.best.update((*best, version + 1))
-        yield pd.DataFrame([(key[0], version + 1, best[2], best[3])], columns=["slot", "version", "owner", "status"]).astype({"owner": "Int64"})
+        for row in rows:
+            if row.rank == RELEASED:
+                best = (RELEASED, 0, None, None)
+            elif best[0] != RELEASED and (row.rank, row.place) > best[:2]:
+                best = (row.rank, row.place, row.owner, row.status)
+        if best != tuple(before):
+            self.best.update((*best, version + 1))
+            yield _CHANGE(key[0], version + 1, best[2], best[3])
 
 
 def slot_changes(runs: DataFrame, key: str, run: str, seq: str, status: str, target: Column) -> DataFrame:
@@ -91,8 +83,8 @@ def slot_changes(runs: DataFrame, key: str, run: str, seq: str, status: str, tar
     rank = F.when(F.col(run).isNull(), NOTHING).when(F.col(status) == "complete", 2).when(F.col(status) == "running", 1).otherwise(0)
     place = F.when(F.col(status) == "complete", -F.col(seq)).otherwise(F.col(seq))
     rows = runs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), rank.cast("long").alias("rank"), place.cast("long").alias("place"), F.col(run).cast("long").alias("run"), F.col(status).alias("status"), target.cast("string").alias("target"))
-    held = rows.groupBy("key").transformWithStateInPandas(_HandOver(), _HELD, "Append", "None")
-    return held.groupBy("slot").transformWithStateInPandas(_Slot(), _CHANGES, "Append", "None")
+    held = rows.groupBy("key").transformWithState(_HandOver(), _HELD, "Append", "None")
+    return held.groupBy("slot").transformWithState(_Slot(), _CHANGES, "Append", "None")
 
 
 def current_slots(changes: DataFrame) -> DataFrame:

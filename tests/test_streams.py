@@ -10,7 +10,7 @@ from millrace.plans import runs
 from millrace.operators import anchored
 from millrace.operators import runs as U
 from millrace.streaming.stateful import admission, batch_sink, drain, idle_states, lines_stream, single_flight, tee
-from millrace.streaming.slots import current_slots, slot_changes
+from millrace.streaming.slots import _HandOver, _Slot, current_slots, slot_changes
 from millrace.streaming.tracker import RunTracker, track_runs
 
 
@@ -219,3 +219,15 @@ def test_a_keys_states_are_asked_once_a_batch_not_once_an_event():
     later = list(tracker.handleInputRows(("a",), iter([event(timer - 1, 2_000, "alias", "new"), event(timer + 1, 2_001, "save", None)]), None))
     assert [(r.what, r.aliases) for r in later if r.what in ("evicted", "kept")] == [("evicted", left + 1)] and handle.calls - before < 20
     assert "aliases" not in handle.maps and not handle.maps["timers"]
+
+
+def test_slots_take_rows_and_ask_their_states_once():
+    run, held, handle = Row("rank", "place", "run", "status", "target"), Row("rank", "place", "owner", "status"), Counted()
+    over, slot = _HandOver(), _Slot()
+    over.init(handle)
+    rows = [run(1, i, i, "running", "k" if i == 50 else None) for i in range(1_000)]
+    assert [tuple(r) for r in over.handleInputRows(("t",), iter(rows), None)] == [("t", -2, 0, None, None), ("k", 1, 999, 999, "running")]
+    assert handle.calls <= 4
+    slot.init(handle := Counted())
+    assert [tuple(r) for r in slot.handleInputRows(("k",), iter([held(1, i, i, "running") for i in range(1_000)]), None)] == [("k", 1, 999, "running")]
+    assert not list(slot.handleInputRows(("k",), iter([held(1, 5, 5, "running")]), None)) and handle.calls <= 4
