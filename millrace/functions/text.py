@@ -23,13 +23,19 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
 
 
+#: Lower-case names that are their own key: words with one space between them, and nothing that a key loses.
+_OWN_KEY = r"^(?!.*(?:dog food|cat food|formula|recipe))[a-z0-9]++(?: [a-z0-9]++)*+\z"
+
+
 def normalize_key(name: Column) -> Column:
-    """Cache key of a product name; null gives the empty key."""
-    out = F.regexp_replace(F.lower(name), r"\(r\)|\(tm\)|\(c\)|®|™|©", "")
+    """Cache key of a product name; null gives the empty key. Names that are their own key cost one match."""
+    low = F.lower(name)
+    out = F.regexp_replace(low, r"\(r\)|\(tm\)|\(c\)|®|™|©", "")
     out = F.regexp_replace(out, f"{_NOT_WORD_BEFORE}(dog food|cat food|formula|recipe){_NOT_WORD_AFTER}", "")
     out = F.regexp_replace(out, f"[^a-z0-9{WS}]", "")
-    out = F.regexp_replace(out, f"[{WS}]+", " ")
-    return F.coalesce(js_trim(out), F.lit(""))
+    # all white space is single spaces then
+    out = F.trim(F.regexp_replace(out, f"[{WS}]+", " "))
+    return F.coalesce(F.when(low.rlike(_OWN_KEY), low).otherwise(out), F.lit(""))
 
 
 def detect_pet_type(name: Column, categories: Column, tags: Column) -> Column:

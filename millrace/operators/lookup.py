@@ -39,16 +39,16 @@ def enrich(scans: DataFrame, catalog: DataFrame, barcode: str, name: str, partia
     and empty names, and those of stop words alone, have no key and find nothing. Names are looked up only for scans
     that nothing before has found.
     """
-    name_key = lambda c: F.nullif(normalize_key(c), F.lit(""))
-    keys = catalog.select(name_key(F.col("product_name")).alias("__key"), "barcode").where("__key is not null")
+    keys = catalog.select(normalize_key(F.col("product_name")).alias("__key"), "barcode").where("__key != ''")
     by_name = keys.groupBy("__key").agg(F.min("barcode").alias("__found"))
     codes = catalog.select(F.col("barcode").alias("__code")).distinct()
     out = scans.join(codes, scans[barcode] == codes["__code"], "left")
     before = ["__code"]
     for source, to in ((partial, "__partial"), (name, "__full")):
         keyed = by_name.select(F.col("__key").alias(f"{to}_key"), F.col("__found").alias(to))
-        wanted = F.when(F.coalesce(*before).isNull(), name_key(F.col(source)))
-        out = out.join(keyed, wanted == keyed[f"{to}_key"], "left").drop(f"{to}_key")
+        # a column of its own: as an expression the key would be made anew by the exchange and every comparison of the sort
+        out = out.withColumn("__wanted", F.when(F.coalesce(*before).isNull(), normalize_key(F.col(source))))
+        out = out.join(keyed, out["__wanted"] == keyed[f"{to}_key"], "left").drop(f"{to}_key", "__wanted")
         before.append(to)
     found = F.coalesce("__code", "__partial", "__full")
     out = out.withColumn("product_code", found).withColumn("data_source", F.when(found.isNotNull(), "enriched").otherwise("ai"))

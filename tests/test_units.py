@@ -376,3 +376,27 @@ def test_single_flight_and_slots(spark):
     aliases = spark.createDataFrame([(2, 1)], "alias int, target int")
     slot = U.slot_owner(df.withColumn("run", F.col("k") * 10 + F.col("s")), aliases, "k", "run", "s", "status").collect()
     assert [(r.canonical, r.owner) for r in slot] == [(1, 20)]
+
+
+def test_name_keys_are_what_step_by_step_cleaning_gives(spark):
+    names = ["", " ", "large ring", "Large  Ring", "dog food", "old dog food", "dogfood", "formula1", "my formula", "a\u00a0b", " a", "a ", "a\tb", "a\n", "Hill's (R) Cat Food 2", "dog (c)food", "®", "x ® y", "ring\u2028", "é", "recipes", "a  b", "İ x", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    steps = F.lower("n")
+    for pattern, by in ((r"\(r\)|\(tm\)|\(c\)|®|™|©", ""), (r"(?<![A-Za-z0-9_])(dog food|cat food|formula|recipe)(?![A-Za-z0-9_])", ""), (f"[^a-z0-9{X.WS}]", ""), (f"[{X.WS}]+", " "), (f"^[{X.WS}]+", ""), (f"[{X.WS}]+$", "")):
+        steps = F.regexp_replace(steps, pattern, by)
+    for row in df.select("n", X.normalize_key(F.col("n")).alias("got"), F.coalesce(steps, F.lit("")).alias("want")).collect():
+        assert row.got == row.want, row
+
+
+def test_name_keys_are_made_once_a_row_and_not_by_the_join(spark):
+    scans = spark.createDataFrame([(1, None, "Old Ring", "nothing"), (2, 7, "x", "y"), (3, None, "", None), (4, None, "dog food", "old ring!")], "id long, bar long, full string, part string")
+    catalog = spark.createDataFrame([(7, "Bolt"), (9, "old  ring"), (8, "OLD RING"), (6, "formula")], "barcode long, product_name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = L.enrich(scans, catalog, "bar", "full", "part")
+        assert sorted((r.id, r.product_code, r.data_source) for r in out.collect()) == [(1, 8, "enriched"), (2, 7, "enriched"), (3, None, "ai"), (4, 8, "enriched")]
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("SortMergeJoin" in line for line in plan)
+        assert not [line for line in plan if any(x in line for x in ("SortMergeJoin", "Exchange hash", "Sort [")) and ("regexp" in line or "lower(" in line)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
