@@ -25,7 +25,7 @@ from millrace.operators import tables as B
 from millrace.operators.history import from_row, merge_history, to_row
 from millrace.operators.parted import PartedTable
 from millrace.operators.sse import carried, fold_text, lines_of_chunks
-from millrace.sources.streams import sse_lines
+from millrace.sources.streams import sse_lines, write_sse_lines
 
 
 def values(spark, kind, cases, fn):
@@ -400,3 +400,16 @@ def test_name_keys_are_made_once_a_row_and_not_by_the_join(spark):
         assert not [line for line in plan if any(x in line for x in ("SortMergeJoin", "Exchange hash", "Sort [")) and ("regexp" in line or "lower(" in line)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_streams_share_a_file_of_event_lines(spark, tmp_path):
+    want = {(k if k else None, i): f"line\t{k}\t{i}" if i % 3 else "" for k in range(300) for i in range(5)}
+    lines = spark.createDataFrame([(k, i, v) for (k, i), v in want.items()], "stream_id long, seq long, line string").repartition(7)
+    path = f"file://{tmp_path}/lines"
+    write_sse_lines(lines, path)
+    assert len(list((tmp_path / "lines").glob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number, got = {}, {}
+    for r in sorted(sse_lines(spark, path, named=True).collect(), key=lambda r: r.seq):
+        number[r.stream_id] = number.get(r.stream_id, -1) + 1
+        got[(r.stream_id, number[r.stream_id])] = r.line
+    assert got == want
