@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import json
 import zlib
 
 import pyarrow as pa
@@ -24,11 +23,14 @@ from pyspark.sql import functions as F
 from millrace.llm.fill_middle import let
 
 LONGEST = 64
-_BUCKETS = 1 << 15
+_BUCKETS = 1 << 16
 _STEPS = [1 << k for k in range(30, -1, -1)]
 #: An id as one character, whose order is that of ranks; the first plane holds the surrogates, so ids start above it.
 _FIRST = 0x10000
-_DONE = "!"
+#: What a pair that nothing merges gives.
+_NONE = chr(0x10FFFF)
+#: Begin and end of a word's entry in a bucket, and what parts buckets: code points that are no characters.
+_MARKS = _BEGIN, _END, _APART = "\ufffe", "\uffff", "\ufdd0"
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,59 +40,85 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _bucketed(entries: dict[str, str]) -> Column:
-    """A literal map in buckets by the hash of the keys; it is parsed once, when the plan is made."""
-    out: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
-    for key, value in entries.items():
-        out[zlib.crc32(key.encode()) % _BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(out, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+def _bucket(table: Column, key: Column) -> Column:
+    return F.get(table, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int"))
 
 
-def _find(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.element_at(table, (F.crc32(key.cast("binary")) % _BUCKETS + 1).cast("int")), key)
+def _find(table: Column, word: Column) -> Column:
+    """Ids of a word, or an empty string: what stands behind its entry in the bucket, up to the next."""
+    behind = F.call_function("substring_index", _bucket(table, word), F.concat(F.lit(_BEGIN), word, F.lit(_END)), F.lit(-1))
+    return F.substring_index(behind, _BEGIN, 1)
 
 
 def rank_map(path: str) -> Column:
-    """Literal rank map: two adjacent ids, as characters, to the id that their bytes make; and each byte, in hexadecimal, to its id."""
+    """Literal rank map: two adjacent ids, as characters, to the id that their bytes make.
+
+    A bucket is one string of entries ``ab=c;``. Two ids stand side by side in it only as a key, so a search for them
+    finds their entry; where there is none, position 0 leads to the ``_NONE`` that a bucket begins with.
+    """
     held = ranks(path)
-    out = {f"{byte:02X}": chr(_FIRST + held[bytes([byte])]) for byte in range(256)}
+    out = [["==", _NONE, ";"] for _ in range(_BUCKETS)]
     for token, rank in held.items():
         for cut in range(1, len(token)):
             left, right = held.get(token[:cut]), held.get(token[cut:])
             if left is not None and right is not None:
-                out[chr(_FIRST + left) + chr(_FIRST + right)] = chr(_FIRST + rank)
-    return _bucketed(out)
+                pair = chr(_FIRST + left) + chr(_FIRST + right)
+                out[zlib.crc32(pair.encode()) % _BUCKETS].append(f"{pair}={chr(_FIRST + rank)};")
+    return F.split(F.lit(",".join(map("".join, out))), ",")
+
+
+def _merged(table: Column, pair: Column) -> Column:
+    """The id that two ids merge to, or ``_NONE``, which comes after all ids."""
+    bucket = _bucket(table, pair)
+    return F.substring(bucket, F.instr(bucket, pair) + 3, F.lit(1))
 
 
 def word_map(path: str, memo: dict[str, str]) -> Column:
-    """Literal map of whole words to their ids: tokens that are text, and the words of ``memo``."""
+    """Literal map of whole words to their ids: tokens that are text, and the words of ``memo``; none with a mark of the map's own."""
     known = dict(memo)
     for token, rank in ranks(path).items():
         try:
             known[token.decode()] = chr(_FIRST + rank)
         except UnicodeDecodeError:
             continue
-    return _bucketed(known)
+    out = [[_BEGIN] for _ in range(_BUCKETS)]
+    for word, ids in known.items():
+        if not any(mark in word for mark in _MARKS):
+            out[zlib.crc32(word.encode()) % _BUCKETS].append(f"{word}{_END}{ids}{_BEGIN}")
+    return F.split(F.lit(_APART.join(map("".join, out))), _APART)
+
+
+def fold(word: Column, table: Column, path: str) -> Column:
+    """Ids of one word, as characters: its bytes, merged pair by pair, the least rank first and the leftmost of equal ones.
+
+    Beside the ids goes what each adjacent pair merges to; a merge looks up only the pairs on its two sides.
+    """
+    held, size = ranks(path), F.octet_length(word)
+    every = "".join(map(chr, range(256)))
+    single = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), every, "".join(chr(_FIRST + held[bytes([b])]) for b in range(256)))
 
+    def begin(s: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _merged(table, F.substring(s, i, F.lit(2))))
+        return F.struct(s.alias("s"), F.when(size < 2, "").otherwise(F.array_join(pairs, "")).alias("p"))
 
-def fold(word: Column, table: Column) -> Column:
-    """Ids of one word, as characters: its bytes, merged pair by pair, the least rank first and the leftmost of equal ones."""
-    size = F.octet_length(word)
-    single = let(F.hex(word.cast("binary")), lambda h: F.transform(F.sequence(F.lit(1), size), lambda i: _find(table, F.substring(h, 2 * i - 1, F.lit(2)))))
+    def merge(held: Column, _: Column) -> Column:
+        s, p = held["s"], held["p"]
 
-    def merge(s: Column, _: Column) -> Column:
-        def least(made: Column) -> Column:
-            def at(rank: Column) -> Column:
-                joined = let(F.array_position(made, rank).cast("int"), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), rank, F.substring(s, i + 2, size)))
-                return F.when(rank.isNull(), F.concat(s, F.lit(_DONE))).otherwise(joined)
+        def least(m: Column) -> Column:
+            def at(i: Column) -> Column:
+                before = F.when(i > 1, _merged(table, F.concat(F.substring(s, i - 1, F.lit(1)), m))).otherwise("")
+                after = F.when(i < F.length(p), _merged(table, F.concat(m, F.substring(s, i + 2, F.lit(1))))).otherwise("")
+                return F.struct(
+                    F.concat(F.substring(s, F.lit(1), i - 1), m, F.substring(s, i + 2, size)).alias("s"),
+                    F.concat(F.substring(p, F.lit(1), i - 2), before, after, F.substring(p, i + 2, size)).alias("p"),
+                )
 
-            return let(F.array_min(made), at)
+            return F.when(m.isin("", _NONE), held).otherwise(let(F.instr(p, m), at))
 
-        pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: _find(table, F.substring(s, i, F.lit(2))))
-        return F.when(F.endswith(s, F.lit(_DONE)) | (F.length(s) < 2), s).otherwise(let(pairs, least))
+        return let(F.array_min(F.split(p, "")), least)
 
-    merged = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), F.array_join(single, ""), merge)
-    return F.replace(merged, F.lit(_DONE), F.lit(""))
+    steps = F.sequence(F.lit(2), F.greatest(size, F.lit(2)))
+    return let(single, lambda s: F.aggregate(steps, begin(s), merge, lambda made: made["s"]))
 
 
 def merge_heap(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -202,7 +230,7 @@ def common_words(df: DataFrame, text: str, split: Column, path: str, most: int,
     some = df.select(text).sample(min(1.0, rows / max(n, 1)), seed=1) if n > rows else df.select(text)
     found = some.select(F.explode(split).alias("w")).where(F.octet_length("w") <= LONGEST)
     best = found.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w").repartition(8)
-    held = best.select("w", let(rank_map(path), lambda table: fold(F.col("w"), table)).alias("ids")).collect()
+    held = best.select("w", let(rank_map(path), lambda table: fold(F.col("w"), table, path)).alias("ids")).collect()
     return {r.w: r.ids for r in held}
 
 
@@ -224,17 +252,19 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
 
     def ids(w: Column, whole: Column, table: Column) -> Column:
         def looked_up(found: Column) -> Column:
-            rare = F.array_sort(F.array_distinct(F.filter(w, lambda x, i: F.get(found, i).isNull())))
-            return let(rare, lambda r: let(F.transform(r, lambda x: F.when(F.octet_length(x) > LONGEST, long_one(x)).otherwise(fold(x, table))), lambda made: put_back(found, r, made)))
+            rare = F.array_sort(F.array_distinct(F.filter(w, lambda x, i: F.get(found, i) == '')))
+            return let(rare, lambda r: let(F.transform(r, lambda x: F.when(F.octet_length(x) > LONGEST, long_one(x)).otherwise(fold(x, table, path))), lambda made: put_back(found, r, made)))
 
         def put_back(found: Column, rare: Column, made: Column) -> Column:
             def place(x: Column, steps: Column) -> Column:
                 return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(rare)) & (F.get(rare, at + s - 1) <= x), at + s).otherwise(at))
 
             steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda s: s <= F.size(rare))
-            return let(steps, lambda st: F.array_join(F.transform(found, lambda f, i: F.coalesce(f, F.element_at(made, place(F.get(w, i), st)))), ""))
+            return let(steps, lambda st: F.array_join(F.transform(found, lambda f, i: F.when(f == "", F.element_at(made, place(F.get(w, i), st))).otherwise(f)), ""))
 
-        joined = let(F.transform(w, lambda x: _find(whole, x)), looked_up)
+        # in a text with one of the marks a word might be found across entries, so all its words are folded
+        found = F.when(F.contains(body, F.lit(_BEGIN)) | F.contains(body, F.lit(_END)), F.transform(w, lambda x: F.lit(""))).otherwise(F.transform(w, lambda x: _find(whole, x)))
+        joined = let(found, looked_up)
         return F.when(joined == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(joined, ""), lambda x: F.ascii(x) - _FIRST))
 
     # both maps are bound once, so a plan holds each literal once
@@ -248,8 +278,8 @@ def decode(ids: Column, path: str) -> Column:
     for token, rank in held.items():
         pieces[rank] = token.hex()
     table = F.split(F.lit(",".join(pieces)), ",")
-    joined = F.transform(ids, lambda i: F.nullif(F.get(table, i), F.lit("")))
-    return let(joined, lambda parts: F.unhex(F.when(~F.exists(parts, lambda h: h.isNull()), F.array_join(parts, ""))))
+    joined = F.transform(ids, lambda i: F.get(table, i))
+    return let(joined, lambda parts: F.unhex(F.when(~F.exists(parts, lambda h: h.isNull() | (h == "")), F.array_join(parts, ""))))
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

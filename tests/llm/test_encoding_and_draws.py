@@ -35,6 +35,22 @@ def test_ids_equal_the_library(spark):
             assert got[i] == LIBRARY.encode_ordinary(text or ""), repr(text)[:60]
 
 
+def test_texts_with_the_marks_of_the_literal_maps(spark):
+    """Characters that part entries and buckets, and those that stand for ids there, are words like others."""
+    texts = ["\ufffe the\uffff", "the\uffff\U00010000\ufffethe", "\ufdd0 a\ufdd0", "\U00010000\U00010001=\U00010002;", "=; ,= ;;", "\U0010ffff", "x\U0001c34f\U0001c350y"]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, memo=50).collect()}
+    assert [got[i] for i in range(len(texts))] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_a_bucket_of_pairs_is_one_string(spark):
+    df = spark.range(1).select(byte_bpe.rank_map(PATH).alias("t"))
+    assert df.schema["t"].dataType.simpleString() == "array<string>"
+    words = spark.createDataFrame([(w,) for w in ("", "a", "é", "tionableness", "\x00\x7f", "日本語")], "w string")
+    for r in words.select("w", byte_bpe.let(byte_bpe.rank_map(PATH), lambda t: byte_bpe.fold(F.col("w"), t, PATH)).alias("ids")).collect():
+        assert [ord(c) - byte_bpe._FIRST for c in r.ids] == byte_bpe.merge_heap(r.w.encode(), RANKS), r.w
+
+
 def test_decoding_joins_pieces(spark):
     df = spark.createDataFrame([([0, 1, 50255],), ([],), ([50256],), (None,)], "ids array<int>")
     by_rank = {r: t for t, r in RANKS.items()}
