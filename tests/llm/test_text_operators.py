@@ -471,6 +471,40 @@ def test_host_boilerplate_goes_where_no_article_is_marked(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def run_of(name, n=15):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_host_array_covers_marked_pages(spark):
+    """Open blocks of articles lose the host's notices, and marked pages tell what is boilerplate of unmarked ones and what is a passage."""
+    notice, shared, quoted, terms = map(run_of, ("notice", "shared", "quoted", "terms"))
+    own = [run_of(f"own{i}x") for i in range(14)]
+    page = lambda i, body, host="h": (i, f"https://{host}.example/{i}", body)
+    pages = [page(i, f'<article><p>{own[i]}</p><div class="text-with-notice"><p>{notice}</p></div><p>{shared}</p></article><p>{terms}</p>') for i in range(3)]
+    pages += [page(i, f'<article>{own[i]} {quoted}</article><div class="cookie-notice">{notice}</div><div class="ad">{quoted}</div>') for i in range(3, 6)]
+    pages += [page(6, f"<article><p>{notice}</p>{own[6]}</article>"), page(7, f"<div>{own[7]}</div><div>{terms}</div>"), page(8, f"<p>{own[8]}</p><p>{quoted}</p>")]
+    pages += [page(9, f'<article><p>{own[9]}</p><div class="a-notice">{own[10]}</div></article>'), page(10, f'<article class="x-notice">{notice}</article>'), page(11, f'<article><div class="x-notice">{notice}</div></article>', "other")]
+    df = spark.createDataFrame([*pages, page(None, f"<div>{terms}</div>", "other"), pages[0]], "page_id long, url string, html string").repartition(4)
+    got = Counter((r.page_id, r.text, r.n_removed) for r in html_text.main_text(df).collect())
+    want = [(i, f"{own[i]} {shared}", 15) for i in (0, 0, 1, 2)] + [(i, f"{own[i]} {quoted}", 0) for i in range(3, 6)]
+    want += [(6, f"{notice} {own[6]}", 0), (7, own[7], 15), (8, f"{own[8]} {quoted}", 0), (9, f"{own[9]} {own[10]}", 0), (10, notice, 0), (11, notice, 0), (None, terms, 0)]
+    assert got == Counter(want)
+
+
+def test_regions_beside_the_article():
+    page = '<nav>menu</nav><p>before</p><article>a<div class="ad">buy</div><article>reply</article> more of it<div class="x-ad">m</div></article><script>x</script><footer>f &amp; g</footer>'
+    assert html_text.regions(page) == (["a", "more of it", "m"], True, ["menu", "before", "buy", "reply", "f & g"], [False, False, True])
+    assert html_text.regions('<p>x<span class="ad">y</span>z</p>') == (["xz"], False, ["y"], [True])
+    assert html_text.regions('<div class="x-ad"><article class="has-nav">a<h2 id="comments">b</h2></article></div>') == (["a", "b"], True, [], [False, False])
+
+
+def test_bitmap_misses_no_prefix(spark):
+    rng = np.random.default_rng(4)
+    held, other = (rng.integers(-(1 << 63), 1 << 63, 5_000) for _ in range(2))
+    bits = html_text.prefix_bits(spark.createDataFrame([(int(x),) for x in held], "prefix long"))
+    assert html_text._may_be(bits, held.view(np.uint64)).all() and html_text._may_be(bits, other.view(np.uint64)).mean() < 0.01
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 9))
 @settings(max_examples=150, deadline=None)
 def test_suffix_array_sorts_by_prefix(tokens, depth):
