@@ -2,8 +2,8 @@
 
 A literal rank map, dealt into small buckets by hash, says which adjacent pieces merge first. Ids are held as single
 characters in the order of ranks, so a word is a string and a merge is a substitution in it. A text's words are looked up
-as wholes; each distinct word that is not found is folded once, merge by merge, and the text's words find theirs by
-binary search. Decoding concatenates the ids' bytes. Everything is expressions on a row, without a shuffle.
+as wholes; each distinct word that is not found is folded once, and the text's words find theirs by binary search: the
+merges of the lowest ranks are made in all these words at once, the others in each word, merge by merge. Decoding concatenates the ids' bytes. Everything is expressions on a row, without a shuffle.
 
 The fold copies a word's pieces at every merge, so its cost is quadratic in the word. Words above ``LONGEST`` bytes,
 which prose has few of, go through a heap of merges instead (the one Python function here): the same ids, near-linear.
@@ -24,6 +24,12 @@ from millrace.llm.fill_middle import let
 
 LONGEST = 64
 _BUCKETS = 1 << 16
+#: Merges of the lowest ranks that are made in all words of a text at once, at most.
+_AT_ONCE = 128
+#: What parts words then: no character.
+_PART = "\uffff"
+#: More than any word has pieces.
+_REST = 1_000_000
 _STEPS = [1 << k for k in range(30, -1, -1)]
 #: An id as one character, whose order is that of ranks; the first plane holds the surrogates, so ids start above it.
 _FIRST = 0x10000
@@ -54,10 +60,10 @@ def rank_map(path: str) -> Column:
     """Literal rank map: two adjacent ids, as characters, to the id that their bytes make.
 
     A bucket is one string of entries ``ab=c;``. Two ids stand side by side in it only as a key, so a search for them
-    finds their entry; where there is none, position 0 leads to the ``_NONE`` that a bucket begins with.
+    finds their entry; where there is none, all of the bucket is left, and begins with ``=`` and ``_NONE`` as an entry's end does.
     """
     held = ranks(path)
-    out = [["==", _NONE, ";"] for _ in range(_BUCKETS)]
+    out = [["=", _NONE, ";"] for _ in range(_BUCKETS)]
     for token, rank in held.items():
         for cut in range(1, len(token)):
             left, right = held.get(token[:cut]), held.get(token[cut:])
@@ -69,8 +75,41 @@ def rank_map(path: str) -> Column:
 
 def _merged(table: Column, pair: Column) -> Column:
     """The id that two ids merge to, or ``_NONE``, which comes after all ids."""
-    bucket = _bucket(table, pair)
-    return F.substring(bucket, F.instr(bucket, pair) + 3, F.lit(1))
+    return F.substring(F.call_function("substring_index", _bucket(table, pair), pair, F.lit(-1)), 2, 1)
+
+
+@functools.lru_cache(maxsize=4)
+def first_merges(path: str, most: int = _AT_ONCE) -> list[tuple[bytes, list[tuple[bytes, bytes]]]]:
+    """The merged tokens of the lowest ranks, each with the pairs that make it, as far as one may be made everywhere before the next.
+
+    That is so where a token, once made, is in no pair of a rank up to its own, and no two pairs that make it overlap:
+    then no merge brings back a lower rank, and equal ones are taken from the left, as one by one.
+    """
+    held = ranks(path)
+    out: list[tuple[bytes, list[tuple[bytes, bytes]]]] = []
+    around: dict[bytes, int] = {}  # least rank of a longer token that begins or ends with the token
+    for token, rank in held.items():
+        for cut in range(1, len(token)):
+            for part in (token[:cut], token[cut:]):
+                around[part] = min(rank, around.get(part, rank))
+    for token, rank in sorted((one for one in held.items() if len(one[0]) > 1), key=lambda one: one[1])[:most]:
+        pairs = [(token[:cut], token[cut:]) for cut in range(1, len(token)) if token[:cut] in held and token[cut:] in held]
+        overlap = any(a[1] == b[0] for a in pairs for b in pairs if a != b)
+        if overlap or around.get(token, rank + 1) <= rank:
+            break
+        out.append((token, pairs))
+    return out
+
+
+def begun(words: Column, path: str) -> Column:
+    """Words as strings of ids after the merges of ``first_merges``, all made in one string of all the words."""
+    held, made = ranks(path), first_merges(path)
+    piece = {bytes([b]): chr(b) for b in range(256)} | {token: chr(256 + i) for i, (token, _) in enumerate(made)}
+    rules = [f"{piece[a]}{piece[b]}{piece[token]}" for token, pairs in made for a, b in pairs if a in piece and b in piece]
+    joined = F.array_join(F.transform(words, lambda x: F.decode(x.cast("binary"), "ISO-8859-1")), _PART)
+    if rules:
+        joined = F.aggregate(F.array(*map(F.lit, rules)), joined, lambda text, rule: F.replace(text, F.substring(rule, 1, 2), F.substring(rule, 3, 1)))
+    return F.split(F.translate(joined, "".join(piece.values()), "".join(chr(_FIRST + held[token]) for token in piece)), _PART)
 
 
 def word_map(path: str, memo: dict[str, str]) -> Column:
@@ -89,17 +128,19 @@ def word_map(path: str, memo: dict[str, str]) -> Column:
 
 
 def fold(word: Column, table: Column, path: str) -> Column:
-    """Ids of one word, as characters: its bytes, merged pair by pair, the least rank first and the leftmost of equal ones.
+    """Ids of one word, as characters: its bytes, merged pair by pair, the least rank first and the leftmost of equal ones."""
+    return merge_rest(F.element_at(begun(F.array(word), path), 1), table)
+
+
+def merge_rest(begun_word: Column, table: Column) -> Column:
+    """Ids of a word that ``begun`` has begun.
 
     Beside the ids goes what each adjacent pair merges to; a merge looks up only the pairs on its two sides.
     """
-    held, size = ranks(path), F.octet_length(word)
-    every = "".join(map(chr, range(256)))
-    single = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), every, "".join(chr(_FIRST + held[bytes([b])]) for b in range(256)))
 
     def begin(s: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _merged(table, F.substring(s, i, F.lit(2))))
-        return F.struct(s.alias("s"), F.when(size < 2, "").otherwise(F.array_join(pairs, "")).alias("p"))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: _merged(table, F.substring(s, i, F.lit(2))))
+        return F.struct(s.alias("s"), F.when(F.length(s) < 2, "").otherwise(F.array_join(pairs, "")).alias("p"))
 
     def merge(held: Column, _: Column) -> Column:
         s, p = held["s"], held["p"]
@@ -109,16 +150,15 @@ def fold(word: Column, table: Column, path: str) -> Column:
                 before = F.when(i > 1, _merged(table, F.concat(F.substring(s, i - 1, F.lit(1)), m))).otherwise("")
                 after = F.when(i < F.length(p), _merged(table, F.concat(m, F.substring(s, i + 2, F.lit(1))))).otherwise("")
                 return F.struct(
-                    F.concat(F.substring(s, F.lit(1), i - 1), m, F.substring(s, i + 2, size)).alias("s"),
-                    F.concat(F.substring(p, F.lit(1), i - 2), before, after, F.substring(p, i + 2, size)).alias("p"),
+                    F.concat(F.substring(s, F.lit(1), i - 1), m, F.substring(s, i + 2, F.lit(_REST))).alias("s"),
+                    F.concat(F.substring(p, F.lit(1), i - 2), before, after, F.substring(p, i + 2, F.lit(_REST))).alias("p"),
                 )
 
             return F.when(m.isin("", _NONE), held).otherwise(let(F.instr(p, m), at))
 
         return let(F.array_min(F.split(p, "")), least)
 
-    steps = F.sequence(F.lit(2), F.greatest(size, F.lit(2)))
-    return let(single, lambda s: F.aggregate(steps, begin(s), merge, lambda made: made["s"]))
+    return let(begun_word, lambda s: F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(s), F.lit(2))), begin(s), merge, lambda made: made["s"]))
 
 
 def merge_heap(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -253,7 +293,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
     def ids(w: Column, whole: Column, table: Column) -> Column:
         def looked_up(found: Column) -> Column:
             rare = F.array_sort(F.array_distinct(F.filter(w, lambda x, i: F.get(found, i) == '')))
-            return let(rare, lambda r: let(F.transform(r, lambda x: F.when(F.octet_length(x) > LONGEST, long_one(x)).otherwise(fold(x, table, path))), lambda made: put_back(found, r, made)))
+            return let(rare, lambda r: let(folded(r), lambda made: put_back(found, r, made)))
+
+        def folded(rare: Column) -> Column:
+            short = F.transform(rare, lambda x: F.when(F.octet_length(x) > LONGEST, "").otherwise(x))
+            return let(begun(short, path), lambda some: F.transform(rare, lambda x, i: F.when(F.octet_length(x) > LONGEST, long_one(x)).otherwise(merge_rest(F.get(some, i), table))))
 
         def put_back(found: Column, rare: Column, made: Column) -> Column:
             def place(x: Column, steps: Column) -> Column:

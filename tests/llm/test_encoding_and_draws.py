@@ -51,6 +51,22 @@ def test_a_bucket_of_pairs_is_one_string(spark):
         assert [ord(c) - byte_bpe._FIRST for c in r.ids] == byte_bpe.merge_heap(r.w.encode(), RANKS), r.w
 
 
+def test_merges_made_in_all_words_at_once(spark, tmp_path):
+    """Ids equal one-by-one merging, also by a table in which a later merge brings back a lower rank or pairs of one rank overlap."""
+    r = random.Random(6)
+    made = [b"the", b"he", b"th", b"aa", b"aaa", b"in", b"ing"], [b"he", b"th", b"the", b"in", b"aa", b"aaa", b"ing"], [b"aa", b"aaa", b"th", b"the"], []
+    for k, tokens in enumerate(made):
+        path = tmp_path / f"{k}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*(bytes([b]) for b in range(256)), *tokens])))
+        table = byte_bpe.ranks(str(path))
+        words = spark.createDataFrame([("".join(r.choices(["t", "h", "e", "a", "in", "g", "é", "\x00"], k=r.randrange(1, 14))),) for _ in range(150)] + [("",)], "w string")
+        got = words.select("w", byte_bpe.let(byte_bpe.rank_map(str(path)), lambda t: byte_bpe.fold(F.col("w"), t, str(path))).alias("ids")).collect()  # noqa: B023
+        for row in got:
+            assert [ord(c) - byte_bpe._FIRST for c in row.ids] == byte_bpe.merge_heap(row.w.encode(), table), (k, row.w)
+    assert [len(byte_bpe.first_merges(str(tmp_path / f"{k}.tiktoken"))) for k in range(4)] == [1, 5, 1, 0]
+    assert len(byte_bpe.first_merges(PATH)) > 50
+
+
 def test_decoding_joins_pieces(spark):
     df = spark.createDataFrame([([0, 1, 50255],), ([],), ([50256],), (None,)], "ids array<int>")
     by_rank = {r: t for t, r in RANKS.items()}
