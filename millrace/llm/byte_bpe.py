@@ -1,9 +1,11 @@
 """Byte-level BPE on Spark's higher-order functions: ranked merges folded over the bytes of distinct words.
 
-A literal rank map, dealt into small buckets by hash, says which adjacent pieces merge first. Ids are held as single
+A rank map, dealt into small buckets by hash, says which adjacent pieces merge first. Ids are held as single
 characters in the order of ranks, so a word is a string and a merge is a substitution in it. A text's words are looked up
-as wholes; each distinct word that is not found is folded once, and the text's words find theirs by binary search: the
-merges of the lowest ranks are made in all these words at once, the others in each word, merge by merge. Decoding concatenates the ids' bytes. Everything is expressions on a row, without a shuffle.
+as wholes, in the vocabulary and in the words of a sample, which Spark folds beforehand. Each distinct word that is not
+found is folded once, and the text's words find theirs by binary search: the merges of the lowest ranks are made in all
+these words at once, the others in each word, merge by merge. Both maps are scalar subqueries. Decoding concatenates the
+ids' bytes. Everything else is expressions on a row; the texts are not shuffled.
 
 The fold copies a word's pieces at every merge, so its cost is quadratic in the word. Words above ``LONGEST`` bytes,
 which prose has few of, go through a heap of merges instead (the one Python function here): the same ids, near-linear.
@@ -24,6 +26,7 @@ from millrace.llm.fill_middle import let
 
 LONGEST = 64
 _BUCKETS = 1 << 16
+_WORD_BUCKETS = 1 << 19
 #: Merges of the lowest ranks that are made in all words of a text at once, at most.
 _AT_ONCE = 128
 #: What parts words then: no character.
@@ -35,8 +38,10 @@ _STEPS = [1 << k for k in range(30, -1, -1)]
 _FIRST = 0x10000
 #: What a pair that nothing merges gives.
 _NONE = chr(0x10FFFF)
-#: Begin and end of a word's entry in a bucket, and what parts buckets: code points that are no characters.
-_MARKS = _BEGIN, _END, _APART = "\ufffe", "\uffff", "\ufdd0"
+#: White space by Unicode, as a class.
+_SPACES = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Begin and end of a word's entry in a bucket: code points that are no characters.
+_MARKS = _BEGIN, _END = "\ufffe", "\uffff"
 
 
 @functools.lru_cache(maxsize=4)
@@ -46,18 +51,23 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _bucket(table: Column, key: Column) -> Column:
-    return F.get(table, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int"))
+def _place(key: Column, buckets: int) -> Column:
+    return (F.crc32(key.cast("binary")) % buckets).cast("int")
+
+
+def _bucket(table: Column, key: Column, buckets: int = _BUCKETS) -> Column:
+    return F.get(table, _place(key, buckets))
 
 
 def _find(table: Column, word: Column) -> Column:
     """Ids of a word, or an empty string: what stands behind its entry in the bucket, up to the next."""
-    behind = F.call_function("substring_index", _bucket(table, word), F.concat(F.lit(_BEGIN), word, F.lit(_END)), F.lit(-1))
+    behind = F.call_function("substring_index", _bucket(table, word, _WORD_BUCKETS), F.concat(F.lit(_BEGIN), word, F.lit(_END)), F.lit(-1))
     return F.substring_index(behind, _BEGIN, 1)
 
 
-def rank_map(path: str) -> Column:
-    """Literal rank map: two adjacent ids, as characters, to the id that their bytes make.
+@functools.lru_cache(maxsize=4)
+def _rank_buckets(path: str) -> list[str]:
+    """The rank map: two adjacent ids, as characters, to the id that their bytes make.
 
     A bucket is one string of entries ``ab=c;``. Two ids stand side by side in it only as a key, so a search for them
     finds their entry; where there is none, all of the bucket is left, and begins with ``=`` and ``_NONE`` as an entry's end does.
@@ -70,7 +80,17 @@ def rank_map(path: str) -> Column:
             if left is not None and right is not None:
                 pair = chr(_FIRST + left) + chr(_FIRST + right)
                 out[zlib.crc32(pair.encode()) % _BUCKETS].append(f"{pair}={chr(_FIRST + rank)};")
-    return F.split(F.lit(",".join(map("".join, out))), ",")
+    return list(map("".join, out))
+
+
+def rank_map(path: str) -> Column:
+    """The rank map as a literal."""
+    return F.split(F.lit(",".join(_rank_buckets(path))), ",")
+
+
+def _rank_value(spark: SparkSession, path: str) -> Column:
+    """The rank map as a scalar subquery, which the text of a plan does not hold."""
+    return spark.createDataFrame(pa.table({"t": pa.array([_rank_buckets(path)], pa.list_(pa.string()))})).scalar()
 
 
 def _merged(table: Column, pair: Column) -> Column:
@@ -112,19 +132,23 @@ def begun(words: Column, path: str) -> Column:
     return F.split(F.translate(joined, "".join(piece.values()), "".join(chr(_FIRST + held[token]) for token in piece)), _PART)
 
 
-def word_map(path: str, memo: dict[str, str]) -> Column:
-    """Literal map of whole words to their ids: tokens that are text, and the words of ``memo``; none with a mark of the map's own."""
-    known = dict(memo)
+def word_map(spark: SparkSession, path: str, memo: DataFrame | None) -> Column:
+    """Map of whole words to their ids, as a scalar subquery: tokens that are text, and the words of ``memo`` (w, ids, count); none with a mark of the map's own."""
+    known = {}
     for token, rank in ranks(path).items():
         try:
             known[token.decode()] = chr(_FIRST + rank)
         except UnicodeDecodeError:
             continue
-    out = [[_BEGIN] for _ in range(_BUCKETS)]
-    for word, ids in known.items():
-        if not any(mark in word for mark in _MARKS):
-            out[zlib.crc32(word.encode()) % _BUCKETS].append(f"{word}{_END}{ids}{_BEGIN}")
-    return F.split(F.lit(_APART.join(map("".join, out))), _APART)
+    words = spark.createDataFrame(pa.table({"w": list(known), "ids": list(known.values()), "count": [0] * len(known)}))
+    words = words if memo is None else words.unionByName(memo)
+    kept = words.where(F.translate("w", "".join(_MARKS), "") == F.col("w"))
+    entries = kept.select(_place(F.col("w"), _WORD_BUCKETS).alias("b"), "count", F.concat("w", F.lit(_END), "ids", F.lit(_BEGIN)).alias("e"))
+    every = spark.range(0, _WORD_BUCKETS, 1, 8).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"), F.lit("").alias("e"))
+    # a search begins at the end of a bucket, where its most frequent word stands
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("count", "e"))), lambda x: x["e"])
+    buckets = entries.union(every).groupBy("b").agg(F.concat(F.lit(_BEGIN), F.array_join(listed, "")).alias("s"))
+    return buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "s"))), lambda x: x["s"])).scalar()
 
 
 def fold(word: Column, table: Column, path: str) -> Column:
@@ -247,7 +271,8 @@ def jvm_words(spark: SparkSession, text: Column, pattern: str) -> Column:
     found = lambda p: F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0))
     if not every:
         return found(pattern)
-    return F.when(F.regexp_like(text, F.lit(rf"(?=[^\x00-\x{{{least - 1:X}}}])[{every}]")), found(wide)).otherwise(found(pattern))
+    high = F.regexp_like(text, F.lit(rf"[^\x00-\x{{{least - 1:X}}}]"))
+    return F.when(high & F.regexp_like(text, F.lit(rf"(?=[^\x00-\x{{{least - 1:X}}}])[{every}]")), found(wide)).otherwise(found(pattern))
 
 
 def _with_class(pattern: str, name: str, extra: str) -> str:
@@ -264,17 +289,17 @@ def _with_class(pattern: str, name: str, extra: str) -> str:
     return "".join(out)
 
 
-def common_words(df: DataFrame, text: str, split: Column, path: str, most: int, rows: int = 8_000) -> dict[str, str]:
-    """Ids of up to ``most`` words that a sample of about ``rows`` rows has most; they save time and change no result."""
+def common_words(df: DataFrame, text: str, split: Column, path: str, most: int, rows: int = 24_000) -> DataFrame:
+    """Words, ids and counts (w, ids, count): up to ``most`` words that a sample of about ``rows`` rows has most; they save time and change no result."""
     n = df.count()
     some = df.select(text).sample(min(1.0, rows / max(n, 1)), seed=1) if n > rows else df.select(text)
     found = some.select(F.explode(split).alias("w")).where(F.octet_length("w") <= LONGEST)
-    best = found.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w").repartition(8)
-    held = best.select("w", let(rank_map(path), lambda table: fold(F.col("w"), table, path)).alias("ids")).collect()
-    return {r.w: r.ids for r in held}
+    best = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).repartition(32)
+    held = best.select("w", "count", _rank_value(df.sparkSession, path).alias("__ranks"))
+    return held.select("w", let(F.col("__ranks"), lambda table: fold(F.col("w"), table, path)).alias("ids"), "count")
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", memo: int = 100_000) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", memo: int = 1_000_000) -> DataFrame:
     """``df`` with the token ids of ``text`` as an array; empty for null and empty texts.
 
     Ids are those of the ranks in the file at ``path`` for each match of ``pattern`` by itself; special tokens are
@@ -282,11 +307,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
     """
     body = F.coalesce(F.col(text), F.lit(""))
     split = jvm_words(df.sparkSession, body, pattern)
-    whole = word_map(path, common_words(df, text, split, path, memo) if memo else {})
+    whole = word_map(df.sparkSession, path, common_words(df, text, split, path, memo) if memo else None)
     # more than LONGEST bytes are at least LONGEST / 4 characters, all white space or none, besides a space before them
-    maybe = F.regexp_like(body, F.lit(rf"(?U)\S{{{LONGEST // 4}}}|\s{{{LONGEST // 4}}}"))
+    maybe = F.regexp_like(body, F.lit(rf"(?<!\S)\S{{{LONGEST // 4}}}|(?<![{_SPACES}])[{_SPACES}]{{{LONGEST // 4}}}"))
     long = F.when(maybe, F.array_sort(F.array_distinct(F.filter(split, lambda w: F.octet_length(w) > LONGEST))))
-    kept = [c for c in df.columns if c == text or c not in (into, "__long", "__long_ids")]
+    kept = [c for c in df.columns if c == text or c not in (into, "__long", "__long_ids", "__whole", "__ranks")]
     wide = df.select(*kept, long.alias("__long")).withColumn("__long_ids", _long_words(path)(F.col("__long")))
     long_one = lambda x: F.element_at("__long_ids", F.array_position("__long", x).cast("int"))
 
@@ -311,8 +336,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
         joined = let(found, looked_up)
         return F.when(joined == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(joined, ""), lambda x: F.ascii(x) - _FIRST))
 
-    # both maps are bound once, so a plan holds each literal once
-    return wide.select(*kept, let(whole, lambda a: let(rank_map(path), lambda b: let(split, lambda w: ids(w, a, b)))).alias(into))
+    # a function on arrays takes no subquery as it stands, so the maps are columns, which the optimizer puts in their only place of use
+    held = wide.select(*kept, whole.alias("__whole"), _rank_value(df.sparkSession, path).alias("__ranks"), "__long", "__long_ids")
+    return held.select(*kept, let(F.col("__whole"), lambda a: let(F.col("__ranks"), lambda b: let(split, lambda w: ids(w, a, b)))).alias(into))
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -323,7 +349,7 @@ def decode(ids: Column, path: str) -> Column:
         pieces[rank] = token.hex()
     table = F.split(F.lit(",".join(pieces)), ",")
     joined = F.transform(ids, lambda i: F.get(table, i))
-    return let(joined, lambda parts: F.unhex(F.when(~F.exists(parts, lambda h: h.isNull() | (h == "")), F.array_join(parts, ""))))
+    return let(joined, lambda parts: F.unhex(F.when(~F.array_contains(parts, F.lit("")), F.array_join(parts, ""))))
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

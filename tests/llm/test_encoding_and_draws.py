@@ -67,6 +67,19 @@ def test_merges_made_in_all_words_at_once(spark, tmp_path):
     assert len(byte_bpe.first_merges(PATH)) > 50
 
 
+def test_words_known_beforehand_are_no_literal_of_the_plan(spark):
+    """The map of words is made by Spark and put once where it is used; it is neither text of the plan nor a column of its rows."""
+    docs = spark.createDataFrame([(i, f"zqxword{chr(97 + i)}w zqxwordkept \u3000 \u3000 \u3000 \u3000 \u3000 \u3000 \u3000 \u3000 \u3000x") for i in range(4)] * 2, "doc_id long, text string")
+    out = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert "zqxword" not in plan.toString() and "scalar-subquery" in plan.toString()
+    below = plan.children().apply(0).output()
+    assert not {"__whole", "__ranks"} & {below.apply(i).name() for i in range(below.size())}
+    assert chr(byte_bpe._FIRST + 50_000) not in plan.toString()
+    texts = {r.doc_id: r for r in out.collect()}
+    assert len(texts) == 4 and all(r.ids == LIBRARY.encode_ordinary(r.text) for r in texts.values())
+
+
 def test_decoding_joins_pieces(spark):
     df = spark.createDataFrame([([0, 1, 50255],), ([],), ([50256],), (None,)], "ids array<int>")
     by_rank = {r: t for t, r in RANKS.items()}
