@@ -80,6 +80,14 @@ def test_words_known_beforehand_are_no_literal_of_the_plan(spark):
     assert len(texts) == 4 and all(r.ids == LIBRARY.encode_ordinary(r.text) for r in texts.values())
 
 
+def test_long_runs_of_mixed_white_space(spark):
+    """White space of ASCII and beyond by turns, above the length that the fold takes."""
+    texts = [f"a{''.join(chr(c) + ' ' for c in [space] * 40)}b" for space in (0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, memo=0).collect()}
+    assert [got[i] for i in range(len(texts))] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
 def test_decoding_joins_pieces(spark):
     df = spark.createDataFrame([([0, 1, 50255],), ([],), ([50256],), (None,)], "ids array<int>")
     by_rank = {r: t for t, r in RANKS.items()}
